@@ -36,13 +36,17 @@ def sql_with(uses: list[str], select: str) -> str:
     if not names:
         return select
     parts = [f"{n} AS ({CTES[n][1]})" for n in names]
+    body = select.lstrip()
+    if body[:5].lower() == "with ":
+        # merge the query's own CTEs into one WITH list
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
 def round_floats(sql: str, floats: tuple[str, ...]) -> str:
     if not floats:
         return sql
-    rep = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in floats)
+    rep = ", ".join(f"floor({c} * 1048576.0 + 0.5) / 1048576.0 AS {c}" for c in floats)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _t"
 
 
@@ -184,3 +188,14 @@ def text_clean_sql(x: str) -> str:
     e = f"regexp_replace({e}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
     return (f"array_to_string(list_filter(string_split({e}, ' '), "
             f"w -> regexp_full_match(w, '[a-z]+')), ' ')")
+
+# ---------------------------------------------------------------- analytics
+cte("dist_prod", ["c_split"], """
+ select * exclude (rn) from (select *, row_number() over (partition by product_id order by event_time,
+   event_type nulls first, category_id nulls first, main_category nulls first, sub_category nulls first,
+   brand nulls first, price nulls first, user_id nulls first, user_session nulls first) as rn from c_split)
+ where rn = 1""")
+cte("purch", ["clean"], "select * from clean where event_type = 'purchase'")
+cte("pbb", ["clean"], """
+ select product_id, category_id, main_category, sub_category, brand, avg(price) as product_avg_price
+ from clean group by product_id, category_id, main_category, sub_category, brand""")
