@@ -199,3 +199,71 @@ cte("purch", ["clean"], "select * from clean where event_type = 'purchase'")
 cte("pbb", ["clean"], """
  select product_id, category_id, main_category, sub_category, brand, avg(price) as product_avg_price
  from clean group by product_id, category_id, main_category, sub_category, brand""")
+
+# ---------------------------------------------------------------- catalogue
+cte("catalog_raw", [], """
+ select concat('B', lpad(cast(p.p_partkey as varchar), 9, '0')) as product_id,
+  concat(p.p_name, ' ', p.p_brand) as product_name, d.text as about_product,
+  concat(case when p.p_size % 3 = 0 then 'Computers&Accessories' when p.p_size % 3 = 1 then 'Electronics'
+   else 'HomeKitchen' end, '|', replace(p.p_type, ' ', ''), '|', p.p_name) as category,
+  concat('₹', cast(p.p_partkey % 9 + 1 as varchar), ',', lpad(cast((p.p_partkey * 37) % 1000 as varchar), 3, '0')) as discounted_price,
+  concat('₹', cast(p.p_partkey % 9 + 2 as varchar), ',', lpad(cast((p.p_partkey * 53) % 1000 as varchar), 3, '0'), '.50') as actual_price,
+  concat(cast(p.p_size as varchar), '%') as discount_percentage,
+  case when p.p_partkey % 31 = 0 then '|' when p.p_partkey % 29 = 0 then '5.0'
+   else concat(cast(p.p_partkey % 4 + 1 as varchar), '.', cast(p.p_partkey % 10 as varchar)) end as rating,
+  case when p.p_partkey % 43 = 0 then null else concat(cast(p.p_size as varchar), ',',
+   lpad(cast((p.p_partkey * 7) % 1000 as varchar), 3, '0')) end as rating_count,
+  case when p.p_partkey % 3 = 0 then concat('U', cast(p.p_partkey % 50 as varchar))
+   else concat('U', cast(p.p_partkey % 50 as varchar), ',U', cast((p.p_partkey * 3) % 50 as varchar)) end as user_id,
+  case when p.p_partkey % 3 = 0 and p.p_partkey % 5 = 0 then concat('N', cast(p.p_partkey % 50 as varchar), ',Jr')
+   when p.p_partkey % 3 = 0 then concat('N', cast(p.p_partkey % 50 as varchar))
+   else concat('N', cast(p.p_partkey % 50 as varchar), ',N', cast((p.p_partkey * 3) % 50 as varchar)) end as user_name,
+  concat('http://img.example.com/', cast(p.p_partkey as varchar)) as img_link,
+  concat('http://shop.example.com/dp/', cast(p.p_partkey as varchar)) as product_link
+ from part p join documents d on d.doc_id = p.p_partkey""")
+
+cte("sentiment", [], """
+ select concat('B', lpad(cast(p_partkey as varchar), 9, '0')) as product_id,
+  (p_partkey % 7)::double / 20.0 as neg, (p_partkey % 11)::double / 20.0 as neu,
+  1.0 - (p_partkey % 7)::double / 20.0 - (p_partkey % 11)::double / 20.0 as pos,
+  1.0 - (p_partkey % 7)::double / 20.0 - (p_partkey % 11)::double / 20.0 - (p_partkey % 7)::double / 20.0 as compound
+ from part""")
+
+
+def number_taker_sql(x: str) -> str:
+    return f"try_cast(nullif(array_to_string(regexp_extract_all({x}, '\\d+\\.\\d+|\\d+'), ''), '') as double)"
+
+
+cte("cat_num", ["catalog_raw"], f"""
+ select product_id, product_name, about_product, category,
+  {number_taker_sql('discounted_price')} as discounted_price, {number_taker_sql('actual_price')} as actual_price,
+  {number_taker_sql('discount_percentage')} / 100.0 as discount_percentage,
+  {number_taker_sql('rating')} as rating, {number_taker_sql('rating_count')} as rating_count,
+  user_id, user_name, img_link, product_link from (select distinct * from catalog_raw)""")
+cte("cat_typed", ["cat_num"], """
+ select * exclude (category, rating), coalesce(rating, 4.0) as rating,
+  regexp_replace(string_split(category, '|')[1], '([A-Z&])', ' \\1', 'g') as category_1,
+  regexp_replace(string_split(category, '|')[2], '([A-Z&])', ' \\1', 'g') as category_2
+ from cat_num""")
+cte("cat_banded", ["cat_typed"], """
+ select *, case when rating < 2.0 then 'Poor' when rating < 3.0 then 'Below Average' when rating < 4.0 then 'Average'
+   when rating < 5.0 then 'Above Average' when rating = 5.0 then 'Excellent' end as rating_score,
+  actual_price - discounted_price as price_difference
+ from cat_typed
+ where coalesce((length(user_id) - length(replace(user_id, ',', ''))) - (length(user_name) - length(replace(user_name, ',', ''))) <> -1, true)""")
+cte("cat_rows", ["cat_banded"], """
+ select * exclude (user_id, user_name), unnest(string_split(user_id, ',')) as user_id,
+  unnest(string_split(user_name, ',')) as user_name from cat_banded""")
+cte("cat_final", ["cat_rows", "sentiment"], """
+ select r.product_id, product_name, about_product, category_1, category_2, discounted_price, actual_price,
+  discount_percentage, price_difference, rating, rating_count, rating_score, s.neg, s.neu, s.pos, s.compound,
+  user_id, user_name, img_link, product_link
+ from cat_rows r left join (select distinct * from sentiment) s on r.product_id = s.product_id""")
+cte("cat_products", ["cat_rows"], """
+ select product_id, product_name, about_product, category_1, category_2, discounted_price, actual_price,
+  discount_percentage, rating, rating_count, img_link, product_link from (
+  select *, row_number() over (partition by product_name order by product_id, about_product, category_1 nulls first,
+    category_2 nulls first, discounted_price nulls first, actual_price nulls first, discount_percentage nulls first,
+    rating nulls first, rating_count nulls first, img_link, product_link) as rn
+  from (select distinct product_id, product_name, about_product, category_1, category_2, discounted_price,
+    actual_price, discount_percentage, rating, rating_count, img_link, product_link from cat_rows)) where rn = 1""")

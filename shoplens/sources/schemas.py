@@ -23,8 +23,8 @@ RAW_EVENT = T.StructType([
 
 # Raw catalogue row (M8): every measure is a dirty string.
 RAW_CATALOG = T.StructType([T.StructField(c, T.StringType()) for c in (
-    "product_id", "product_name", "category", "discounted_price", "actual_price",
-    "discount_percentage", "rating", "rating_count", "about_product", "user_id",
+    "product_id", "product_name", "about_product", "category", "discounted_price",
+    "actual_price", "discount_percentage", "rating", "rating_count", "user_id",
     "user_name", "img_link", "product_link")])
 
 # Pre-computed sentiment scores joined onto the catalogue.
