@@ -187,7 +187,7 @@ def text_clean_sql(x: str) -> str:
     e = f"regexp_replace({e}, '[[:punct:]]', '', 'g')"
     e = f"regexp_replace({e}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
     return (f"array_to_string(list_filter(string_split({e}, ' '), "
-            f"w -> regexp_full_match(w, '[a-z]+')), ' ')")
+            f"lambda w: regexp_full_match(w, '[a-z]+')), ' ')")
 
 # ---------------------------------------------------------------- analytics
 cte("dist_prod", ["c_split"], """
@@ -267,3 +267,49 @@ cte("cat_products", ["cat_rows"], """
     rating nulls first, rating_count nulls first, img_link, product_link) as rn
   from (select distinct product_id, product_name, about_product, category_1, category_2, discounted_price,
     actual_price, discount_percentage, rating, rating_count, img_link, product_link from cat_rows)) where rn = 1""")
+
+# ---------------------------------------------------------------- search
+cte("docs", ["cat_products"], f"""
+ select *, {text_clean_sql("concat_ws(' ', product_name, about_product, category_1, category_2)")} as description
+ from cat_products""")
+cte("bank", ["docs"], """
+ select word, count(*) as freq from (select unnest(string_split(description, ' ')) as word from docs)
+ where length(word) > 0 group by word""")
+cte("tf", ["docs"], """
+ select product_id, term, count(*) as tf from (select product_id,
+  unnest(list_filter(string_split(description, ' '), lambda w: length(w) >= 2)) as term from docs) group by all""")
+cte("idf", ["tf", "docs"], """
+ select term, count(*) as df, ln((1 + (select count(*) from docs)) / (1 + count(*))) + 1 as idf
+ from tf group by term""")
+cte("idx", ["tf", "idf"], """
+ select product_id, term, tf, w / sqrt(sum(w * w) over (partition by product_id)) as weight
+ from (select tf.product_id, tf.term, tf.tf, tf.tf * idf.idf as w from tf join idf on tf.term = idf.term)""")
+cte("qs", [], """
+ select * from (values (1, 'the worthless'), (2, 'tha ering'), (3, 'wrthless'), (4, 'zzzz')) as v(query_id, text)
+ union all select 1000 + p_partkey, lower(p_name) from part where p_partkey in (select doc_id from documents)""")
+cte("qwords", ["qs"], """
+ select query_id, unnest(ws) as word, unnest(range(len(ws))) as pos from
+ (select query_id, list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda w: length(w) > 0) as ws from qs)""")
+cte("fixw", ["qwords", "bank"], """
+ with uw as (select distinct word from qwords),
+ cand as (select u.word, b.word as cand, levenshtein(u.word, b.word) as dist, b.freq from uw u join bank b
+   on levenshtein(u.word, b.word) <= 2 where u.word not in (select word from bank)),
+ best as (select word, cand as corrected from (select *, row_number() over (partition by word
+   order by dist, freq desc, cand) as rn from cand) where rn = 1)
+ select word, word as corrected from uw where word in (select word from bank)
+ union all select uw.word, best.corrected from uw left join best on uw.word = best.word
+ where uw.word not in (select word from bank)""")
+cte("corr", ["qs", "qwords", "fixw"], """
+ select q.query_id, lower(q.text) as query,
+  coalesce(case when count(*) filter (where f.corrected is null) > 0 then ''
+   else string_agg(f.corrected, ' ' order by w.pos) end, '') as corrected
+ from qs q left join qwords w on q.query_id = w.query_id left join fixw f on w.word = f.word
+ group by q.query_id, lower(q.text)""")
+cte("qv", ["corr", "idf"], """
+ select query_id, term, w / sqrt(sum(w * w) over (partition by query_id)) as qweight from
+ (select query_id, term, tf * idf as w from (select query_id, term, count(*) as tf from
+   (select query_id, unnest(regexp_extract_all(lower(corrected), '[\\p{L}\\p{N}_]{2,}')) as term from corr)
+   group by all) t join idf using (term))""")
+cte("ranked", ["qv", "idx"], """
+ select *, row_number() over (partition by query_id order by round(similarity, 10) desc, product_id) as rank
+ from (select query_id, product_id, sum(qweight * weight) as similarity from qv join idx using (term) group by all)""")

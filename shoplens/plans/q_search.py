@@ -1 +1,153 @@
-"""Registered queries."""
+"""Registered queries: text cleaning, index, spelling, scoring, ranking and
+result policy (SURVEY 2.7, 2.8, 2.10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoplens.functions.text import text_clean
+from shoplens.operators import search as S
+from shoplens.plans.q_catalog import products
+from shoplens.plans.registry import register
+from shoplens.sources import files
+from shoplens.sources.fixtures import name_queries, search_queries
+
+
+def docs(spark, sf):
+    return S.build_description(products(spark, sf))
+
+
+def all_queries(spark, sf):
+    """The literal queries (ids 1-4) and one query per catalogue product
+    name (ids 1000 + part key)."""
+    named = name_queries(spark, sf).select((F.col("query_id") + 1000).alias("query_id"), "text")
+    return search_queries(spark).unionByName(named)
+
+
+def _pipeline(spark, sf):
+    d = docs(spark, sf)
+    index, idf = S.tfidf_index(d)
+    corr = S.correct_spelling(all_queries(spark, sf), S.word_bank(d))
+    return d, index, idf, corr
+
+
+@register("text_clean", ["cat_products"], f"""
+ select product_id, {__import__('shoplens.plans.oracle', fromlist=['x']).text_clean_sql('about_product')} as clean_text
+ from cat_products""")
+def q_text_clean(spark, sf):
+    return products(spark, sf).select("product_id", text_clean("about_product").alias("clean_text"))
+
+
+@register("build_description", ["docs"], "select product_id, description from docs")
+def q_build_description(spark, sf):
+    return docs(spark, sf).select("product_id", "description")
+
+
+@register("word_bank", ["bank"], "select * from bank")
+def q_word_bank(spark, sf):
+    return S.word_bank(docs(spark, sf))
+
+
+@register("vocab_union", ["bank"], "select word from bank")
+def q_vocab_union(spark, sf):
+    return S.vocab_union(docs(spark, sf))
+
+
+@register("explode_text", ["docs"], """
+ select product_id, word, count(*) as n from (select product_id, unnest(string_split(description, ' ')) as word
+  from docs) where length(word) > 0 group by all""")
+def q_explode_text(spark, sf):
+    return S.explode_text(docs(spark, sf)).groupBy("product_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sink_word_bank", ["bank"], "select word from bank")
+def q_sink_word_bank(spark, sf):
+    path = files.fresh_path(spark, "word-bank")
+    files.write_word_bank(S.word_bank(docs(spark, sf)), path)
+    return files.read_word_bank(spark, path)
+
+
+@register("src_word_bank", ["bank"], "select word from bank")
+def q_src_word_bank(spark, sf):
+    return q_sink_word_bank(spark, sf)
+
+
+@register("tfidf_index", ["idx"], "select * from idx", floats=["weight"])
+def q_tfidf_index(spark, sf):
+    return S.tfidf_index(docs(spark, sf))[0]
+
+
+@register("lowercase_query", ["qs"], "select query_id, lower(text) as query from qs")
+def q_lowercase_query(spark, sf):
+    return all_queries(spark, sf).select("query_id", F.lower("text").alias("query"))
+
+
+@register("correct_spelling", ["corr"], "select * from corr")
+def q_correct_spelling(spark, sf):
+    return _pipeline(spark, sf)[3]
+
+
+@register("tfidf_query", ["ranked"], "select * from ranked where rank <= 50", floats=["similarity"])
+def q_tfidf_query(spark, sf):
+    d, index, idf, corr = _pipeline(spark, sf)
+    return S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+
+
+@register("topk_similarity", ["ranked"], "select * from ranked where rank <= 10", floats=["similarity"])
+def q_topk_similarity(spark, sf):
+    d, index, idf, corr = _pipeline(spark, sf)
+    return S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 10)
+
+
+@register("search_result", ["ranked", "docs"], """
+ select r.query_id, r.rank, r.similarity, d.* from ranked r join docs d on r.product_id = d.product_id
+ where r.rank <= 50 and r.similarity > 0.10""",
+          floats=["similarity", "discounted_price", "actual_price", "discount_percentage", "rating", "rating_count"])
+def q_search_result(spark, sf):
+    d, index, idf, corr = _pipeline(spark, sf)
+    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    r = S.search_result(ranked, d, 0.10)
+    return r.select("query_id", "rank", "similarity", *d.columns)
+
+
+@register("search_result_join", ["ranked", "docs"], """
+ select r.query_id, r.rank, r.product_id, d.product_name from ranked r join docs d on r.product_id = d.product_id
+ where r.rank <= 50 and r.similarity > 0.10""")
+def q_search_result_join(spark, sf):
+    d, index, idf, corr = _pipeline(spark, sf)
+    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    return S.search_result(ranked, d.select("product_id", "product_name"), 0.10).select(
+        "query_id", "rank", "product_id", "product_name")
+
+
+@register("order_by_search_rank", ["ranked"], """
+ select query_id, rank, product_id from ranked where rank <= 50 and similarity > 0.10""")
+def q_order_by_search_rank(spark, sf):
+    d, index, idf, corr = _pipeline(spark, sf)
+    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    return ranked.filter(F.col("similarity") > 0.10).select("query_id", "rank", "product_id").orderBy("query_id", "rank")
+
+
+@register("search_policy", ["corr", "ranked"], """
+ select c.query_id, c.query, c.corrected, coalesce(h.hits, 0) as hits, c.query <> c.corrected as instead,
+  coalesce(h.hits, 0) > 0 and coalesce(h.hits, 0) < 10 as less_accurate, coalesce(h.hits, 0) = 0 as no_results
+ from corr c left join (select query_id, count(*) as hits from ranked where rank <= 50 and similarity > 0.10
+  group by query_id) h on c.query_id = h.query_id""")
+def q_search_policy(spark, sf):
+    d, index, idf, corr = _pipeline(spark, sf)
+    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    res = ranked.filter(F.col("similarity") > 0.10)
+    return S.search_policy(corr, res, 50)
+
+
+@register("expand_query")
+def q_expand_query(spark, sf):
+    return S.expand_query(all_queries(spark, sf), S.load_synonyms(spark))
+
+
+@register("fuzzy_match")
+def q_fuzzy_match(spark, sf):
+    d = docs(spark, sf)
+    words = S.split_queries(all_queries(spark, sf)).select("word")
+    terms = S.vocab_union(d).withColumnRenamed("word", "term")
+    return S.fuzzy_match(words, terms, 80)
