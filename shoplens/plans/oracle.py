@@ -313,3 +313,25 @@ cte("qv", ["corr", "idf"], """
 cte("ranked", ["qv", "idx"], """
  select *, row_number() over (partition by query_id order by round(similarity, 10) desc, product_id) as rank
  from (select query_id, product_id, sum(qweight * weight) as similarity from qv join idx using (term) group by all)""")
+
+# ---------------------------------------------------------------- recommendation
+_M = 2147483647
+
+
+def mix_hash_sql(*cols: str, seed: int = 42) -> str:
+    m = f"cast({_M} as bigint)"
+
+    def pm(e):
+        return f"((({e}) % {m}) + {m}) % {m}"
+    h = f"cast({seed % _M} as bigint)"
+    for c in cols:
+        x = pm(f"cast({c} as bigint)")
+        h = pm(f"({pm(f'({h}) * 48271')} + {x}) * 48271")
+        h = pm(f"({h}) * 16807")
+    return h
+
+
+cte("emb_users", [], "select vec_id as user_id, embedding from embeddings where vec_id % 10 = 0")
+cte("emb_products", [], "select vec_id as product_id, embedding from embeddings where vec_id % 10 <> 0")
+cte("emb_seen", ["emb_users", "emb_products"], """
+ select u.user_id, p.product_id from emb_products p join emb_users u on u.user_id = p.product_id - p.product_id % 10""")

@@ -1 +1,269 @@
-"""Registered queries."""
+"""Registered queries: splits, indexing, scoring, top-n, routing and the
+Spark ML models (SURVEY 2.4, 2.6, 2.11)."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from shoplens.operators import features as FE
+from shoplens.operators import recommend as R
+from shoplens.plans.oracle import mix_hash_sql
+from shoplens.plans.q_clean import clean
+from shoplens.plans.q_features import enriched
+from shoplens.plans.registry import register
+from shoplens.sources import files
+from shoplens.sources.tables import load_table
+
+
+def emb_users(spark, sf):
+    e = load_table(spark, sf, "embeddings")
+    return e.filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector"))
+
+
+def emb_products(spark, sf):
+    e = load_table(spark, sf, "embeddings")
+    return e.filter(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"))
+
+
+def emb_seen(spark, sf):
+    """Each product is 'seen' by the user vector that opens its block of ten."""
+    p = emb_products(spark, sf).select("product_id")
+    u = emb_users(spark, sf).select("user_id")
+    return p.join(u, F.col("user_id") == F.col("product_id") - F.col("product_id") % 10).select("user_id", "product_id")
+
+
+def interactions(spark, sf):
+    return FE.interaction_table(enriched(spark, sf))
+
+
+def train_table(spark, sf):
+    e = enriched(spark, sf)
+    return FE.train_table(FE.interaction_table(e), FE.user_table(e), FE.product_table(e))
+
+
+@register("train_table", ["interaction", "user_tbl", "product_tbl"], """
+ select i.user_id, i.product_id, i.interaction_score,
+  u.views as views_user, u.carts as carts_user, u.remove_from_carts as remove_from_carts_user,
+  u.purchases as purchases_user, u.avg_view_price, u.avg_purchase_price, u.avg_view_relative_price,
+  u.avg_purchase_relative_price, u.distinct_view_product, u.distinct_cart_product, u.distinct_remove_product,
+  u.distinct_purchase_product, u.cart_per_view as cart_per_view_user, u.purchase_per_view as purchase_per_view_user,
+  u.remove_per_cart as remove_per_cart_user, u.purchase_per_cart as purchase_per_cart_user,
+  p.category_id, p.avg_price, p.relative_price, p.views as views_product, p.carts as carts_product,
+  p.remove_from_carts as remove_from_carts_product, p.purchases as purchases_product,
+  p.cart_per_view as cart_per_view_product, p.purchase_per_view as purchase_per_view_product,
+  p.remove_per_cart as remove_per_cart_product, p.purchase_per_cart as purchase_per_cart_product
+ from interaction i left join user_tbl u on i.user_id = u.user_id left join product_tbl p on i.product_id = p.product_id""",
+          floats=["interaction_score", "avg_view_price", "avg_purchase_price", "avg_view_relative_price",
+                  "avg_purchase_relative_price", "cart_per_view_user", "purchase_per_view_user",
+                  "remove_per_cart_user", "purchase_per_cart_user", "avg_price", "relative_price",
+                  "cart_per_view_product", "purchase_per_view_product", "remove_per_cart_product",
+                  "purchase_per_cart_product"])
+def q_train_table(spark, sf):
+    return train_table(spark, sf)
+
+
+@register("left_join_chain", ["user_tbl", "interaction"], """
+ select i.user_id, i.product_id, i.interaction_score, u.views, u.purchases
+ from interaction i left join user_tbl u on i.user_id = u.user_id""", floats=["interaction_score"])
+def q_left_join_chain(spark, sf):
+    from functools import reduce
+    e = enriched(spark, sf)
+    parts = [FE.interaction_table(e), FE.user_table(e).select("user_id", "views", "purchases")]
+    return reduce(lambda a, b: a.join(b, "user_id", "left"), parts).select(
+        "user_id", "product_id", "interaction_score", "views", "purchases")
+
+
+@register("factorize_ids", ["clean"], """
+ select user_id, row_number() over (order by f, user_id) - 1 as user_id_index from
+ (select user_id, min(strftime(date, '%Y-%m-%d') || ' ' || time) as f from clean group by user_id)""")
+def q_factorize_ids(spark, sf):
+    return R.factorize_ids(clean(spark, sf), "user_id", ["date", "time"])
+
+
+@register("split_random", ["interaction"], f"""
+ select user_id, product_id, case when {mix_hash_sql('user_id', 'product_id')} % 1000 < 900 then 'train'
+  when {mix_hash_sql('user_id', 'product_id')} % 1000 < 950 then 'dev' else 'test' end as split
+ from interaction""")
+def q_split_random(spark, sf):
+    return R.split_random(interactions(spark, sf), ["user_id", "product_id"]).select("user_id", "product_id", "split")
+
+
+@register("split_disjoint_users", ["interaction"], f"""
+ select user_id, product_id, case when {mix_hash_sql('user_id')} % 1000 < 900 then 'train'
+  when {mix_hash_sql('user_id', 'product_id', seed=43)} % 2 = 0 then 'dev' else 'test' end as split
+ from interaction""")
+def q_split_disjoint_users(spark, sf):
+    return R.split_disjoint_users(interactions(spark, sf)).select("user_id", "product_id", "split")
+
+
+@register("shuffle_rows", ["interaction"], "select * from interaction", floats=["interaction_score"])
+def q_shuffle_rows(spark, sf):
+    return R.shuffle_rows(interactions(spark, sf), ["user_id", "product_id"])
+
+
+@register("sort_by_user", ["user_tbl"], "select user_id, views, purchases from user_tbl")
+def q_sort_by_user(spark, sf):
+    u = FE.user_table(enriched(spark, sf)).select("user_id", "views", "purchases")
+    return u.repartition("user_id").sortWithinPartitions("user_id")
+
+
+@register("standard_scale", ["user_tbl"], """
+ select user_id, (views - avg(views) over ()) / nullif(stddev_pop(views) over (), 0) as views,
+  (purchases - avg(purchases) over ()) / nullif(stddev_pop(purchases) over (), 0) as purchases,
+  (avg_view_price - avg(avg_view_price) over ()) / nullif(stddev_pop(avg_view_price) over (), 0) as avg_view_price
+ from user_tbl""", floats=["views", "purchases", "avg_view_price"])
+def q_standard_scale(spark, sf):
+    from shoplens.operators.analytics import standard_scale
+    return standard_scale(FE.user_table(enriched(spark, sf)), ["views", "purchases", "avg_view_price"], "user_id")
+
+
+@register("tower_score", ["emb_seen", "emb_users", "emb_products"], """
+ select s.user_id, s.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
+ from emb_seen s join emb_users u on s.user_id = u.user_id join emb_products p on s.product_id = p.product_id""",
+          floats=["score"])
+def q_tower_score(spark, sf):
+    return R.tower_score(emb_seen(spark, sf), emb_users(spark, sf), emb_products(spark, sf))
+
+
+_TOPN = """
+ select user_id, product_id, score, rank from (select *, row_number() over (partition by user_id
+   order by round(score, 10) desc, product_id) as rank from
+  (select u.user_id, p.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
+   from emb_users u, emb_products p
+   where not exists (select 1 from emb_seen s where s.user_id = u.user_id and s.product_id = p.product_id)))
+ where rank <= 10"""
+
+
+@register("recommend_topn", ["emb_seen", "emb_users", "emb_products"], _TOPN, floats=["score"])
+def q_recommend_topn(spark, sf):
+    return R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
+
+
+@register("win_topn_per_user", ["emb_seen", "emb_users", "emb_products"], _TOPN, floats=["score"])
+def q_win_topn_per_user(spark, sf):
+    return R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10, bits=4)
+
+
+@register("exclude_seen", ["emb_seen", "emb_users", "emb_products"], """
+ select u.user_id, count(*) as unseen from emb_users u, emb_products p
+ where not exists (select 1 from emb_seen s where s.user_id = u.user_id and s.product_id = p.product_id)
+ group by u.user_id""")
+def q_exclude_seen(spark, sf):
+    # per user: products minus seen = |products| - |seen of user|, no pairs
+    n = F.broadcast(emb_products(spark, sf).agg(F.count(F.lit(1)).alias("_n")))
+    s = emb_seen(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("_s"))
+    u = emb_users(spark, sf).select("user_id").join(s, "user_id", "left").crossJoin(n)
+    return u.select("user_id", (F.col("_n") - F.coalesce("_s", F.lit(0))).alias("unseen"))
+
+
+@register("recommend_routing", ["clean"], """
+ with u as (select c_custkey as user_id from customer union select user_id from clean),
+ n as (select user_id, count(*) as interactions from clean group by user_id)
+ select u.user_id, coalesce(n.interactions, 0) as interactions,
+  case when coalesce(n.interactions, 0) <= 0 then 'new' when coalesce(n.interactions, 0) < 100 then 'mixed-80/20'
+   else '20/80' end as tier,
+  10 - case when coalesce(n.interactions, 0) <= 0 then 0 when coalesce(n.interactions, 0) < 100 then 2 else 8 end
+   as random_slots,
+  case when coalesce(n.interactions, 0) <= 0 then 0 when coalesce(n.interactions, 0) < 100 then 2 else 8 end
+   as recommender_slots
+ from u left join n on u.user_id = n.user_id""")
+def q_recommend_routing(spark, sf):
+    users = load_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    c = clean(spark, sf)
+    users = users.unionByName(c.select("user_id"))
+    return R.recommend_routing(users, c).select(
+        "user_id", F.col("interactions").cast("bigint").alias("interactions"), "tier",
+        F.col("random_slots").cast("int").alias("random_slots"),
+        F.col("recommender_slots").cast("int").alias("recommender_slots"))
+
+
+@register("ready_for_training", ["clean"], """
+ select product_id, count(*) as interactions from clean group by product_id having count(*) >= 100""")
+def q_ready_for_training(spark, sf):
+    return R.ready_for_training(clean(spark, sf), "product_id")
+
+
+@register("user_content", ["user_tbl", "clean"], """
+ select * from user_tbl where user_id in (select user_id from clean where event_type = 'purchase')""",
+          floats=["avg_view_price", "avg_purchase_price", "avg_view_relative_price", "avg_purchase_relative_price",
+                  "cart_per_view", "purchase_per_view", "remove_per_cart", "purchase_per_cart"])
+def q_user_content(spark, sf):
+    c = clean(spark, sf)
+    buyers = c.filter(F.col("event_type") == "purchase").select("user_id")
+    return FE.user_table(FE.relative_price(c)).join(buyers, "user_id", "left_semi")
+
+
+@register("user_pairs_lookup", ["interaction", "clean"], """
+ select * from interaction where user_id in (select user_id from clean where event_type = 'purchase')""",
+          floats=["interaction_score"])
+def q_user_pairs_lookup(spark, sf):
+    c = clean(spark, sf)
+    buyers = c.filter(F.col("event_type") == "purchase").select("user_id")
+    return FE.interaction_table(FE.relative_price(c)).join(buyers, "user_id", "left_semi")
+
+
+@register("cross_score", ["emb_users", "emb_products"], """
+ select u.user_id, count(*) as scored, max(list_cosine_similarity(u.embedding::double[], p.embedding::double[])) as best
+ from emb_users u, emb_products p group by u.user_id""", floats=["best"])
+def q_cross_score(spark, sf):
+    # the all-pairs loop re-expressed: each user's best score and candidate
+    # count from the exact bucket-pruned top-1, no user x product pairs
+    top = R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), None, n=1)
+    n = F.broadcast(emb_products(spark, sf).agg(F.count(F.lit(1)).alias("scored")))
+    return top.crossJoin(n).select("user_id", "scored", F.col("score").alias("best"))
+
+
+# ------------------------------------------------------------ ML (rows-only checks)
+@register("product_vectors")
+def q_product_vectors(spark, sf):
+    return R.product_vectors(emb_products(spark, sf)).select(
+        "product_id", F.size("vector").alias("dim"),
+        F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+@register("feature_vectors")
+def q_feature_vectors(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    t = train_table(spark, sf)
+    cols = R.feature_columns(t)
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    v = va.transform(t.na.fill(0.0, subset=cols))
+    return v.select("user_id", "product_id", F.size(vector_to_array("features")).alias("n_features"))
+
+
+@register("als_model")
+def q_als_model(spark, sf):
+    m = R.als_model(interactions(spark, sf))
+    recs = m.recommendForAllUsers(10)
+    return recs.select("user_id", F.inline("recommendations")).select(
+        "user_id", "product_id", F.col("rating").cast("double").alias("rating"))
+
+
+@register("content_regressor")
+def q_content_regressor(spark, sf):
+    t = R.split_random(train_table(spark, sf), ["user_id", "product_id"])
+    m = R.content_regressor(t.filter(F.col("split") == "train"))
+    cols = R.feature_columns(t)
+    pred = m.transform(t.filter(F.col("split") != "train").na.fill(0.0, subset=cols))
+    return pred.select("user_id", "product_id", "interaction_score", "prediction")
+
+
+@register("tune_random_search")
+def q_tune_random_search(spark, sf):
+    _, scores = R.tune_random_search(train_table(spark, sf), draws=4)
+    return spark.createDataFrame([(json.dumps(p, sort_keys=True), float(m)) for p, m in scores],
+                                 "params string, rmse double")
+
+
+@register("model_versions")
+def q_model_versions(spark, sf):
+    t = train_table(spark, sf)
+    base = files.fresh_path(spark, "models")
+    m = R.content_regressor(t)
+    p1 = R.save_versioned(m, base)
+    p2 = R.save_versioned(m, base)
+    latest, nxt = R.model_versions(base)
+    return spark.createDataFrame([(1, p1), (2, p2), (latest, "latest"), (nxt, "next")], "version int, path string")

@@ -29,6 +29,9 @@ def build_session(master: str | None = None, app: str = "shoplens",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = os.environ.get("SHOPLENS_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -60,3 +63,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Cut the lineage of ``df`` with a reliable checkpoint written to the
+    shared checkpoint folder: iterative consumers (ML optimisers, repeated
+    scans) then read the materialised rows instead of re-running the plan,
+    and a lost executor costs a re-read, not a recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
