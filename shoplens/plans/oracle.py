@@ -335,3 +335,24 @@ cte("emb_users", [], "select vec_id as user_id, embedding from embeddings where
 cte("emb_products", [], "select vec_id as product_id, embedding from embeddings where vec_id % 10 <> 0")
 cte("emb_seen", ["emb_users", "emb_products"], """
  select u.user_id, p.product_id from emb_products p join emb_users u on u.user_id = p.product_id - p.product_id % 10""")
+
+# ---------------------------------------------------------------- per-file cleaning
+cte("c_canon_day", ["c_split"], """
+ select product_id, cast(event_time as date) as d, first(brand order by event_time, brand) as canonical_brand
+ from c_split where brand is not null and brand <> '' and lower(brand) <> 'nan'
+ group by product_id, cast(event_time as date)""")
+cte("c_brand_day", ["c_split", "c_canon_day"], """
+ select s.event_time, s.event_type, s.product_id, s.category_id, s.main_category, s.sub_category,
+  coalesce(c.canonical_brand, s.brand) as brand, s.price, s.user_id, s.user_session
+ from c_split s left join c_canon_day c on s.product_id = c.product_id and cast(s.event_time as date) = c.d""")
+cte("clean_day", ["c_brand_day"], """
+ select cast(event_time as date) as date, cast(isodow(event_time) - 1 as integer) as weekday,
+  strftime(event_time, '%H:%M:%S') as time, event_type, product_id, category_id, main_category,
+  sub_category, brand, price, user_id, user_session from (
+ select event_time, event_type, product_id, category_id, main_category, sub_category, brand, price, user_id, user_session
+ from (select *, row_number() over (partition by event_type, product_id, user_id, user_session
+        order by event_time, category_id nulls first, main_category nulls first, sub_category nulls first,
+                 brand nulls first, price nulls first) as rn
+       from c_brand_day where event_type in ('cart', 'remove_from_cart')) where rn = 1
+ union all
+ select * from c_brand_day where event_type is null or event_type not in ('cart', 'remove_from_cart'))""")

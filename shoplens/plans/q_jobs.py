@@ -1 +1,243 @@
-"""Registered queries."""
+"""Registered queries: sinks (write, then read back what was written) and
+the incremental job (SURVEY 2.1, 2.12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shoplens.operators import clean as C
+from shoplens.operators import features as FE
+from shoplens.plans import pipelines
+from shoplens.plans.q_clean import clean
+from shoplens.plans.registry import register
+from shoplens.session import scratch_path
+from shoplens.sources import files
+from shoplens.sources.fixtures import shop
+from shoplens.sources.schemas import RAW_EVENT
+
+
+@register("sink_clean", ["clean"], "select * from clean", floats=["price"])
+def q_sink_clean(spark, sf):
+    path = files.fresh_path(spark, "clean")
+    pipelines.clean_job(shop(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("src_events_csv", ["shop"], """
+ select date_trunc('second', event_time) as event_time, event_type, product_id, category_id, category_code,
+  brand, price, user_id, user_session from shop""", floats=["price"])
+def q_src_events_csv(spark, sf):
+    path = files.fresh_path(spark, "events-csv")
+    files.write_events_csv(shop(spark, sf), path)
+    return files.read_events_csv(spark, path)
+
+
+@register("sink_features", ["product_tbl"], "select * from product_tbl",
+          floats=["avg_price", "relative_price", "cart_per_view", "purchase_per_view", "remove_per_cart",
+                  "purchase_per_cart"])
+def q_sink_features(spark, sf):
+    base = files.fresh_path(spark, "features")
+    cpath = f"{base}/clean"
+    pipelines.clean_job(shop(spark, sf), cpath)
+    out = pipelines.feature_job(spark, cpath, f"{base}/out")
+    return spark.read.parquet(out["product"])
+
+
+@register("sink_descriptions", ["docs"], "select product_id, description from docs")
+def q_sink_descriptions(spark, sf):
+    from shoplens.plans.q_search import docs
+    path = files.fresh_path(spark, "descriptions")
+    files.write_table(docs(spark, sf).select("product_id", "description"), path)
+    return spark.read.parquet(path)
+
+
+@register("sink_catalog", ["cat_products"], "select * from cat_products",
+          floats=["discounted_price", "actual_price", "discount_percentage", "rating", "rating_count"])
+def q_sink_catalog(spark, sf):
+    from shoplens.plans.q_catalog import products
+    path = files.fresh_path(spark, "catalog")
+    files.write_table(products(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("sink_eda_checkpoint", ["c_split"], "select * from c_split", floats=["price"])
+def q_sink_eda_checkpoint(spark, sf):
+    from shoplens.plans.q_analytics import split
+    path = files.fresh_path(spark, "eda")
+    files.write_table(split(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("job_monthly_incremental", ["clean_day"], "select * from clean_day", floats=["price"])
+def q_job_monthly_incremental(spark, sf):
+    """Raw events written one file per day, then cleaned file by file by an
+    availableNow stream; the brand fill sees one file at a time, as the
+    reference's per-file job does."""
+    from shoplens.streaming.incremental import clean_new_files
+    base = files.fresh_path(spark, "incremental")
+    raw_dir = f"{base}/raw"
+    (shop(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
+     .repartition("day").write.partitionBy("day").parquet(raw_dir))
+    schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
+    out = f"{base}/clean"
+    clean_new_files(spark, raw_dir, schema, out, f"{base}/checkpoint", files_per_batch=1, drop_cols=("day",))
+    return spark.read.parquet(out).drop("batch").select(*C.CLEAN_COLUMNS)
+
+
+@register("recency_days_coef", ["rel"], """
+ select user_id, product_id, event_type, date, date_diff('day', date, (select max(date) from rel)) as recency,
+  exp(ln(0.5) * date_diff('day', date, (select max(date) from rel))::double / 15.0) as recency_coef from rel""",
+          floats=["recency_coef"])
+def q_recency_days_coef(spark, sf):
+    from shoplens.plans.q_features import enriched
+    return FE.recency(enriched(spark, sf)).select("user_id", "product_id", "event_type", "date", "recency",
+                                                  "recency_coef")
+
+
+@register("interaction_rates", ["prod_base"], """
+ select product_id, 100.0 * (case when views = 0 then carts::double else carts / views end) as cart_per_view,
+  100.0 * (case when views = 0 then purchases::double else purchases / views end) as purchase_per_view,
+  100.0 * (case when carts = 0 then remove_from_carts::double else remove_from_carts / carts end) as remove_per_cart,
+  100.0 * (case when carts = 0 then purchases::double else purchases / carts end) as purchase_per_cart
+ from prod_base""", floats=["cart_per_view", "purchase_per_view", "remove_per_cart", "purchase_per_cart"])
+def q_interaction_rates(spark, sf):
+    from shoplens.functions.columns import rate_or_count
+    from shoplens.plans.q_features import enriched
+    e = enriched(spark, sf)
+    g = e.groupBy("product_id").agg(*[F.count_if(F.col("event_type") == t).alias(n) for t, n in zip(
+        C.EVENT_TYPES, FE.COUNT_COLUMNS)])
+    return g.select("product_id", rate_or_count("carts", "views").alias("cart_per_view"),
+                    rate_or_count("purchases", "views").alias("purchase_per_view"),
+                    rate_or_count("remove_from_carts", "carts").alias("remove_per_cart"),
+                    rate_or_count("purchases", "carts").alias("purchase_per_cart"))
+
+
+@register("format_time_date", ["clean"], """
+ select product_id, category_id, main_category, sub_category, brand, time, strftime(date, '%d/%m/%Y') as date
+ from clean""")
+def q_format_time_date(spark, sf):
+    return clean(spark, sf).select("product_id", "category_id", "main_category", "sub_category", "brand", "time",
+                                   F.date_format("date", "dd/MM/yyyy").alias("date"))
+
+
+@register("date_to_string", ["clean"], "select cast(date as varchar) as date, event_type, product_id from clean")
+def q_date_to_string(spark, sf):
+    return clean(spark, sf).select(F.col("date").cast("string").alias("date"), "event_type", "product_id")
+
+
+@register("split_datetime", ["c_dedup"], """
+ select cast(event_time as date) as date, cast(isodow(event_time) - 1 as integer) as weekday,
+  strftime(event_time, '%H:%M:%S') as time, event_type, product_id, category_id, brand, price, user_id, user_session
+ from c_dedup""", floats=["price"])
+def q_split_datetime(spark, sf):
+    return C.split_datetime(C.drop_duplicates(shop(spark, sf)))
+
+
+@register("update_join", ["c_split"], """
+ select s.* replace (coalesce(b.brand, s.brand) as brand) from c_split s
+ left join (select product_id, max(brand) as brand from c_split group by product_id) b on s.product_id = b.product_id""",
+          floats=["price"])
+def q_update_join(spark, sf):
+    from shoplens.plans.q_analytics import split
+    s = split(spark, sf)
+    return C.fill_brand(s, C.canonical_brand_max(s).withColumnRenamed("brand", "canonical_brand"))
+
+
+@register("brand_fill_audit", ["c_split"], """
+ select o.* from c_split o join (select product_id, max(brand) as brand from c_split group by product_id) n
+ on o.product_id = n.product_id where coalesce(o.brand, '') = '' and coalesce(n.brand, '') <> ''""",
+          floats=["price"])
+def q_brand_fill_audit(spark, sf):
+    from shoplens.plans.q_analytics import split
+    s = split(spark, sf)
+    n = C.canonical_brand_max(s).withColumnRenamed("brand", "_nb")
+    return s.join(n, "product_id").filter(
+        (F.coalesce(F.col("brand"), F.lit("")) == "") & (F.coalesce(F.col("_nb"), F.lit("")) != "")
+    ).select(*s.columns)
+
+
+@register("fill_zero", ["clean"], """
+ select p.product_id, coalesce(c.purchases, 0) as purchases from (select distinct product_id from clean) p
+ left join (select product_id, count(*) as purchases from clean where event_type = 'purchase' group by 1) c
+ on p.product_id = c.product_id""")
+def q_fill_zero(spark, sf):
+    c = clean(spark, sf)
+    pur = c.filter(F.col("event_type") == "purchase").groupBy("product_id").agg(F.count(F.lit(1)).alias("purchases"))
+    return c.select("product_id").distinct().join(pur, "product_id", "left").na.fill(0, ["purchases"])
+
+
+@register("share_of_total", ["clean"], """
+ select brand, count(*) as events, count(*) / sum(count(*)) over () as share from clean
+ where brand is not null group by brand""", floats=["share"])
+def q_share_of_total(spark, sf):
+    g = clean(spark, sf).filter(F.col("brand").isNotNull()).groupBy("brand").agg(F.count(F.lit(1)).alias("events"))
+    tot = FE.one_row(g.agg(F.sum("events").alias("_t")))
+    return g.crossJoin(tot).select("brand", "events", (F.col("events") / F.col("_t")).alias("share"))
+
+
+@register("weekday_name", ["clean"], f"""
+ select distinct weekday, ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][weekday + 1] as name
+ from clean""")
+def q_weekday_name(spark, sf):
+    from shoplens.functions.columns import weekday_name
+    return clean(spark, sf).select("weekday", weekday_name("weekday").alias("name")).distinct()
+
+
+@register("hour_of_day", ["clean"], """
+ select cast(substr(time, 1, 2) as integer) as hour, count(*) as events from clean group by 1""")
+def q_hour_of_day(spark, sf):
+    from shoplens.operators.analytics import hour_of_time
+    return clean(spark, sf).groupBy(hour_of_time().alias("hour")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("weighted_rates", ["prod_base"], """
+ with r0 as (select product_id, views, carts,
+   100.0 * (case when views = 0 then carts::double else carts / views end) as r_cv,
+   100.0 * (case when carts = 0 then purchases::double else purchases / carts end) as r_pc from prod_base),
+ tot as (select sum(views) as tv, sum(carts) as tc from prod_base)
+ select product_id, coalesce(r_cv * (case when tv = 0 then null else views / tv end), 0) as cart_per_view,
+  coalesce(r_pc * (case when tc = 0 then null else carts / tc end), 0) as purchase_per_cart from r0, tot""",
+          floats=["cart_per_view", "purchase_per_cart"])
+def q_weighted_rates(spark, sf):
+    from shoplens.functions.columns import rate_or_count, safe_div
+    from shoplens.plans.q_features import enriched
+    e = enriched(spark, sf)
+    g = e.groupBy("product_id").agg(*[F.count_if(F.col("event_type") == t).alias(n) for t, n in zip(
+        C.EVENT_TYPES, FE.COUNT_COLUMNS)])
+    tot = FE.one_row(g.agg(F.sum("views").alias("_tv"), F.sum("carts").alias("_tc")))
+    j = g.crossJoin(tot)
+    return j.select("product_id",
+                    F.coalesce(rate_or_count("carts", "views") * safe_div(F.col("views"), F.col("_tv")),
+                               F.lit(0.0)).alias("cart_per_view"),
+                    F.coalesce(rate_or_count("purchases", "carts") * safe_div(F.col("carts"), F.col("_tc")),
+                               F.lit(0.0)).alias("purchase_per_cart"))
+
+
+@register("min_max_normalise", ["product_tbl"], """
+ select product_id, cart_per_view, purchase_per_view, remove_per_cart, purchase_per_cart from product_tbl""",
+          floats=["cart_per_view", "purchase_per_view", "remove_per_cart", "purchase_per_cart"])
+def q_min_max_normalise(spark, sf):
+    from shoplens.plans.q_features import enriched
+    return FE.product_table(enriched(spark, sf)).select("product_id", *FE.RATE_COLUMNS)
+
+
+@register("weighted_score_clamp", ["interaction"], """
+ select count(*) filter (where interaction_score = 0) as at_zero, count(*) filter (where interaction_score = 100)
+  as at_hundred, count(*) as pairs from interaction""")
+def q_weighted_score_clamp(spark, sf):
+    from shoplens.plans.q_features import enriched
+    i = FE.interaction_table(enriched(spark, sf))
+    return i.agg(F.count_if(F.col("interaction_score") == 0).alias("at_zero"),
+                 F.count_if(F.col("interaction_score") == 100).alias("at_hundred"),
+                 F.count(F.lit(1)).alias("pairs"))
+
+
+@register("cast_user_table", ["user_tbl"], """
+ select user_id, views, carts, remove_from_carts, purchases, distinct_view_product, distinct_purchase_product
+ from user_tbl""")
+def q_cast_user_table(spark, sf):
+    from shoplens.plans.q_features import enriched
+    return FE.user_table(enriched(spark, sf)).select(
+        "user_id", "views", "carts", "remove_from_carts", "purchases", "distinct_view_product",
+        "distinct_purchase_product")
