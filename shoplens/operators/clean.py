@@ -100,25 +100,39 @@ def fill_brand(df: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
                       else F.col(c) for c in cols])
 
 
-def dedup_session_events(df: DataFrame, event_type: str, keep: str = "first",
+def dedup_session_events(df: DataFrame, event_types, keep="first",
                          order_cols: list[str] | None = None) -> DataFrame:
-    """Keep one ``event_type`` row per (product_id, user_id, user_session):
-    the first (or last) by time, remaining columns as tie-break. Other event
-    types pass through untouched.
-
-    Written as a min/max of a struct per key: a hash aggregate with map-side
-    combine, no global sort and no per-key row buffering.
+    """Keep one row per (event_type, product_id, user_id, user_session) for
+    each of ``event_types``: the first (or last) by time, remaining columns
+    as tie-break. Rows of other event types pass through untouched.
+    ``keep`` is one value or a dict per event type.
+
+    Written as a min/max of a struct per key in a single aggregate for all
+    the listed types: map-side combine, no global sort, no per-key row
+    buffering, one scan of the input.
     """
-    if keep not in ("first", "last"):
+    types = [event_types] if isinstance(event_types, str) else list(event_types)
+    keeps = keep if isinstance(keep, dict) else {t: keep for t in types}
+    if any(k not in ("first", "last") for k in keeps.values()):
         raise ValueError("keep must be 'first' or 'last'")
     cols = df.columns
     order_cols = order_cols or (["event_time"] if "event_time" in cols else ["date", "time"])
-    rest = [c for c in cols if c not in SESSION_KEY and c not in order_cols]
+    rest = [c for c in cols if c not in SESSION_KEY and c not in order_cols and c != "event_type"]
     packed = F.struct(*[F.col(c) for c in order_cols + rest])
-    pick = F.min(packed) if keep == "first" else F.max(packed)
-    is_t = F.coalesce(F.col("event_type") == event_type, F.lit(False))
-    chosen = (df.filter(is_t).groupBy(*SESSION_KEY).agg(pick.alias("_r"))
-              .select(*[F.col(c) if c in SESSION_KEY else F.col("_r." + c).alias(c) for c in cols]))
+    is_t = F.coalesce(F.col("event_type").isin(*types), F.lit(False))
+    keys = ["event_type"] + SESSION_KEY
+    firsts = [t for t in types if keeps[t] == "first"]
+    lasts = [t for t in types if keeps[t] == "last"]
+    aggs = []
+    if firsts:
+        aggs.append(F.min(F.when(F.col("event_type").isin(*firsts), packed)).alias("_f"))
+    if lasts:
+        aggs.append(F.max(F.when(F.col("event_type").isin(*lasts), packed)).alias("_l"))
+    g = df.filter(is_t).groupBy(*keys).agg(*aggs)
+    pick = (F.col("_f") if not lasts else F.col("_l") if not firsts
+            else F.coalesce(F.col("_f"), F.col("_l")))
+    chosen = g.withColumn("_r", pick).select(
+        *[F.col(c) if c in keys else F.col("_r." + c).alias(c) for c in cols])
     return df.filter(~is_t).unionByName(chosen)
 
 
@@ -130,6 +144,13 @@ def drop_remove_cart_duplicates(df: DataFrame, keep: str = "first") -> DataFrame
     return dedup_session_events(df, "remove_from_cart", keep)
 
 
+def drop_session_duplicates(df: DataFrame, remove_keep: str = "first") -> DataFrame:
+    """Both session de-duplications (remove_from_cart, then cart) in one
+    aggregate: they touch disjoint rows, so the order does not matter."""
+    return dedup_session_events(df, ["remove_from_cart", "cart"],
+                                {"remove_from_cart": remove_keep, "cart": "first"})
+
+
 def split_datetime(df: DataFrame) -> DataFrame:
     """event_time -> date, weekday (Monday = 0), time ``HH:mm:ss``; the
     clean column order."""
@@ -147,6 +168,5 @@ def clean_events(raw: DataFrame, remove_keep: str = "first") -> DataFrame:
     df = drop_neg_price(df)
     df = split_category_code(df)
     df = fill_brand(df)
-    df = drop_remove_cart_duplicates(df, remove_keep)
-    df = drop_cart_duplicates(df)
+    df = drop_session_duplicates(df, remove_keep)
     return split_datetime(df)

@@ -102,20 +102,36 @@ def recommend_routing(users: DataFrame, events: DataFrame, list_size: int = 10,
                     (F.lit(list_size) - rec).alias("random_slots"), rec.alias("recommender_slots"))
 
 
-def route_list(routing: DataFrame, recommended: DataFrame, candidates: DataFrame, seed: int = 42) -> DataFrame:
+def route_list(routing: DataFrame, recommended: DataFrame, products: DataFrame,
+               seen: DataFrame | None = None, seed: int = 42, oversample: int = 3) -> DataFrame:
     """Final list per user: the recommender's best ``recommender_slots`` and
-    ``random_slots`` seeded-random unseen candidates not already chosen.
-    ``recommended`` has (user_id, product_id, rank); ``candidates`` has
-    (user_id, product_id)."""
-    r = recommended.join(routing.select("user_id", "recommender_slots"), "user_id") \
-                   .filter(F.col("rank") <= F.col("recommender_slots")) \
-                   .select("user_id", "product_id", F.lit("recommender").alias("source"))
-    pool = candidates.join(r.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(mix_hash("user_id", "product_id", seed=seed), "product_id")
-    rnd = pool.withColumn("_k", F.row_number().over(w)) \
-              .join(routing.select("user_id", "random_slots"), "user_id") \
-              .filter(F.col("_k") <= F.col("random_slots")) \
-              .select("user_id", "product_id", F.lit("random").alias("source"))
+    ``random_slots`` seeded-random products the user has not seen and that
+    the recommender did not pick.
+
+    No user x product pairs: products get a dense index (``factorize_ids``);
+    each user draws ``oversample * random_slots`` hashed indices, equi-joins
+    them to the index, drops seen / recommended / repeated draws and keeps
+    the first ``random_slots`` draws. ``recommended`` has
+    (user_id, product_id, rank); ``products`` has product_id.
+    """
+    r = (recommended.join(routing.select("user_id", "recommender_slots"), "user_id")
+         .filter(F.col("rank") <= F.col("recommender_slots"))
+         .select("user_id", "product_id", F.lit("recommender").alias("source")))
+    idx = factorize_ids(products.select("product_id").distinct(), "product_id", ["product_id"])
+    n = one_row(idx.agg(F.count(F.lit(1)).alias("_n")))
+    draws = (routing.filter(F.col("random_slots") > 0)
+             .select("user_id", "random_slots",
+                     F.explode(F.sequence(F.lit(1), F.col("random_slots") * oversample)).alias("draw"))
+             .crossJoin(n)
+             .withColumn("product_id_index", F.pmod(mix_hash("user_id", "draw", seed=seed), F.col("_n"))))
+    picked = draws.join(idx, "product_id_index")
+    if seen is not None:
+        picked = picked.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+    picked = picked.join(r.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+    first = picked.groupBy("user_id", "product_id", "random_slots").agg(F.min("draw").alias("draw"))
+    w = Window.partitionBy("user_id").orderBy("draw")
+    rnd = (first.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("random_slots"))
+           .select("user_id", "product_id", F.lit("random").alias("source")))
     return r.unionByName(rnd)
 
 

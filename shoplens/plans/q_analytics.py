@@ -21,7 +21,10 @@ MAIN_VALUE = "large"
 
 
 def split(spark, sf):
-    return C.split_category_code(C.drop_neg_price(C.drop_duplicates(shop(spark, sf))))
+    """Distinct, non-negative, category-split raw events as a shared stage."""
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, "split", lambda: C.split_category_code(
+        C.drop_neg_price(C.drop_duplicates(shop(spark, sf)))))
 
 
 def dist_prod(spark, sf):

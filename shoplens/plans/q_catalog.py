@@ -15,11 +15,14 @@ CAT_FLOATS = ["discounted_price", "actual_price", "discount_percentage", "rating
 
 
 def rows(spark, sf):
-    return K.clean_catalog_rows(catalog(spark, sf))
+    """Clean catalogue rows, one per (product, reviewer), as a shared stage."""
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, "catalog_rows", lambda: K.clean_catalog_rows(catalog(spark, sf)))
 
 
 def products(spark, sf):
-    return K.product_table(rows(spark, sf))
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, "catalog_products", lambda: K.product_table(rows(spark, sf)))
 
 
 @register("src_catalog_csv", ["catalog_raw"], "select * from catalog_raw")
@@ -117,7 +120,7 @@ def q_positional_zip(spark, sf):
 
 @register("distinct_product_names", ["cat_products"], "select * from cat_products", floats=CAT_FLOATS)
 def q_distinct_product_names(spark, sf):
-    return products(spark, sf)
+    return K.product_table(rows(spark, sf))
 
 
 @register("user_review_counts", ["cat_rows"], """
@@ -136,7 +139,7 @@ def q_active_users(spark, sf):
 @register("join_sentiment", ["cat_final"], "select * from cat_final",
           floats=CAT_FLOATS + ["price_difference", "neg", "neu", "pos", "compound"])
 def q_join_sentiment(spark, sf):
-    return K.clean_catalog(catalog(spark, sf), sentiment(spark, sf))
+    return K.join_sentiment(rows(spark, sf), sentiment(spark, sf)).select(*K.FINAL_COLUMNS)
 
 
 @register("ids_not_in", ["cat_rows", "sentiment"], """

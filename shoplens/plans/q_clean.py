@@ -11,7 +11,9 @@ from shoplens.sources.fixtures import shop
 
 
 def clean(spark, sf):
-    return C.clean_events(shop(spark, sf))
+    """Clean events (M2) as a shared stage table."""
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, "clean", lambda: C.clean_events(shop(spark, sf)))
 
 
 @register("drop_duplicates", ["c_dedup"], "select * from c_dedup", floats=["price"])
@@ -54,9 +56,9 @@ def q_join_canonical_brand(spark, sf):
 @register("drop_cart_duplicates", ["c_sess"], "select * from c_sess", floats=["price"])
 def q_drop_cart_duplicates(spark, sf):
     df = C.fill_brand(C.split_category_code(C.drop_neg_price(C.drop_duplicates(shop(spark, sf)))))
-    return C.drop_cart_duplicates(C.drop_remove_cart_duplicates(df))
+    return C.drop_session_duplicates(df)
 
 
 @register("clean_events", ["clean"], "select * from clean", floats=["price"])
 def q_clean_events(spark, sf):
-    return clean(spark, sf)
+    return C.clean_events(shop(spark, sf))

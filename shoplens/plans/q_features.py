@@ -14,7 +14,9 @@ USER_FLOATS = ["avg_view_price", "avg_purchase_price", "avg_view_relative_price"
 
 
 def enriched(spark, sf):
-    return FE.relative_price(clean(spark, sf))
+    """Clean events + relative_price (M3) as a shared stage table."""
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, "enriched", lambda: FE.relative_price(clean(spark, sf)))
 
 
 @register("category_price_quartiles", ["cat_q"],
@@ -26,7 +28,7 @@ def q_category_price_quartiles(spark, sf):
 
 @register("relative_price", ["rel"], "select * from rel", floats=["price", "relative_price"])
 def q_relative_price(spark, sf):
-    return enriched(spark, sf)
+    return FE.relative_price(clean(spark, sf))
 
 
 @register("product_table", ["product_tbl"], "select * from product_tbl", floats=PRODUCT_FLOATS)

@@ -241,3 +241,89 @@ def q_cast_user_table(spark, sf):
     return FE.user_table(enriched(spark, sf)).select(
         "user_id", "views", "carts", "remove_from_carts", "purchases", "distinct_view_product",
         "distinct_purchase_product")
+
+
+@register("src_catalog_web", ["docs"], "select * from docs",
+          floats=["discounted_price", "actual_price", "discount_percentage", "rating", "rating_count"])
+def q_src_catalog_web(spark, sf):
+    """The search-ready catalogue (product rows + description) as the web
+    page loads it: written once as parquet, read back."""
+    from shoplens.plans.q_search import docs
+    path = files.fresh_path(spark, "catalog-web")
+    files.write_table(docs(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("drop_remove_cart_duplicates", ["c_brand"], """
+ select event_time, event_type, product_id, category_id, main_category, sub_category, brand, price, user_id, user_session
+ from (select *, row_number() over (partition by product_id, user_id, user_session
+        order by event_time, category_id nulls first, main_category nulls first, sub_category nulls first,
+                 brand nulls first, price nulls first) as rn
+       from c_brand where event_type = 'remove_from_cart') where rn = 1
+ union all select * from c_brand where event_type is null or event_type <> 'remove_from_cart'""", floats=["price"])
+def q_drop_remove_cart_duplicates(spark, sf):
+    from shoplens.plans.q_analytics import split
+    return C.drop_remove_cart_duplicates(C.fill_brand(split(spark, sf)), keep="first")
+
+
+@register("join_category_stats", ["clean", "cat_q"], """
+ select c.product_id, c.user_id, c.category_id, c.price, q.q1 as Q1, q.med as median, q.q3 as Q3
+ from clean c left join cat_q q on c.category_id = q.category_id""",
+          floats=["price", "Q1", "median", "Q3"])
+def q_join_category_stats(spark, sf):
+    c = clean(spark, sf)
+    q = FE.category_price_quartiles(c)
+    return c.join(q, "category_id", "left").select("product_id", "user_id", "category_id", "price", "Q1",
+                                                   "median", "Q3")
+
+
+@register("user_interaction", ["rel"], """
+ select user_id,
+  count(*) filter (where event_type = 'view') as views,
+  count(*) filter (where event_type = 'cart') as carts,
+  count(*) filter (where event_type = 'remove_from_cart') as remove_from_carts,
+  count(*) filter (where event_type = 'purchase') as purchases,
+  coalesce(avg(price) filter (where event_type = 'view'), 0) as avg_view_price,
+  coalesce(avg(price) filter (where event_type = 'cart'), 0) as avg_purchase_price,
+  coalesce(avg(relative_price) filter (where event_type = 'view'), 0) as avg_view_relative_price,
+  coalesce(avg(relative_price) filter (where event_type = 'cart'), 0) as avg_purchase_relative_price,
+  count(distinct product_id) filter (where event_type = 'view') as distinct_view_product,
+  count(distinct product_id) filter (where event_type = 'cart') as distinct_cart_product,
+  count(distinct product_id) filter (where event_type = 'remove_from_cart') as distinct_remove_product,
+  count(distinct product_id) filter (where event_type = 'purchase') as distinct_purchase_product
+ from rel group by user_id""",
+          floats=["avg_view_price", "avg_purchase_price", "avg_view_relative_price", "avg_purchase_relative_price"])
+def q_user_interaction(spark, sf):
+    from shoplens.plans.q_features import enriched
+    return FE.user_interaction(enriched(spark, sf))
+
+
+@register("truncate_name", ["catalog_raw"], """
+ select product_id, case when length(about_product) > 300 then substr(about_product, 1, 300) || '...'
+  else about_product end as short_text from catalog_raw""")
+def q_truncate_name(spark, sf):
+    from shoplens.functions.columns import truncate_text
+    from shoplens.sources.fixtures import catalog
+    return catalog(spark, sf).select("product_id", truncate_text("about_product", 300).alias("short_text"))
+
+
+@register("star_bar", ["cat_typed"], """
+ select product_id, rating, repeat('★', least(greatest(cast(floor(rating) as integer), 0), 5))
+  || repeat('☆', 5 - least(greatest(cast(floor(rating) as integer), 0), 5)) as stars from cat_typed""",
+          floats=["rating"])
+def q_star_bar(spark, sf):
+    from shoplens.functions.columns import star_bar
+    from shoplens.operators import catalog as K
+    from shoplens.sources.fixtures import catalog
+    df = K.fill_rating(K.numeric_processing(catalog(spark, sf).dropDuplicates()))
+    return df.select("product_id", "rating", star_bar("rating").alias("stars"))
+
+
+@register("count_commas", ["catalog_raw"], """
+ select product_id, length(user_id) - length(replace(user_id, ',', '')) as id_commas,
+  length(user_name) - length(replace(user_name, ',', '')) as name_commas from catalog_raw""")
+def q_count_commas(spark, sf):
+    from shoplens.functions.columns import count_char
+    from shoplens.sources.fixtures import catalog
+    return catalog(spark, sf).select("product_id", count_char("user_id", ",").cast("bigint").alias("id_commas"),
+                                     count_char("user_name", ",").cast("bigint").alias("name_commas"))

@@ -34,13 +34,25 @@ def emb_seen(spark, sf):
     return p.join(u, F.col("user_id") == F.col("product_id") - F.col("product_id") % 10).select("user_id", "product_id")
 
 
+def _stage(spark, sf, name, build):
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, name, build)
+
+
 def interactions(spark, sf):
-    return FE.interaction_table(enriched(spark, sf))
+    return _stage(spark, sf, "interactions", lambda: FE.interaction_table(enriched(spark, sf)))
+
+
+def users(spark, sf):
+    return _stage(spark, sf, "users", lambda: FE.user_table(enriched(spark, sf)))
+
+
+def products_tbl(spark, sf):
+    return _stage(spark, sf, "products", lambda: FE.product_table(enriched(spark, sf)))
 
 
 def train_table(spark, sf):
-    e = enriched(spark, sf)
-    return FE.train_table(FE.interaction_table(e), FE.user_table(e), FE.product_table(e))
+    return FE.train_table(interactions(spark, sf), users(spark, sf), products_tbl(spark, sf))
 
 
 @register("train_table", ["interaction", "user_tbl", "product_tbl"], """

@@ -14,7 +14,9 @@ from shoplens.sources.fixtures import name_queries, search_queries
 
 
 def docs(spark, sf):
-    return S.build_description(products(spark, sf))
+    """Products with their cleaned description, as a shared stage."""
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, "docs", lambda: S.build_description(products(spark, sf)))
 
 
 def all_queries(spark, sf):
@@ -40,7 +42,7 @@ def q_text_clean(spark, sf):
 
 @register("build_description", ["docs"], "select product_id, description from docs")
 def q_build_description(spark, sf):
-    return docs(spark, sf).select("product_id", "description")
+    return S.build_description(products(spark, sf)).select("product_id", "description")
 
 
 @register("word_bank", ["bank"], "select * from bank")

@@ -65,10 +65,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def materialize(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint written to the
-    shared checkpoint folder: iterative consumers (ML optimisers, repeated
-    scans) then read the materialised rows instead of re-running the plan,
-    and a lost executor costs a re-read, not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "stage"):
+    """Cut the lineage of ``df`` by writing it as parquet to a new folder
+    under the shared checkpoint location and reading it back.
+
+    Computed once (a reliable ``checkpoint()`` evaluates the plan twice);
+    later consumers -- several aggregates, ML optimisers that pass over the
+    data many times -- scan the written files, which also give AQE real
+    sizes. A lost executor costs a re-read of shared files, not a
+    recomputation of the lineage.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -17,7 +17,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
+import duckdb  # noqa: E402,I001
 
 from shoplens.sources.tables import TABLES  # noqa: E402
 
