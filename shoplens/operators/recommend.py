@@ -170,7 +170,8 @@ def _hyperplanes(dim: int, bits: int, seed: int) -> list[list[float]]:
 
 
 def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
-                   bits: int = 6, seed: int = 42) -> DataFrame:
+                   bits: int = 6, seed: int = 42, dim: int | None = None, block: int = 2048,
+                   stage: bool = True) -> DataFrame:
     """Exact best ``n`` unseen products per user by cosine score.
 
     1. products -> bucket by the signs of ``bits`` seeded random projections
@@ -180,10 +181,26 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     3. per user, buckets by lower bound: the lower bound of the bucket at
        which n unseen products are reached is a score that n products beat;
        only buckets whose upper bound reaches it can hold a top-n product.
-    4. exact scores for those buckets only, seen products removed, a per-user
-       top-n (ties broken by product id).
+    4. exact scores for those (user, bucket) candidates. The candidate join
+       is grid-split: a bucket's candidate users and its products are cut
+       into chunks of at most ``block`` rows and joined on (bucket, user
+       chunk, product chunk), so no task scores more than block x block
+       pairs however large a bucket or its user list is.
+    5. seen products removed, per-user top-n (ties by product id) with a
+       group limit before the shuffle.
+
+    With ``stage`` the reused intermediates (bucketed products, users,
+    bucket summaries, candidates) are written once to the shared checkpoint
+    folder, so each is computed once and every later step scans files.
     """
-    dim = len(products.select("vector").first()[0]) if products.select("vector").first() is not None else 0
+    from shoplens.session import materialize
+
+    def keep(df, name):
+        return materialize(df, name) if stage else df
+
+    if dim is None:
+        first = products.select(F.size("vector")).first()
+        dim = first[0] if first is not None else 0
     p = products.select("product_id", l2_normalise(F.col("vector")).alias("pv"))
     u = users.select("user_id", l2_normalise(F.col("vector")).alias("uv"))
     planes = _hyperplanes(max(dim, 1), bits, seed)
@@ -191,15 +208,16 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     for i, row in enumerate(planes):
         arr = F.array(*[F.lit(float(x)) for x in row])
         code = code + F.when(dot(F.col("pv"), arr) >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-    p = p.withColumn("bucket", code)
+    p = keep(p.withColumn("bucket", code), "topn-products")
+    u = keep(u, "topn-users")
     # centroid = mean of member vectors, radius = max distance to it
     cent = p.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("size"),
         F.array(*[F.avg(F.col("pv")[i]) for i in range(dim)]).alias("c"))
-    rad = p.join(cent, "bucket").groupBy("bucket").agg(
+    rad = p.join(F.broadcast(cent.select("bucket", "c")), "bucket").groupBy("bucket").agg(
         F.max(F.sqrt(F.aggregate(F.zip_with("pv", "c", lambda x, y: (x - y) * (x - y)),
                                  F.lit(0.0), lambda s, x: s + x))).alias("r"))
-    summ = cent.join(rad, "bucket")
+    summ = keep(cent.join(rad, "bucket"), "topn-buckets")
     eps = F.lit(1e-9)
     ub = u.crossJoin(F.broadcast(summ)).select(
         "user_id", "bucket", "size", (dot(F.col("uv"), F.col("c")) - F.col("r") - eps).alias("lb"),
@@ -215,9 +233,24 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     acc = ub.withColumn("_cum", F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # tau: the lower bound of the first bucket where the running count reaches n
     tau = acc.filter(F.col("_cum") >= n).groupBy("user_id").agg(F.max("lb").alias("tau"))
-    cand = ub.join(tau, "user_id", "left").filter(F.col("tau").isNull() | (F.col("ub") >= F.col("tau"))) \
-             .select("user_id", "bucket")
-    pairs = cand.join(p, "bucket").join(u, "user_id").select(
+    cand = keep(ub.join(tau, "user_id", "left").filter(F.col("tau").isNull() | (F.col("ub") >= F.col("tau")))
+                .select("user_id", "bucket"), "topn-candidates")
+    # grid split of every candidate bucket: chunk counts from bucket sizes
+    grid = F.broadcast(
+        cand.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nu"))
+            .join(summ.select("bucket", "size"), "bucket")
+            .select("bucket",
+                    F.greatest(F.ceil(F.col("_nu") / F.lit(block)), F.lit(1)).cast("int").alias("_tu"),
+                    F.greatest(F.ceil(F.col("size") / F.lit(block)), F.lit(1)).cast("int").alias("_tp")))
+    cu = (cand.join(grid, "bucket").join(u, "user_id")
+          .withColumn("uchunk", F.pmod(mix_hash("user_id", seed=seed), F.col("_tu")))
+          .withColumn("pchunk", F.explode(F.sequence(F.lit(0), F.col("_tp") - 1)))
+          .select("user_id", "uv", "bucket", "uchunk", "pchunk"))
+    cp = (p.join(grid, "bucket")
+          .withColumn("pchunk", F.pmod(mix_hash("product_id", seed=seed), F.col("_tp")))
+          .withColumn("uchunk", F.explode(F.sequence(F.lit(0), F.col("_tu") - 1)))
+          .select("product_id", "pv", "bucket", "uchunk", "pchunk"))
+    pairs = cu.join(cp, ["bucket", "uchunk", "pchunk"]).select(
         "user_id", "product_id", dot(F.col("uv"), F.col("pv")).alias("score"))
     if seen is not None:
         pairs = pairs.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")

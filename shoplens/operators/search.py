@@ -50,7 +50,35 @@ def vocab_union(docs: DataFrame, text: str = "description") -> DataFrame:
 
 
 # ------------------------------------------------------------ index
-def tfidf_index(docs: DataFrame, key: str = "product_id", text: str = "description") -> tuple[DataFrame, DataFrame]:
+def doc_words(docs: DataFrame, key: str = "product_id", text: str = "description") -> DataFrame:
+    """(key, word, n): occurrences of every word in every document -- the
+    one tokenisation pass of the whole texts that the word bank, document
+    frequencies and the index all derive from."""
+    w = docs.select(key, F.explode(tokens(text)).alias("word"))
+    return w.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bank_from_words(words: DataFrame) -> DataFrame:
+    return words.groupBy("word").agg(F.sum("n").alias("freq"))
+
+
+def index_from_words(words: DataFrame, n_docs: DataFrame, key: str = "product_id",
+                     idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(index, idf) from the per-document word counts; terms are words of
+    two or more characters. ``n_docs`` is a 1-row table (_n)."""
+    tf = words.filter(F.length("word") >= 2).select(key, F.col("word").alias("term"), F.col("n").alias("tf"))
+    if idf is None:
+        df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = df_.crossJoin(F.broadcast(n_docs)).select(
+            "term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    w = tf.join(idf.select("term", "idf"), "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    index = w.join(norm, key).select(key, "term", "tf", (F.col("w") / F.col("_norm")).alias("weight"))
+    return index, idf
+
+
+def tfidf_index(docs: DataFrame, key: str = "product_id", text: str = "description",
+                idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(index, idf): index rows (key, term, tf, weight) with L2-normalised
     tf * idf weights; idf = ln((1 + n) / (1 + df)) + 1 per term.
 
@@ -62,9 +90,10 @@ def tfidf_index(docs: DataFrame, key: str = "product_id", text: str = "descripti
     n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n")))
     tf = (docs.select(key, F.explode(index_terms(text)).alias("term"))
           .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.crossJoin(n).select(
-        "term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    if idf is None:
+        df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = df_.crossJoin(n).select(
+            "term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = tf.join(idf.select("term", "idf"), "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     index = w.join(norm, key).select(key, "term", "tf", (F.col("w") / F.col("_norm")).alias("weight"))
@@ -81,6 +110,8 @@ def _delete_one(s: Column) -> Column:
 def deletion_variants(word: Column, k) -> Column:
     """Distinct strings reachable from ``word`` by at most k deletions
     (k may be a column)."""
+    if isinstance(k, int) and k <= 2:
+        return _deletions_upto2(word, k)
     kk = k if isinstance(k, Column) else F.lit(int(k))
     start = F.array(word)
     return F.aggregate(
@@ -89,12 +120,40 @@ def deletion_variants(word: Column, k) -> Column:
             acc, F.flatten(F.transform(F.filter(acc, lambda s: F.length(s) > 0), _delete_one))))).otherwise(acc))
 
 
+def _deletions_upto2(w: Column, k: int) -> Column:
+    """Direct form for k <= 2: the word, every single deletion and every
+    pair of deletions (positions i < j), in one pass."""
+    n = F.length(w)
+    if k == 0:
+        return F.array(w)
+    singles = _delete_one(w)
+    if k == 1:
+        return F.array_distinct(F.concat(F.array(w), singles))
+    pairs = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda i: F.transform(
+            F.sequence(i + 1, F.greatest(n, i + 1)),
+            lambda j: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, j - i - 1),
+                               F.substring(w, j + 1, n)))))
+    pairs = F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(w), singles, pairs))
+
+
+def deletion_index(bank: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(v, cand, freq): every vocabulary word under each of its <= k
+    deletion variants. Built once per word bank (index time) and reused by
+    every spelling query."""
+    return bank.select(F.col("word").alias("cand"), "freq",
+                       F.explode(deletion_variants(F.col("word"), max_edits)).alias("v"))
+
+
 def split_queries(queries: DataFrame) -> DataFrame:
     """(query_id, pos, word): whitespace words of the lower-cased query."""
     return queries.select("query_id", F.posexplode(query_words("text")).alias("pos", "word"))
 
 
-def correct_words(words: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def correct_words(words: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS,
+                  index: DataFrame | None = None) -> DataFrame:
     """For each distinct word: itself if it is in the word bank, else the
     bank word within ``max_edits`` Levenshtein edits with the least
     distance, then the highest frequency, then alphabetical; null when none.
@@ -103,11 +162,11 @@ def correct_words(words: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS)
     known = w.join(bank.select("word"), "word", "left_semi").select("word", F.col("word").alias("corrected"))
     unknown = w.join(bank.select("word"), "word", "left_anti")
     uv = unknown.select("word", F.explode(deletion_variants(F.col("word"), max_edits)).alias("v"))
-    lens = unknown.select(F.length("word").alias("_l")).distinct()
-    band = bank.join(F.broadcast(lens), F.abs(F.length(bank["word"]) - F.col("_l")) <= max_edits, "left_semi")
-    bv = band.select(F.col("word").alias("cand"), "freq",
-                     F.explode(deletion_variants(F.col("word"), max_edits)).alias("v"))
-    pairs = uv.join(bv, "v").select("word", "cand", "freq").distinct()
+    if index is None:
+        lens = unknown.select(F.length("word").alias("_l")).distinct()
+        band = bank.join(F.broadcast(lens), F.abs(F.length(bank["word"]) - F.col("_l")) <= max_edits, "left_semi")
+        index = deletion_index(band, max_edits)
+    pairs = uv.join(index, "v").select("word", "cand", "freq").distinct()
     scored = pairs.withColumn("dist", F.levenshtein("word", "cand", max_edits)) \
                   .filter((F.col("dist") >= 0) & (F.col("dist") <= max_edits))
     best = scored.groupBy("word").agg(
@@ -116,13 +175,14 @@ def correct_words(words: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS)
     return known.unionByName(fixed)
 
 
-def correct_spelling(queries: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def correct_spelling(queries: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS,
+                     index: DataFrame | None = None) -> DataFrame:
     """(query_id, query, corrected): a query with any uncorrectable word
     becomes the empty string. Word order is kept with an ordered
     collect per query -- a query's own words, bounded by its text."""
     q = queries.select("query_id", F.lower("text").alias("query"))
     words = split_queries(queries)
-    fix = correct_words(words, bank, max_edits)
+    fix = correct_words(words, bank, max_edits, index)
     j = words.join(fix, "word", "left")
     per = j.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "corrected"))).alias("_w"),
@@ -134,33 +194,51 @@ def correct_spelling(queries: DataFrame, bank: DataFrame, max_edits: int = MAX_E
 
 
 # ------------------------------------------------------------ scoring
-def query_vectors(corrected: DataFrame, idf: DataFrame, text: str = "corrected") -> DataFrame:
-    """(query_id, term, qweight): L2-normalised tf * idf of in-vocabulary
-    query terms."""
-    t = corrected.select("query_id", F.explode(F.regexp_extract_all(F.lower(F.col(text)),
-                                                                    F.lit(_QUERY_TOKEN), 0)).alias("term"))
-    tf = t.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_qn"))
-    return w.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("_qn")).alias("qweight"))
-
-
-def tfidf_scores(qvec: DataFrame, index: DataFrame, key: str = "product_id") -> DataFrame:
+def query_vectors(corrected: DataFrame, idf: DataFrame, text: str = "corrected",
+                  qkey: str = "query_id") -> DataFrame:
+    """(qkey, term, qweight): L2-normalised tf * idf of in-vocabulary query
+    terms."""
+    t = corrected.select(qkey, F.explode(F.regexp_extract_all(F.lower(F.col(text)),
+                                                             F.lit(_QUERY_TOKEN), 0)).alias("term"))
+    tf = t.groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(idf.select("term", "idf"), "term").select(qkey, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = w.groupBy(qkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_qn"))
+    return w.join(norm, qkey).select(qkey, "term", (F.col("w") / F.col("_qn")).alias("qweight"))
+
+
+def tfidf_scores(qvec: DataFrame, index: DataFrame, key: str = "product_id", qkey: str = "query_id") -> DataFrame:
     """Cosine similarity of every (query, product) sharing a term: join on
     term, partial-aggregated sum of products."""
     j = qvec.join(index.select(key, "term", "weight"), "term")
-    return j.groupBy("query_id", key).agg(F.sum(F.col("qweight") * F.col("weight")).alias("similarity"))
+    return j.groupBy(qkey, key).agg(F.sum(F.col("qweight") * F.col("weight")).alias("similarity"))
 
 
-def topk_similarity(scores: DataFrame, top: int | None = DEFAULT_TOP, key: str = "product_id") -> DataFrame:
+def topk_similarity(scores: DataFrame, top: int | None = DEFAULT_TOP, key: str = "product_id",
+                    qkey: str = "query_id") -> DataFrame:
     """Rank per query (similarity desc, product id asc) and keep the best
     ``top``; Spark plans a per-partition group limit before the shuffle."""
     # similarities equal up to summation-order noise rank by product id
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 10)), F.asc(key))
+    w = Window.partitionBy(qkey).orderBy(F.desc(F.round("similarity", 10)), F.asc(key))
     r = scores.withColumn("rank", F.row_number().over(w))
     return r if top is None else r.filter(F.col("rank") <= top)
 
 
+def rank_queries(corrected: DataFrame, idf: DataFrame, index: DataFrame, top: int | None = DEFAULT_TOP,
+                 key: str = "product_id") -> DataFrame:
+    """(query_id, key, similarity, rank) for a table of corrected queries.
+
+    Each distinct corrected text is vectorised, scored against the index and
+    ranked once; the ranked hits are then joined back to every query id with
+    that text (identical text, identical result). A text shared by a huge
+    share of the queries only makes the final join skewed, which AQE splits.
+    """
+    texts = corrected.select(F.col("corrected").alias("qtext")).distinct()
+    qv = query_vectors(texts, idf, text="qtext", qkey="qtext")
+    ranked = topk_similarity(tfidf_scores(qv, index, key, qkey="qtext"), top, key, qkey="qtext")
+    ids = corrected.select("query_id", F.col("corrected").alias("qtext"))
+    return ids.join(ranked, "qtext").select("query_id", key, "similarity", "rank")
+
+
 def search_result(ranked: DataFrame, products: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                   key: str = "product_id") -> DataFrame:
     """Hits strictly above the threshold joined to their product rows, in
@@ -187,8 +265,7 @@ def search(queries: DataFrame, docs: DataFrame, top: int = DEFAULT_TOP,
     index, idf = tfidf_index(docs)
     bank = word_bank(docs)
     corr = correct_spelling(queries, bank)
-    ranked = topk_similarity(tfidf_scores(query_vectors(corr, idf), index), top)
-    return search_result(ranked, docs, threshold)
+    return search_result(rank_queries(corr, idf, index, top), docs, threshold)
 
 
 # ------------------------------------------------------------ expansion, fuzzy

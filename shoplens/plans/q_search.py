@@ -26,10 +26,30 @@ def all_queries(spark, sf):
     return search_queries(spark).unionByName(named)
 
 
+def _stage(spark, sf, name, build):
+    from shoplens.plans.stages import shared
+    return shared(spark, sf, name, build)
+
+
+def index_tables(spark, sf):
+    """Index-time artefacts, built once per catalogue: the inverted index,
+    the idf table, the word bank and its deletion index."""
+    d = docs(spark, sf)
+    words = _stage(spark, sf, "doc_words", lambda: S.doc_words(d))
+    n_docs = d.agg(F.count(F.lit(1)).alias("_n"))
+    idf = _stage(spark, sf, "idf", lambda: S.index_from_words(words, n_docs)[1])
+    index = _stage(spark, sf, "tfidf_index", lambda: S.index_from_words(words, n_docs, idf=idf)[0])
+    bank = _stage(spark, sf, "word_bank", lambda: S.bank_from_words(words))
+    # consumed once (by the corrected-queries stage): not materialised
+    dels = S.deletion_index(bank)
+    return index, idf, bank, dels
+
+
 def _pipeline(spark, sf):
     d = docs(spark, sf)
-    index, idf = S.tfidf_index(d)
-    corr = S.correct_spelling(all_queries(spark, sf), S.word_bank(d))
+    index, idf, bank, dels = index_tables(spark, sf)
+    corr = _stage(spark, sf, "corrected_queries",
+                  lambda: S.correct_spelling(all_queries(spark, sf), bank, index=dels))
     return d, index, idf, corr
 
 
@@ -76,7 +96,7 @@ def q_src_word_bank(spark, sf):
 
 @register("tfidf_index", ["idx"], "select * from idx", floats=["weight"])
 def q_tfidf_index(spark, sf):
-    return S.tfidf_index(docs(spark, sf))[0]
+    return index_tables(spark, sf)[0]
 
 
 @register("lowercase_query", ["qs"], "select query_id, lower(text) as query from qs")
@@ -92,13 +112,13 @@ def q_correct_spelling(spark, sf):
 @register("tfidf_query", ["ranked"], "select * from ranked where rank <= 50", floats=["similarity"])
 def q_tfidf_query(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    return S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    return S.rank_queries(corr, idf, index, 50)
 
 
 @register("topk_similarity", ["ranked"], "select * from ranked where rank <= 10", floats=["similarity"])
 def q_topk_similarity(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    return S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 10)
+    return S.rank_queries(corr, idf, index, 10)
 
 
 @register("search_result", ["ranked", "docs"], """
@@ -107,7 +127,7 @@ def q_topk_similarity(spark, sf):
           floats=["similarity", "discounted_price", "actual_price", "discount_percentage", "rating", "rating_count"])
 def q_search_result(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    ranked = S.rank_queries(corr, idf, index, 50)
     r = S.search_result(ranked, d, 0.10)
     return r.select("query_id", "rank", "similarity", *d.columns)
 
@@ -117,7 +137,7 @@ def q_search_result(spark, sf):
  where r.rank <= 50 and r.similarity > 0.10""")
 def q_search_result_join(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    ranked = S.rank_queries(corr, idf, index, 50)
     return S.search_result(ranked, d.select("product_id", "product_name"), 0.10).select(
         "query_id", "rank", "product_id", "product_name")
 
@@ -126,7 +146,7 @@ def q_search_result_join(spark, sf):
  select query_id, rank, product_id from ranked where rank <= 50 and similarity > 0.10""")
 def q_order_by_search_rank(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    ranked = S.rank_queries(corr, idf, index, 50)
     return ranked.filter(F.col("similarity") > 0.10).select("query_id", "rank", "product_id").orderBy("query_id", "rank")
 
 
@@ -137,7 +157,7 @@ def q_order_by_search_rank(spark, sf):
   group by query_id) h on c.query_id = h.query_id""")
 def q_search_policy(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.topk_similarity(S.tfidf_scores(S.query_vectors(corr, idf), index), 50)
+    ranked = S.rank_queries(corr, idf, index, 50)
     res = ranked.filter(F.col("similarity") > 0.10)
     return S.search_policy(corr, res, 50)
 
