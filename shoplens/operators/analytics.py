@@ -32,15 +32,18 @@ def profile_null_count(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
 
 
-def profile_describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max per numeric column,
-    one aggregate pass, one output row per column."""
+def profile_describe(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max per numeric column, one
+    aggregate pass, one output row per column. Quartiles are exact (the
+    final merge holds one count per distinct value) unless ``approx``, which
+    bounds the memory with a quantile sketch."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
+                  else F.percentile(x, [0.25, 0.5, 0.75])).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     a = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                               F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
