@@ -201,15 +201,11 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     if dim is None:
         first = products.select(F.size("vector")).first()
         dim = first[0] if first is not None else 0
-    p = products.select("product_id", l2_normalise(F.col("vector")).alias("pv"))
-    u = users.select("user_id", l2_normalise(F.col("vector")).alias("uv"))
-    planes = _hyperplanes(max(dim, 1), bits, seed)
-    code = F.lit(0)
-    for i, row in enumerate(planes):
-        arr = F.array(*[F.lit(float(x)) for x in row])
-        code = code + F.when(dot(F.col("pv"), arr) >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-    p = keep(p.withColumn("bucket", code), "topn-products")
-    u = keep(u, "topn-users")
+    planes = np.asarray(_hyperplanes(max(dim, 1), bits, seed), dtype="float64")
+    # normalise + sign code per Arrow batch (map-only, no shuffle)
+    p = keep(products.select("product_id", F.col("vector").cast("array<double>").alias("vector"))
+             .mapInPandas(_bucketize(planes), "product_id long, pv array<double>, bucket int"),
+             "topn-products")
     # centroid = mean of member vectors, radius = max distance to it
     cent = p.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("size"),
@@ -217,11 +213,16 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     rad = p.join(F.broadcast(cent.select("bucket", "c")), "bucket").groupBy("bucket").agg(
         F.max(F.sqrt(F.aggregate(F.zip_with("pv", "c", lambda x, y: (x - y) * (x - y)),
                                  F.lit(0.0), lambda s, x: s + x))).alias("r"))
-    summ = keep(cent.join(rad, "bucket"), "topn-buckets")
-    eps = F.lit(1e-9)
-    ub = u.crossJoin(F.broadcast(summ)).select(
-        "user_id", "bucket", "size", (dot(F.col("uv"), F.col("c")) - F.col("r") - eps).alias("lb"),
-        (dot(F.col("uv"), F.col("c")) + F.col("r") + eps).alias("ub"))
+    summ = cent.join(rad, "bucket")
+    # at most 2^bits rows: a size bound fixed by ``bits``, not by the data
+    rows = summ.orderBy("bucket").collect()
+    u = users.select("user_id", l2_normalise(F.col("vector")).alias("uv"))
+    ub = users.select("user_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(
+        _bounds(np.array([r["bucket"] for r in rows], dtype="int32"),
+                np.array([r["size"] for r in rows], dtype="int64"),
+                np.array([r["c"] for r in rows], dtype="float64").reshape(len(rows), max(dim, 1)),
+                np.array([r["r"] for r in rows], dtype="float64")),
+        "user_id long, bucket int, size long, lb double, ub double")
     if seen is not None:
         sb = seen.select("user_id", "product_id").join(p.select("product_id", "bucket"), "product_id") \
                  .groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("_seen"))
@@ -242,20 +243,109 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
             .select("bucket",
                     F.greatest(F.ceil(F.col("_nu") / F.lit(block)), F.lit(1)).cast("int").alias("_tu"),
                     F.greatest(F.ceil(F.col("size") / F.lit(block)), F.lit(1)).cast("int").alias("_tp")))
+    keys = ["bucket", "uchunk", "pchunk"]
     cu = (cand.join(grid, "bucket").join(u, "user_id")
           .withColumn("uchunk", F.pmod(mix_hash("user_id", seed=seed), F.col("_tu")))
           .withColumn("pchunk", F.explode(F.sequence(F.lit(0), F.col("_tp") - 1)))
-          .select("user_id", "uv", "bucket", "uchunk", "pchunk"))
+          .select(*keys, "user_id", F.col("uv").alias("vec"), F.lit(None).cast("bigint").alias("seen_id")))
     cp = (p.join(grid, "bucket")
           .withColumn("pchunk", F.pmod(mix_hash("product_id", seed=seed), F.col("_tp")))
           .withColumn("uchunk", F.explode(F.sequence(F.lit(0), F.col("_tu") - 1)))
-          .select("product_id", "pv", "bucket", "uchunk", "pchunk"))
-    pairs = cu.join(cp, ["bucket", "uchunk", "pchunk"]).select(
-        "user_id", "product_id", dot(F.col("uv"), F.col("pv")).alias("score"))
+          .select(*[F.col(k).alias("p_" + k) for k in keys], "product_id", F.col("pv").alias("vec")))
     if seen is not None:
-        pairs = pairs.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+        # seen pairs go to the block where that user meets that product
+        sp = (seen.select("user_id", "product_id")
+              .join(p.select("product_id", "bucket"), "product_id").join(grid, "bucket")
+              .select("bucket", "user_id", "product_id",
+                      F.pmod(mix_hash("user_id", seed=seed), F.col("_tu")).alias("uchunk"),
+                      F.pmod(mix_hash("product_id", seed=seed), F.col("_tp")).alias("pchunk")))
+        cu = cu.unionByName(sp.select(*keys, "user_id", F.lit(None).cast("array<double>").alias("vec"),
+                                      F.col("product_id").alias("seen_id")))
+    # the product side carries its own key names: both sides derive from p
+    cands = (cu.groupBy(*keys).cogroup(cp.groupBy(*["p_" + k for k in keys]))
+             .applyInPandas(_block_top(n), "user_id long, product_id long, score double"))
     rw = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 10)), "product_id")
-    return pairs.withColumn("rank", F.row_number().over(rw)).filter(F.col("rank") <= n)
+    return cands.withColumn("rank", F.row_number().over(rw)).filter(F.col("rank") <= n)
+
+
+def _bucketize(planes: np.ndarray):
+    """mapInPandas body: L2-normalise product vectors and code each by the
+    signs of its projections on the (bits x dim) hyperplanes."""
+    import pandas as pd
+    weights = (1 << np.arange(planes.shape[0])).astype("int64")
+
+    def run(batches):
+        for b in batches:
+            if b.empty:
+                yield pd.DataFrame({"product_id": pd.Series([], dtype="int64"), "pv": [],
+                                    "bucket": pd.Series([], dtype="int32")})
+                continue
+            m = np.stack(b["vector"].to_numpy()).astype("float64")
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            code = ((m @ planes.T) >= 0).astype("int64") @ weights
+            yield pd.DataFrame({"product_id": b["product_id"].to_numpy(dtype="int64"),
+                                "pv": list(m), "bucket": code.astype("int32")})
+
+    return run
+
+
+def _bounds(buckets: np.ndarray, sizes: np.ndarray, cent: np.ndarray, rad: np.ndarray,
+            eps: float = 1e-9):
+    """mapInPandas body: per user and bucket, the score bounds
+    u.c - r <= u.p <= u.c + r of every product p in the bucket."""
+    import pandas as pd
+    k = len(buckets)
+
+    def run(batches):
+        for b in batches:
+            if b.empty or k == 0:
+                yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"),
+                                    "bucket": pd.Series([], dtype="int32"),
+                                    "size": pd.Series([], dtype="int64"), "lb": [], "ub": []})
+                continue
+            m = np.stack(b["vector"].to_numpy()).astype("float64")
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            uc = m @ cent.T
+            yield pd.DataFrame({
+                "user_id": np.repeat(b["user_id"].to_numpy(dtype="int64"), k),
+                "bucket": np.tile(buckets, len(b)), "size": np.tile(sizes, len(b)),
+                "lb": (uc - rad - eps).ravel(), "ub": (uc + rad + eps).ravel()})
+
+    return run
+
+
+def _block_top(n: int, tol: float = 1e-9):
+    """Score one (bucket, user chunk, product chunk) block as a matrix
+    product and keep, per user, every unseen product scoring within ``tol``
+    of the user's n-th best in the block (a superset of the block's top-n
+    under any tie-break); the exact ranking happens in Spark."""
+    import pandas as pd
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"user_id": pd.Series([], dtype="int64"),
+                              "product_id": pd.Series([], dtype="int64"),
+                              "score": pd.Series([], dtype="float64")})
+        users = left[left["seen_id"].isna()]
+        if users.empty or right.empty:
+            return empty
+        uid = users["user_id"].to_numpy(dtype="int64")
+        pid = right["product_id"].to_numpy(dtype="int64")
+        sc = np.stack(users["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
+        seen_rows = left[left["seen_id"].notna()]
+        if not seen_rows.empty:
+            ui = pd.Index(uid).get_indexer(seen_rows["user_id"].to_numpy(dtype="int64"))
+            pj = pd.Index(pid).get_indexer(seen_rows["seen_id"].to_numpy(dtype="int64"))
+            ok = (ui >= 0) & (pj >= 0)
+            sc[ui[ok], pj[ok]] = -np.inf
+        k = min(n, sc.shape[1])
+        kth = -np.partition(-sc, k - 1, axis=1)[:, k - 1]
+        keep = (sc >= (kth - tol)[:, None]) & np.isfinite(sc)
+        ii, jj = np.nonzero(keep)
+        return pd.DataFrame({"user_id": uid[ii], "product_id": pid[jj], "score": sc[ii, jj]})
+
+    return run
 
 
 # ------------------------------------------------------------ Spark ML
