@@ -24,6 +24,9 @@ LOW_CONFIDENCE_SHARE = 0.2
 MAX_EDITS = 2
 FUZZY_THRESHOLD = 80
 
+# Rows under which a side that a count has measured is broadcast.
+BROADCAST_ROWS = 1_000_000
+
 # A query token: a maximal run of 2+ word characters (any script).
 _QUERY_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -139,10 +142,34 @@ def _deletions_upto2(w: Column, k: int) -> Column:
     return F.array_distinct(F.concat(F.array(w), singles, pairs))
 
 
+def deletion_rows(df: DataFrame, word: str, k: int, keep: list[str]) -> DataFrame:
+    """One row (``keep``..., v) per deletion variant of ``word``, k <= 2.
+
+    Positions come from two generators, i in 0..n and j in i..n, keeping
+    (0, 0) (the word), (0, j) (delete j) and (i, j) with i < j (delete i and
+    j). Plain ``explode`` + ``substring`` stay in generated code, unlike
+    nested array lambdas. A word with repeated letters yields some variant
+    twice; consumers de-duplicate their matches.
+    """
+    n = F.length(word)
+    i_hi = n if k >= 2 else F.lit(0)
+    j_hi = n if k >= 1 else F.lit(0)
+    w = F.col(word)
+    return (df.select(*keep, word, F.explode(F.sequence(F.lit(0), i_hi)).alias("_i"))
+              .select(*keep, word, "_i", F.explode(F.sequence(F.col("_i"), F.greatest(j_hi, F.col("_i")))).alias("_j"))
+              .filter((F.col("_j") > F.col("_i")) | (F.col("_j") == 0))
+              .select(*keep, F.concat(F.substring(w, F.lit(1), F.col("_i") - 1),
+                                      F.substring(w, F.col("_i") + 1, F.col("_j") - F.col("_i") - 1),
+                                      F.substring(w, F.col("_j") + 1, n)).alias("v")))
+
+
 def deletion_index(bank: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(v, cand, freq): every vocabulary word under each of its <= k
     deletion variants. Built once per word bank (index time) and reused by
     every spelling query."""
+    if max_edits <= 2:
+        return deletion_rows(bank.select(F.col("word").alias("cand"), "freq", F.col("word").alias("_w")),
+                             "_w", max_edits, ["cand", "freq"])
     return bank.select(F.col("word").alias("cand"), "freq",
                        F.explode(deletion_variants(F.col("word"), max_edits)).alias("v"))
 
@@ -166,6 +193,11 @@ def correct_words(words: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS,
         lens = unknown.select(F.length("word").alias("_l")).distinct()
         band = bank.join(F.broadcast(lens), F.abs(F.length(bank["word"]) - F.col("_l")) <= max_edits, "left_semi")
         index = deletion_index(band, max_edits)
+    # the unknown words' variants are usually few next to the index: counted,
+    # and broadcast only under the bound so the index side is probed in place
+    # (map-only); above it both sides shuffle on v
+    if uv.count() <= BROADCAST_ROWS:
+        uv = F.broadcast(uv)
     pairs = uv.join(index, "v").select("word", "cand", "freq").distinct()
     scored = pairs.withColumn("dist", F.levenshtein("word", "cand", max_edits)) \
                   .filter((F.col("dist") >= 0) & (F.col("dist") <= max_edits))
