@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.columns import price_range, safe_div, weekday_name
-from shoplens.operators.features import one_row
+from shoplens.operators.features import with_scalars
 
 
 def _is(c: str, v) -> F.Column:
@@ -178,9 +178,9 @@ def topn_plus_other(counts: DataFrame, name: str, value: str, n: int = 10,
     """First n groups by value (name breaks ties) and one ``other`` row with
     the sum of the rest. The top list is a bounded TakeOrdered of n rows."""
     top = counts.orderBy(F.desc(value), F.asc(name)).limit(n)
-    tot = one_row(counts.agg(F.sum(value).alias("_all")))
-    top_sum = one_row(top.agg(F.sum(value).alias("_top"), F.count(F.lit(1)).alias("_n")))
-    rest = (tot.crossJoin(top_sum)
+    tot = counts.agg(F.sum(value).alias("_all"))
+    top_sum = top.agg(F.sum(value).alias("_top"), F.count(F.lit(1)).alias("_n"))
+    rest = (with_scalars(tot, top_sum)
             .filter(F.col("_all") - F.coalesce(F.col("_top"), F.lit(0)) > 0)
             .select(F.lit(other).alias(name), (F.col("_all") - F.coalesce(F.col("_top"), F.lit(0))).alias(value)))
     return top.select(name, value).unionByName(rest)
@@ -266,11 +266,11 @@ def price_histogram(prices: DataFrame, bins: int = 50, col: str = "price") -> Da
     """Equal-width histogram between min and max (last bin closed), all bins
     listed including empty ones."""
     x = prices.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    mm = one_row(x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+    mm = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width).cast("int"), F.lit(bins - 1)))
-    counts = x.crossJoin(mm).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    counts = with_scalars(x, mm).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     grid = mm.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     g = grid.join(counts, "bin", "left")
     return g.select("bin", (F.col("lo") + F.col("bin") * width).alias("lower"),
@@ -281,16 +281,15 @@ def price_histogram(prices: DataFrame, bins: int = 50, col: str = "price") -> Da
 # ------------------------------------------------------------ behaviour
 def event_mix(df: DataFrame) -> DataFrame:
     g = count_by(df, "event_type")
-    tot = one_row(g.agg(F.sum("count").alias("_t")))
-    return g.crossJoin(tot).select("event_type", "count", safe_div(F.col("count"), F.col("_t")).alias("share"))
+    return with_scalars(g, g.agg(F.sum("count").alias("_t"))).select("event_type", "count", safe_div(F.col("count"), F.col("_t")).alias("share"))
 
 
 def events_by(df: DataFrame, key_expr, key: str, types=("view", "cart", "purchase")) -> DataFrame:
     """Counts per key for each event type, and each count's share of its
     type's total (1-row totals joined back)."""
     g = df.groupBy(key_expr.alias(key)).agg(*[F.count_if(_is("event_type", t)).alias(t) for t in types])
-    tot = one_row(g.agg(*[F.sum(t).alias("_t_" + t) for t in types]))
-    return g.crossJoin(tot).select(key, *types, *[safe_div(F.col(t), F.col("_t_" + t)).alias(t + "_percent")
+    tot = g.agg(*[F.sum(t).alias("_t_" + t) for t in types])
+    return with_scalars(g, tot).select(key, *types, *[safe_div(F.col(t), F.col("_t_" + t)).alias(t + "_percent")
                                                    for t in types])
 
 
@@ -444,7 +443,7 @@ def regression_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def standard_scale(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """z-score with the population standard deviation (1-row stats)."""
-    st = one_row(df.agg(*[F.avg(c).alias("_m_" + c) for c in cols],
-                        *[F.stddev_pop(c).alias("_s_" + c) for c in cols]))
-    j = df.crossJoin(st)
+    st = df.agg(*[F.avg(c).alias("_m_" + c) for c in cols],
+                *[F.stddev_pop(c).alias("_s_" + c) for c in cols])
+    j = with_scalars(df, st)
     return j.select(key, *[safe_div(F.col(c) - F.col("_m_" + c), F.col("_s_" + c)).alias(c) for c in cols])

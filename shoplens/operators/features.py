@@ -21,10 +21,12 @@ DEFAULT_RECENCY_DAYS = 15
 DEFAULT_WEIGHT_DECAY = 0.5
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a 1-row aggregate for broadcast: its size is one row by
-    construction, whatever the input size."""
-    return F.broadcast(df)
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` plus every column of the one-row global aggregate ``row``, each
+    as a scalar subquery: evaluated once and inlined as a value in the
+    generated code -- no join. Scalar subqueries over the same aggregate are
+    merged by the optimizer into one job."""
+    return df.select("*", *[row.select(c).scalar().alias(c) for c in row.columns])
 
 
 def category_price_quartiles(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -63,17 +65,16 @@ def _rates(df: DataFrame) -> DataFrame:
 def _weight_and_normalise(df: DataFrame, lead: list[str]) -> DataFrame:
     """Rates x (views or carts share of the total), nulls -> 0, then min-max
     per rate column (null where the column is constant)."""
-    tot = one_row(df.agg(F.sum("views").alias("_tv"), F.sum("carts").alias("_tc")))
-    w = df.crossJoin(tot)
+    w = with_scalars(df, df.agg(F.sum("views").alias("_tv"), F.sum("carts").alias("_tc")))
     view_share = safe_div(F.col("views"), F.col("_tv"))
     cart_share = safe_div(F.col("carts"), F.col("_tc"))
     share = {"cart_per_view": view_share, "purchase_per_view": view_share,
              "remove_per_cart": cart_share, "purchase_per_cart": cart_share}
     w = w.select(*[F.coalesce(F.col(c) * share[c], F.lit(0.0)).alias(c) if c in RATE_COLUMNS
                    else F.col(c) for c in df.columns])
-    mm = one_row(w.agg(*[F.min(c).alias("_mn_" + c) for c in RATE_COLUMNS],
-                       *[F.max(c).alias("_mx_" + c) for c in RATE_COLUMNS]))
-    n = w.crossJoin(mm)
+    mm = w.agg(*[F.min(c).alias("_mn_" + c) for c in RATE_COLUMNS],
+               *[F.max(c).alias("_mx_" + c) for c in RATE_COLUMNS])
+    n = with_scalars(w, mm)
     return n.select(*[safe_div(F.col(c) - F.col("_mn_" + c), F.col("_mx_" + c) - F.col("_mn_" + c)).alias(c)
                       if c in RATE_COLUMNS else F.col(c) for c in df.columns])
 
@@ -154,8 +155,7 @@ def user_table(df: DataFrame, strict: bool = False) -> DataFrame:
 def recency(df: DataFrame, recency_days: float = DEFAULT_RECENCY_DAYS,
             weight_decay: float = DEFAULT_WEIGHT_DECAY) -> DataFrame:
     """Days before the last date of the data set and the half-life weight."""
-    last = one_row(df.agg(F.max("date").alias("_last")))
-    r = df.crossJoin(last).withColumn("recency", F.datediff("_last", "date"))
+    r = with_scalars(df, df.agg(F.max("date").alias("_last"))).withColumn("recency", F.datediff("_last", "date"))
     return (r.withColumn("recency_coef", half_life_coef("recency", weight_decay, recency_days))
              .drop("_last"))
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.operators.features import one_row
+from shoplens.operators.features import with_scalars
 
 # Routing policy of the recommender diagram.
 ROUTING_THRESHOLD = 100
@@ -118,11 +118,11 @@ def route_list(routing: DataFrame, recommended: DataFrame, products: DataFrame,
          .filter(F.col("rank") <= F.col("recommender_slots"))
          .select("user_id", "product_id", F.lit("recommender").alias("source")))
     idx = factorize_ids(products.select("product_id").distinct(), "product_id", ["product_id"])
-    n = one_row(idx.agg(F.count(F.lit(1)).alias("_n")))
-    draws = (routing.filter(F.col("random_slots") > 0)
-             .select("user_id", "random_slots",
-                     F.explode(F.sequence(F.lit(1), F.col("random_slots") * oversample)).alias("draw"))
-             .crossJoin(n)
+    n = idx.agg(F.count(F.lit(1)).alias("_n"))
+    draws = (with_scalars(routing.filter(F.col("random_slots") > 0)
+                          .select("user_id", "random_slots",
+                                  F.explode(F.sequence(F.lit(1), F.col("random_slots") * oversample)).alias("draw")),
+                          n)
              .withColumn("product_id_index", F.pmod(mix_hash("user_id", "draw", seed=seed), F.col("_n"))))
     picked = draws.join(idx, "product_id_index")
     if seen is not None:
@@ -332,7 +332,9 @@ def _block_top(n: int, tol: float = 1e-9):
             return empty
         uid = users["user_id"].to_numpy(dtype="int64")
         pid = right["product_id"].to_numpy(dtype="int64")
-        sc = np.stack(users["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
+        # a zero vector normalises to nulls -> NaN scores, dropped below
+        sc = (np.asarray(np.stack(users["vec"].to_numpy()), dtype="float64")
+              @ np.asarray(np.stack(right["vec"].to_numpy()), dtype="float64").T)
         seen_rows = left[left["seen_id"].notna()]
         if not seen_rows.empty:
             ui = pd.Index(uid).get_indexer(seen_rows["user_id"].to_numpy(dtype="int64"))

@@ -15,6 +15,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoplens.operators.features import with_scalars
 from shoplens.functions.text import index_terms, query_words, text_clean, tokens
 
 # The search page defaults.
@@ -72,7 +73,7 @@ def index_from_words(words: DataFrame, n_docs: DataFrame, key: str = "product_id
     tf = words.filter(F.length("word") >= 2).select(key, F.col("word").alias("term"), F.col("n").alias("tf"))
     if idf is None:
         df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = df_.crossJoin(F.broadcast(n_docs)).select(
+        idf = with_scalars(df_, n_docs).select(
             "term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = tf.join(idf.select("term", "idf"), "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
@@ -90,12 +91,12 @@ def tfidf_index(docs: DataFrame, key: str = "product_id", text: str = "descripti
     row per term; AQE broadcasts it when it is measured small and splits
     skewed term partitions otherwise.
     """
-    n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n")))
+    n = docs.agg(F.count(F.lit(1)).alias("_n"))
     tf = (docs.select(key, F.explode(index_terms(text)).alias("term"))
           .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     if idf is None:
         df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = df_.crossJoin(n).select(
+        idf = with_scalars(df_, n).select(
             "term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = tf.join(idf.select("term", "idf"), "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))

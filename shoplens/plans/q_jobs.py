@@ -172,8 +172,7 @@ def q_fill_zero(spark, sf):
  where brand is not null group by brand""", floats=["share"])
 def q_share_of_total(spark, sf):
     g = clean(spark, sf).filter(F.col("brand").isNotNull()).groupBy("brand").agg(F.count(F.lit(1)).alias("events"))
-    tot = FE.one_row(g.agg(F.sum("events").alias("_t")))
-    return g.crossJoin(tot).select("brand", "events", (F.col("events") / F.col("_t")).alias("share"))
+    return FE.with_scalars(g, g.agg(F.sum("events").alias("_t"))).select("brand", "events", (F.col("events") / F.col("_t")).alias("share"))
 
 
 @register("weekday_name", ["clean"], f"""
@@ -205,8 +204,7 @@ def q_weighted_rates(spark, sf):
     e = enriched(spark, sf)
     g = e.groupBy("product_id").agg(*[F.count_if(F.col("event_type") == t).alias(n) for t, n in zip(
         C.EVENT_TYPES, FE.COUNT_COLUMNS)])
-    tot = FE.one_row(g.agg(F.sum("views").alias("_tv"), F.sum("carts").alias("_tc")))
-    j = g.crossJoin(tot)
+    j = FE.with_scalars(g, g.agg(F.sum("views").alias("_tv"), F.sum("carts").alias("_tc")))
     return j.select("product_id",
                     F.coalesce(rate_or_count("carts", "views") * safe_div(F.col("views"), F.col("_tv")),
                                F.lit(0.0)).alias("cart_per_view"),

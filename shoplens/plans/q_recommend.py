@@ -164,9 +164,9 @@ def q_win_topn_per_user(spark, sf):
  group by u.user_id""")
 def q_exclude_seen(spark, sf):
     # per user: products minus seen = |products| - |seen of user|, no pairs
-    n = F.broadcast(emb_products(spark, sf).agg(F.count(F.lit(1)).alias("_n")))
+    n = emb_products(spark, sf).agg(F.count(F.lit(1)).alias("_n"))
     s = emb_seen(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("_s"))
-    u = emb_users(spark, sf).select("user_id").join(s, "user_id", "left").crossJoin(n)
+    u = FE.with_scalars(emb_users(spark, sf).select("user_id").join(s, "user_id", "left"), n)
     return u.select("user_id", (F.col("_n") - F.coalesce("_s", F.lit(0))).alias("unseen"))
 
 
@@ -223,8 +223,8 @@ def q_cross_score(spark, sf):
     # the all-pairs loop re-expressed: each user's best score and candidate
     # count from the exact bucket-pruned top-1, no user x product pairs
     top = R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), None, n=1)
-    n = F.broadcast(emb_products(spark, sf).agg(F.count(F.lit(1)).alias("scored")))
-    return top.crossJoin(n).select("user_id", "scored", F.col("score").alias("best"))
+    n = emb_products(spark, sf).agg(F.count(F.lit(1)).alias("scored"))
+    return FE.with_scalars(top, n).select("user_id", "scored", F.col("score").alias("best"))
 
 
 # ------------------------------------------------------------ ML (rows-only checks)
