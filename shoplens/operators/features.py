@@ -7,7 +7,7 @@ PARTITION BY ever pulls a whole column into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.columns import clamp, half_life_coef, rate_or_count, safe_div
@@ -64,7 +64,13 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def _weight_and_normalise(df: DataFrame, lead: list[str]) -> DataFrame:
     """Rates x (views or carts share of the total), nulls -> 0, then min-max
-    per rate column (null where the column is constant)."""
+    per rate column (null where the column is constant).
+
+    ``df`` (one row per user or product) is written once first: the totals
+    and the min/max are scalar subqueries over it, and would otherwise each
+    re-aggregate the raw events."""
+    from shoplens.session import materialize
+    df = materialize(df, "rates")
     w = with_scalars(df, df.agg(F.sum("views").alias("_tv"), F.sum("carts").alias("_tc")))
     view_share = safe_div(F.col("views"), F.col("_tv"))
     cart_share = safe_div(F.col("carts"), F.col("_tc"))
@@ -83,16 +89,25 @@ def _count_if(t: str):
     return F.count_if(F.coalesce(F.col("event_type") == t, F.lit(False)))
 
 
+def event_order() -> Column:
+    """(date, time ``HH:mm:ss``) as one long with the struct's order (nulls
+    first): a fixed-width ordering keeps ``min_by`` in a hash aggregate,
+    where a struct ordering forces a sort of every event by key."""
+    d = F.coalesce(F.unix_date("date").cast("long") + F.lit(1_000_000), F.lit(0))
+    hms = (F.substring("time", 1, 2).cast("long") * 3600 + F.substring("time", 4, 2).cast("long") * 60
+           + F.substring("time", 7, 2).cast("long"))
+    return d * F.lit(86_401) + F.coalesce(hms + F.lit(1), F.lit(0))
+
+
 def product_table(df: DataFrame) -> DataFrame:
     """One row per product (M4): first/last date, first category_id, average
     price and relative price, event counts and the four weighted, min-max
     normalised rates. One hash aggregate over the events."""
     if "relative_price" not in df.columns:
         df = relative_price(df)
-    order = F.struct("date", "time")
     g = df.groupBy("product_id").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.min_by("category_id", F.when(F.col("category_id").isNotNull(), order)).alias("category_id"),
+        F.min_by("category_id", F.when(F.col("category_id").isNotNull(), event_order())).alias("category_id"),
         F.avg("price").alias("avg_price"), F.avg("relative_price").alias("relative_price"),
         *[_count_if(t).alias(n) for t, n in zip(EVENT_TYPES, COUNT_COLUMNS)])
     return _weight_and_normalise(_rates(g), ["product_id"])
