@@ -166,3 +166,31 @@ def test_route_list_slots(spark):
         ids = [p for _, p in items]
         assert len(ids) == len(set(ids))
     assert (1, 150) not in {(1, p) for _, p in by[1]}
+
+
+def test_event_order_matches_struct_order(spark):
+    import datetime as dt
+    rows = [(dt.date(2019, 10, 1), "00:00:00"), (dt.date(2019, 10, 1), "23:59:59"), (dt.date(2019, 9, 30), "12:00:00"),
+            (None, "01:00:00"), (dt.date(1969, 12, 31), "10:00:00"), (dt.date(2019, 10, 1), None), (None, None)]
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "i int, date date, time string")
+    by_struct = [r.i for r in df.orderBy(F.struct("date", "time")).collect()]
+    by_key = [r.i for r in df.orderBy(FE.event_order()).collect()]
+    assert by_struct == by_key
+
+
+def test_with_scalars_matches_one_row_join(spark):
+    df = spark.range(50).withColumn("g", F.col("id") % 4)
+    g = df.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    tot = g.agg(F.sum("c").alias("_t"), F.max("c").alias("_m"))
+    got = sorted(tuple(r) for r in FE.with_scalars(g, tot).collect())
+    exp = sorted(tuple(r) for r in g.join(tot, how="inner").collect())
+    assert got == exp and all(r[2] == 50 for r in got)
+
+
+def test_deletion_rows_match_variant_sets(spark):
+    bank = spark.createDataFrame([("book", 3), ("a", 1), ("notebook", 2), ("aab", 5)], "word string, freq long")
+    for k in (0, 1, 2):
+        fast = {(r.cand, r.v) for r in S.deletion_index(bank, k).collect()}
+        ref = {(r.cand, r.v) for r in bank.select(
+            F.col("word").alias("cand"), F.explode(S.deletion_variants(F.col("word"), F.lit(k))).alias("v")).collect()}
+        assert fast == ref
