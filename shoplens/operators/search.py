@@ -256,18 +256,55 @@ def topk_similarity(scores: DataFrame, top: int | None = DEFAULT_TOP, key: str =
     return r if top is None else r.filter(F.col("rank") <= top)
 
 
+def tfidf_scores_above(qvec: DataFrame, index: DataFrame, threshold: float, key: str = "product_id",
+                       qkey: str = "query_id", eps: float = 1e-9) -> DataFrame:
+    """Exact similarity of every (query, product) scoring above
+    ``threshold``, without emitting the postings of low-impact terms.
+
+    A term adds at most u = qweight x (its largest index weight). Per query,
+    terms sorted by u whose running sum stays at or below the threshold are
+    non-essential: a product sharing only those scores at most that sum and
+    cannot pass. Candidates come from the postings of the essential terms
+    (rare, high-weight ones); the non-essential contributions are then looked
+    up for those candidates only, by (product, term). A common term found in
+    a third of all documents is never expanded into its postings unless it
+    alone can lift a product over the threshold.
+    """
+    post = index.select(key, "term", "weight")
+    maxw = index.groupBy("term").agg(F.max("weight").alias("_mw"))
+    w = Window.partitionBy(qkey).orderBy("_u", "term").rowsBetween(Window.unboundedPreceding, 0)
+    q = (qvec.join(maxw, "term").withColumn("_u", F.col("qweight") * F.col("_mw"))
+         .withColumn("_cum", F.sum("_u").over(w)))
+    essential = F.col("_cum") > F.lit(threshold - eps)
+    hit = q.filter(essential).select(qkey, "term", "qweight").join(post, "term")
+    es = hit.groupBy(qkey, key).agg(F.sum(F.col("qweight") * F.col("weight")).alias("_es"))
+    ne = q.filter(~essential).select(qkey, "term", "qweight")
+    look = es.select(qkey, key).join(ne, qkey).join(post, [key, "term"])
+    ns = look.groupBy(qkey, key).agg(F.sum(F.col("qweight") * F.col("weight")).alias("_ns"))
+    s = es.join(ns, [qkey, key], "left").select(
+        qkey, key, (F.col("_es") + F.coalesce(F.col("_ns"), F.lit(0.0))).alias("similarity"))
+    return s.filter(F.col("similarity") > threshold)
+
+
 def rank_queries(corrected: DataFrame, idf: DataFrame, index: DataFrame, top: int | None = DEFAULT_TOP,
-                 key: str = "product_id") -> DataFrame:
+                 key: str = "product_id", min_similarity: float | None = None) -> DataFrame:
     """(query_id, key, similarity, rank) for a table of corrected queries.
 
     Each distinct corrected text is vectorised, scored against the index and
     ranked once; the ranked hits are then joined back to every query id with
     that text (identical text, identical result). A text shared by a huge
     share of the queries only makes the final join skewed, which AQE splits.
+
+    With ``min_similarity`` only hits above it are returned, with the ranks
+    they have among all hits (a hit above the threshold is outranked only by
+    hits above it), and scoring prunes low-impact terms
+    (``tfidf_scores_above``).
     """
     texts = corrected.select(F.col("corrected").alias("qtext")).distinct()
     qv = query_vectors(texts, idf, text="qtext", qkey="qtext")
-    ranked = topk_similarity(tfidf_scores(qv, index, key, qkey="qtext"), top, key, qkey="qtext")
+    scores = (tfidf_scores(qv, index, key, qkey="qtext") if min_similarity is None
+              else tfidf_scores_above(qv, index, min_similarity, key, qkey="qtext"))
+    ranked = topk_similarity(scores, top, key, qkey="qtext")
     ids = corrected.select("query_id", F.col("corrected").alias("qtext"))
     return ids.join(ranked, "qtext").select("query_id", key, "similarity", "rank")
 
@@ -298,7 +335,7 @@ def search(queries: DataFrame, docs: DataFrame, top: int = DEFAULT_TOP,
     index, idf = tfidf_index(docs)
     bank = word_bank(docs)
     corr = correct_spelling(queries, bank)
-    return search_result(rank_queries(corr, idf, index, top), docs, threshold)
+    return search_result(rank_queries(corr, idf, index, top, min_similarity=threshold), docs, threshold)
 
 
 # ------------------------------------------------------------ expansion, fuzzy

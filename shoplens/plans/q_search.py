@@ -127,7 +127,7 @@ def q_topk_similarity(spark, sf):
           floats=["similarity", "discounted_price", "actual_price", "discount_percentage", "rating", "rating_count"])
 def q_search_result(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
+    ranked = S.rank_queries(corr, idf, index, 50, min_similarity=0.10)
     r = S.search_result(ranked, d, 0.10)
     return r.select("query_id", "rank", "similarity", *d.columns)
 
@@ -137,7 +137,7 @@ def q_search_result(spark, sf):
  where r.rank <= 50 and r.similarity > 0.10""")
 def q_search_result_join(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
+    ranked = S.rank_queries(corr, idf, index, 50, min_similarity=0.10)
     return S.search_result(ranked, d.select("product_id", "product_name"), 0.10).select(
         "query_id", "rank", "product_id", "product_name")
 
@@ -146,7 +146,7 @@ def q_search_result_join(spark, sf):
  select query_id, rank, product_id from ranked where rank <= 50 and similarity > 0.10""")
 def q_order_by_search_rank(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
+    ranked = S.rank_queries(corr, idf, index, 50, min_similarity=0.10)
     return ranked.filter(F.col("similarity") > 0.10).select("query_id", "rank", "product_id").orderBy("query_id", "rank")
 
 
@@ -157,7 +157,7 @@ def q_order_by_search_rank(spark, sf):
   group by query_id) h on c.query_id = h.query_id""")
 def q_search_policy(spark, sf):
     d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
+    ranked = S.rank_queries(corr, idf, index, 50, min_similarity=0.10)
     res = ranked.filter(F.col("similarity") > 0.10)
     return S.search_policy(corr, res, 50)
 
