@@ -194,20 +194,3 @@ def test_deletion_rows_match_variant_sets(spark):
         ref = {(r.cand, r.v) for r in bank.select(
             F.col("word").alias("cand"), F.explode(S.deletion_variants(F.col("word"), F.lit(k))).alias("v")).collect()}
         assert fast == ref
-
-
-def test_pruned_scores_equal_full_scores_above_threshold(spark):
-    rng = random.Random(7)
-    vocab = ["common"] + [f"w{i}" for i in range(40)]
-    docs = [(d, " ".join(["common"] + rng.choices(vocab, k=rng.randint(1, 12)))) for d in range(300)]
-    d = spark.createDataFrame(docs, "product_id long, description string")
-    index, idf = S.tfidf_index(d)
-    qs = [(q, " ".join(rng.choices(vocab[:12], k=rng.randint(1, 4)))) for q in range(60)]
-    q = spark.createDataFrame(qs, "query_id long, corrected string")
-    qv = S.query_vectors(q, idf)
-    for t in (0.05, 0.10, 0.3):
-        full = {(r.query_id, r.product_id): r.similarity
-                for r in S.tfidf_scores(qv, index).filter(F.col("similarity") > t).collect()}
-        pruned = {(r.query_id, r.product_id): r.similarity for r in S.tfidf_scores_above(qv, index, t).collect()}
-        assert set(full) == set(pruned)
-        assert all(abs(full[k] - pruned[k]) < 1e-9 for k in full)
