@@ -217,25 +217,27 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     # at most 2^bits rows: a size bound fixed by ``bits``, not by the data
     rows = summ.orderBy("bucket").collect()
     u = users.select("user_id", l2_normalise(F.col("vector")).alias("uv"))
-    ub = users.select("user_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(
-        _bounds(np.array([r["bucket"] for r in rows], dtype="int32"),
-                np.array([r["size"] for r in rows], dtype="int64"),
-                np.array([r["c"] for r in rows], dtype="float64").reshape(len(rows), max(dim, 1)),
-                np.array([r["r"] for r in rows], dtype="float64")),
-        "user_id long, bucket int, size long, lb double, ub double")
+    src = users.select("user_id", F.col("vector").cast("array<double>").alias("vector"))
     if seen is not None:
-        sb = seen.select("user_id", "product_id").join(p.select("product_id", "bucket"), "product_id") \
-                 .groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("_seen"))
-        ub = ub.join(sb, ["user_id", "bucket"], "left").withColumn(
-            "avail", F.col("size") - F.coalesce("_seen", F.lit(0)))
+        # seen products per (user, bucket), then one row per user carrying at
+        # most 2^bits (bucket, count) entries
+        sb = (seen.select("user_id", "product_id").join(p.select("product_id", "bucket"), "product_id")
+              .groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("_seen"))
+              .groupBy("user_id").agg(F.collect_list(F.struct("bucket", "_seen")).alias("_s")))
+        src = src.join(sb, "user_id", "left").select(
+            "user_id", "vector", F.transform("_s", lambda x: x["bucket"]).alias("sb"),
+            F.transform("_s", lambda x: x["_seen"]).alias("sn"))
     else:
-        ub = ub.withColumn("avail", F.col("size"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("lb"), "bucket")
-    acc = ub.withColumn("_cum", F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # tau: the lower bound of the first bucket where the running count reaches n
-    tau = acc.filter(F.col("_cum") >= n).groupBy("user_id").agg(F.max("lb").alias("tau"))
-    cand = keep(ub.join(tau, "user_id", "left").filter(F.col("tau").isNull() | (F.col("ub") >= F.col("tau")))
-                .select("user_id", "bucket"), "topn-candidates")
+        src = src.select("user_id", "vector", F.lit(None).cast("array<int>").alias("sb"),
+                         F.lit(None).cast("array<bigint>").alias("sn"))
+    # bounds, running unseen counts and the cut per user in one map step: the
+    # users x buckets bound table is never shuffled, sorted or written
+    cand = keep(src.mapInPandas(
+        _candidates(np.array([r["bucket"] for r in rows], dtype="int32"),
+                    np.array([r["size"] for r in rows], dtype="int64"),
+                    np.array([r["c"] for r in rows], dtype="float64").reshape(len(rows), max(dim, 1)),
+                    np.array([r["r"] for r in rows], dtype="float64"), n),
+        "user_id long, bucket int"), "topn-candidates")
     # grid split of every candidate bucket: chunk counts from bucket sizes
     grid = F.broadcast(
         cand.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nu"))
@@ -290,10 +292,15 @@ def _bucketize(planes: np.ndarray):
     return run
 
 
-def _bounds(buckets: np.ndarray, sizes: np.ndarray, cent: np.ndarray, rad: np.ndarray,
-            eps: float = 1e-9):
-    """mapInPandas body: per user and bucket, the score bounds
-    u.c - r <= u.p <= u.c + r of every product p in the bucket."""
+def _candidates(buckets: np.ndarray, sizes: np.ndarray, cent: np.ndarray, rad: np.ndarray, n: int,
+                eps: float = 1e-9):
+    """mapInPandas body: per user, the buckets that can hold a top-n product.
+
+    Score bounds u.c - r <= u.p <= u.c + r per bucket; buckets in order of
+    lower bound (desc, bucket id breaks ties) with their unseen counts; tau
+    is the lower bound of the bucket at which the running count reaches n --
+    n unseen products score at least tau -- and only buckets whose upper
+    bound reaches tau are kept (all of them when n is never reached)."""
     import pandas as pd
     k = len(buckets)
 
@@ -301,17 +308,30 @@ def _bounds(buckets: np.ndarray, sizes: np.ndarray, cent: np.ndarray, rad: np.nd
         for b in batches:
             if b.empty or k == 0:
                 yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"),
-                                    "bucket": pd.Series([], dtype="int32"),
-                                    "size": pd.Series([], dtype="int64"), "lb": [], "ub": []})
+                                    "bucket": pd.Series([], dtype="int32")})
                 continue
             m = np.stack(b["vector"].to_numpy()).astype("float64")
             norm = np.linalg.norm(m, axis=1, keepdims=True)
             m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
             uc = m @ cent.T
-            yield pd.DataFrame({
-                "user_id": np.repeat(b["user_id"].to_numpy(dtype="int64"), k),
-                "bucket": np.tile(buckets, len(b)), "size": np.tile(sizes, len(b)),
-                "lb": (uc - rad - eps).ravel(), "ub": (uc + rad + eps).ravel()})
+            lb, ub = uc - rad - eps, uc + rad + eps
+            avail = np.tile(sizes, (len(b), 1))
+            sb = [x for x in b["sb"].to_numpy()]
+            lens = np.array([0 if x is None else len(x) for x in sb], dtype="int64")
+            if lens.sum() > 0:
+                rows = np.repeat(np.arange(len(b)), lens)
+                cols = np.searchsorted(buckets, np.concatenate([x for x in sb if x is not None and len(x)]))
+                seen = np.concatenate([x for x in b["sn"].to_numpy() if x is not None and len(x)])
+                np.subtract.at(avail, (rows, cols), seen.astype("int64"))
+            order = np.lexsort((np.tile(buckets, (len(b), 1)), -lb), axis=1)
+            cum = np.cumsum(np.take_along_axis(avail, order, axis=1), axis=1)
+            reach = cum >= n
+            first = reach.argmax(axis=1)
+            tau = np.where(reach.any(axis=1),
+                           np.take_along_axis(lb, order, axis=1)[np.arange(len(b)), first], -np.inf)
+            ii, jj = np.nonzero(ub >= tau[:, None])
+            yield pd.DataFrame({"user_id": b["user_id"].to_numpy(dtype="int64")[ii],
+                                "bucket": buckets[jj]})
 
     return run
 

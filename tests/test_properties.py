@@ -194,3 +194,21 @@ def test_deletion_rows_match_variant_sets(spark):
         ref = {(r.cand, r.v) for r in bank.select(
             F.col("word").alias("cand"), F.explode(S.deletion_variants(F.col("word"), F.lit(k))).alias("v")).collect()}
         assert fast == ref
+
+
+def test_recommend_topn_edges_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    U, P, D = 6, 40, 8
+    uv, pv = rng.standard_normal((U, D)), rng.standard_normal((P, D))
+    users = spark.createDataFrame([(i, uv[i].tolist()) for i in range(U)], "user_id long, vector array<double>")
+    prods = spark.createDataFrame([(j, pv[j].tolist()) for j in range(P)], "product_id long, vector array<double>")
+    un = uv / np.linalg.norm(uv, axis=1, keepdims=True)
+    pn = pv / np.linalg.norm(pv, axis=1, keepdims=True)
+    # no seen table; n below and above the product count (the cut never reached)
+    for n in (7, 55):
+        got = {}
+        for r in R.recommend_topn(users, prods, None, n=n, bits=3).collect():
+            got.setdefault(r.user_id, []).append((r.rank, r.product_id))
+        for i in range(U):
+            sc = sorted((-round(float(un[i] @ pn[j]), 10), j) for j in range(P))[:n]
+            assert [j for _, j in sorted(got[i])] == [j for _, j in sc]
