@@ -102,3 +102,12 @@ def test_relative_price_clamp_and_zero_iqr(spark):
     # category 1: Q1 = 1.75, median 2.5, Q3 = 252.25 -> (1000 - 2.5) / 250.5
     assert math.isclose(got[3][2], (1000 - 2.5) / 250.5)
     assert [g[2] for g in got if g[0] == 2] == [0.0, 0.0]
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from shoplens.session import scale_conf
+    big = scale_conf(100 * 2**40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
+    assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == big["spark.sql.shuffle.partitions"]
+    small = scale_conf(10**6, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
