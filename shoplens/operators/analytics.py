@@ -8,7 +8,7 @@ lists are TakeOrdered (bounded k rows) joined back by broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.columns import price_range, safe_div, weekday_name
@@ -279,18 +279,28 @@ def price_histogram(prices: DataFrame, bins: int = 50, col: str = "price") -> Da
 
 
 # ------------------------------------------------------------ behaviour
+def _grand_totals(g: DataFrame, cols: list[str]) -> DataFrame:
+    """``g`` plus ``_t_<col>`` = the column's sum over all rows of ``g``.
+
+    For grouped results keyed by a low-cardinality key (event type, hour,
+    weekday): a window over the grouped rows is one small partition of at
+    most that many rows, where a scalar subquery would read the events a
+    second time."""
+    everything = Window.partitionBy()
+    return g.select("*", *[F.sum(c).over(everything).alias("_t_" + c) for c in cols])
+
+
 def event_mix(df: DataFrame) -> DataFrame:
     g = count_by(df, "event_type")
-    return with_scalars(g, g.agg(F.sum("count").alias("_t"))).select("event_type", "count", safe_div(F.col("count"), F.col("_t")).alias("share"))
+    return _grand_totals(g, ["count"]).withColumnRenamed("_t_count", "_t").select("event_type", "count", safe_div(F.col("count"), F.col("_t")).alias("share"))
 
 
 def events_by(df: DataFrame, key_expr, key: str, types=("view", "cart", "purchase")) -> DataFrame:
     """Counts per key for each event type, and each count's share of its
-    type's total (1-row totals joined back)."""
+    type's total; ``key_expr`` is a low-cardinality key (hour, weekday)."""
     g = df.groupBy(key_expr.alias(key)).agg(*[F.count_if(_is("event_type", t)).alias(t) for t in types])
-    tot = g.agg(*[F.sum(t).alias("_t_" + t) for t in types])
-    return with_scalars(g, tot).select(key, *types, *[safe_div(F.col(t), F.col("_t_" + t)).alias(t + "_percent")
-                                                   for t in types])
+    return _grand_totals(g, list(types)).select(
+        key, *types, *[safe_div(F.col(t), F.col("_t_" + t)).alias(t + "_percent") for t in types])
 
 
 def hour_of_time(time_col: str = "time"):
