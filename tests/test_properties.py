@@ -212,3 +212,20 @@ def test_recommend_topn_edges_match_brute_force(spark):
         for i in range(U):
             sc = sorted((-round(float(un[i] @ pn[j]), 10), j) for j in range(P))[:n]
             assert [j for _, j in sorted(got[i])] == [j for _, j in sc]
+
+
+def test_recommend_topn_zero_vector_user(spark):
+    rng = np.random.default_rng(5)
+    P, D, n = 30, 6, 4
+    pv = rng.standard_normal((P, D))
+    uv = [[0.0] * D, rng.standard_normal(D).tolist()]
+    users = spark.createDataFrame([(i, v) for i, v in enumerate(uv)], "user_id long, vector array<double>")
+    prods = spark.createDataFrame([(j, pv[j].tolist()) for j in range(P)], "product_id long, vector array<double>")
+    got = {}
+    for r in R.recommend_topn(users, prods, None, n=n, bits=3).collect():
+        got.setdefault(r.user_id, []).append((r.rank, r.product_id))
+    u1 = np.array(uv[1]) / np.linalg.norm(uv[1])
+    pn = pv / np.linalg.norm(pv, axis=1, keepdims=True)
+    sc = sorted((-round(float(u1 @ pn[j]), 10), j) for j in range(P))[:n]
+    assert [j for _, j in sorted(got[1])] == [j for _, j in sc]
+    assert 0 not in got  # no defined cosine for a zero vector
