@@ -66,24 +66,23 @@ def build_session(master: str | None = None, app: str = "shoplens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when it is unset -- local runs and tests -- do we make
-    one of our own.
+    On a cluster this is what ``spark.checkpoint.dir`` names (a folder that
+    driver and executors share); without it nothing may be written, so an
+    unset folder raises. Only a ``local`` master, where the driver is the one
+    executor, gets a folder of its own, made once per session.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="shoplens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
 def materialize(df, name: str = "stage"):
