@@ -61,11 +61,10 @@ class DoubleArray:
             for c, a, b in groups:
                 self.check[base + c] = state
                 todo.append((base + c, depth + 1, a, b))
-        while len(self.check) > 256 and self.check[-1] == -1 and self.check[-256] == -1:
-            for x in (self.base, self.check, self.value):
-                del x[-128:]
-        for x, empty in ((self.base, 0), (self.check, -1), (self.value, -1)):
-            x.extend([empty] * 256)  # every base + byte is a place
+        top = max(i for i, c in enumerate(self.check) if c != -1) + 257  # every base + byte is a place
+        self._room(top)
+        for x in (self.base, self.check, self.value):
+            del x[top:]
 
     def _place(self, labels: list[int]) -> int:
         """A base at which all labels are free. The search starts behind the
