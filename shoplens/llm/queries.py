@@ -16,6 +16,7 @@ from shoplens.llm.common import table
 from shoplens.llm.decontaminate import contamination
 from shoplens.llm.exact_dedup import exact_dedup
 from shoplens.llm.language_id import UNKNOWN, classify, fit
+from shoplens.llm.line_dedup import line_dedup
 from shoplens.llm.simhash import simhash_groups
 from shoplens.llm.substring_dedup import repeats
 from shoplens.llm.token_count import token_counts
@@ -61,6 +62,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_substring_dedup, op3_exact_dedup, op4_chat_format, op5_sentencepiece,
-           op6_decontamination, op8_simhash, op9_token_counts, op10_token_output, pipeline)
+           op6_decontamination, op7_line_dedup, op8_simhash, op9_token_counts, op10_token_output, pipeline)
     return {f.__name__: f for f in own}
 
 

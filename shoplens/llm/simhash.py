@@ -11,7 +11,8 @@ linked to each other. No pairs are written out for them: what one entry holds
 and what looks it up meet in tasks of bounded size (large entries are dealt in
 a grid of blocks, in which every pair still meets once), the verification is a
 walk there that compares what it has reached with what it has not, and it
-gives only links that join parts not joined by its earlier links. Connectivity, and so the result, is the same.
+gives only links that join parts not joined by its earlier links.
+Connectivity, and so the result, is the same.
 """
 
 from __future__ import annotations
@@ -149,12 +150,14 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int = 3, block: int = BLO
     value = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in cuts]
     tag = [F.lit(i << 58) for i in range(segments)]
     entries = fps.select("fp", F.explode(F.array(*[t.bitwiseOR(v) for t, v in zip(tag, value)])).alias("entry"))
-    # a pair that differs in a segment is looked up from the smaller value only
-    balls = []
-    for t, v, (_, w) in zip(tag, value, cuts):
-        masks = F.array(*[F.lit(m).cast("long") for m in _masks(w, radius)])
-        around = F.transform(masks, lambda m, v=v: v.bitwiseXOR(m))
-        balls.append(F.transform(F.filter(around, lambda x, v=v: x >= v), lambda x, t=t: t.bitwiseOR(x)))
+
+    def ball(tag, value, width):
+        # a pair that differs in a segment is looked up from the smaller value only
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)])
+        around = F.filter(F.transform(masks, lambda m: value.bitwiseXOR(m)), lambda x: x >= value)
+        return F.transform(around, lambda x: tag.bitwiseOR(x))
+
+    balls = [ball(t, v, w) for t, v, (_, w) in zip(tag, value, cuts)]
     lookups = fps.select("fp", F.explode(F.flatten(F.array(*balls))).alias("entry"))
 
     rows = (entries.withColumn("probe", F.lit(0).cast("tinyint"))
