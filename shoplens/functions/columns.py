@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "col_", "safe_div", "clamp", "rate_or_count", "number_taker", "split_first",
     "split_rest", "split_pipe", "camel_split", "price_range", "PRICE_BINS",
-    "rating_category", "rating_rank", "RATING_LEVELS", "star_bar", "truncate_text",
+    "rating_category", "RATING_LEVELS", "star_bar", "truncate_text",
     "count_char", "weekday_mon0", "time_of_day", "half_life_coef", "weekday_name",
     "WEEKDAY_NAMES", "round6",
 ]
@@ -100,13 +100,6 @@ def rating_category(c) -> Column:
             .when(x == 5.0, "Excellent"))
 
 
-def rating_rank(c) -> Column:
-    """Ordinal of the band (1 = Poor ... 5 = Excellent), the ordered category."""
-    x = col_(c)
-    return (F.when(x < 2.0, 1).when(x < 3.0, 2).when(x < 4.0, 3)
-            .when(x < 5.0, 4).when(x == 5.0, 5))
-
-
 def star_bar(c) -> Column:
     """Filled stars for int(rating), hollow ones for the rest of five."""
     n = F.least(F.greatest(col_(c).cast("int"), F.lit(0)), F.lit(5))

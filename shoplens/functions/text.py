@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.columns import col_
 
 __all__ = ["CONTRACTION_RULES", "expand_contractions", "text_clean", "tokens",
-           "index_terms", "query_words"]
+           "query_words"]
 
 # Contraction rules applied after lower-casing, in this order
 # (Java replacement syntax; the DuckDB twin uses \1). Specific words first,
@@ -56,12 +56,6 @@ def tokens(clean_text) -> Column:
     return F.filter(F.split(col_(clean_text), " "), lambda w: F.length(w) > 0)
 
 
-def index_terms(clean_text) -> Column:
-    """Index terms: words of at least two characters (the vectorizer's
-    default token rule on cleaned text)."""
-    return F.filter(F.split(col_(clean_text), " "), lambda w: F.length(w) >= 2)
-
-
 def query_words(q) -> Column:
     """Whitespace words of a lower-cased query (spell-check units)."""
     return F.filter(F.split(F.trim(F.lower(col_(q))), r"\s+"), lambda w: F.length(w) > 0)

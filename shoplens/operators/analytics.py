@@ -1,9 +1,10 @@
 """Market and behaviour analytics over clean events.
 
-Conventions: group keys that are null are dropped where the reference's
-``groupby`` drops them; every top-k has a unique tie-break; global shares
-use a 1-row total joined back (never a window without PARTITION BY); top-n
-lists are TakeOrdered (bounded k rows) joined back by broadcast.
+Conventions: group keys that are null are dropped where the definition drops
+them; every top-k has a unique tie-break; global shares use a 1-row total
+(a window without PARTITION BY only over a few grouped rows: event types,
+hours, weekdays); top-n lists are TakeOrdered (bounded k rows) joined back by
+broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.columns import price_range, safe_div, weekday_name
 from shoplens.operators.features import with_scalars
+from shoplens.operators.quantiles import exact_quantiles
 
 
 def _is(c: str, v) -> F.Column:
@@ -34,23 +36,21 @@ def profile_null_count(df: DataFrame) -> DataFrame:
 
 def profile_describe(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column, one
-    aggregate pass, one output row per column. Quartiles are exact (the
-    final merge holds one count per distinct value) unless ``approx``, which
-    bounds the memory with a quantile sketch."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-                  else F.percentile(x, [0.25, 0.5, 0.75])).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    a = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                              F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-                              F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
-                              F.col(f"{c}__max").alias("max")) for c in cols])
-    return a.select(F.inline(rows))
+    output row per column. The columns are unpivoted into (column, x), so one
+    aggregate serves them all; quartiles are exact ranks (``exact_quantiles``)
+    unless ``approx``, which takes a quantile sketch."""
+    x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                                      for c in cols])).alias("_s")).select("_s.column", "_s.x")
+    aggs = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+            F.min("x").alias("min"), F.max("x").alias("max")]
+    names = ["p25", "p50", "p75"]
+    if approx:
+        g = x.groupBy("column").agg(*aggs, F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
+            "*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        g = x.groupBy("column").agg(*aggs).join(
+            exact_quantiles(x, "column", "x", dict(zip(names, (0.25, 0.5, 0.75)))), "column", "left")
+    return g.select("column", "count", "mean", "std", "min", *names, "max")
 
 
 def profile_unique(df: DataFrame, col: str) -> DataFrame:
@@ -129,11 +129,12 @@ def distinct_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------ entity counts
 def count_distinct_entities(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_distinct("user_id").alias("users"),
-                  F.count_distinct("product_id").alias("products"),
-                  F.count_distinct("category_id").alias("categories"),
-                  F.count_distinct("category_code").alias("taxonomies"),
-                  F.count_distinct("brand").alias("brands"))
+    """One row of distinct counts, each a two-level count of its own pruned
+    column (no Expand of whole rows)."""
+    entities = {"users": "user_id", "products": "product_id", "categories": "category_id",
+                "taxonomies": "category_code", "brands": "brand"}
+    one = df.sparkSession.range(1)
+    return one.select(*[df.select(c).distinct().agg(F.count(c)).scalar().alias(n) for n, c in entities.items()])
 
 
 def brand_nunique_per_product(df: DataFrame) -> DataFrame:
@@ -253,8 +254,8 @@ def always_zero_price(df: DataFrame) -> DataFrame:
 
 
 def median_price_by_brand(df: DataFrame) -> DataFrame:
-    return (df.filter(F.col("brand").isNotNull()).groupBy("brand")
-            .agg(F.percentile("price", 0.5).alias("median_price")))
+    brands = df.filter(F.col("brand").isNotNull()).select("brand").distinct()
+    return brands.join(exact_quantiles(df, "brand", "price", {"median_price": 0.5}), "brand", "left")
 
 
 def price_range_counts(prices: DataFrame, col: str = "price") -> DataFrame:

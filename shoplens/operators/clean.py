@@ -31,19 +31,13 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def find_duplicates(df: DataFrame) -> DataFrame:
-    """Every distinct row that occurs more than once, with its multiplicity
-    (the ``keep=False`` view, one line per group instead of n copies)."""
+    """Every row that occurs more than once, all members (``keep=False``),
+    with the multiplicity. Copies are equal in every column, so each counted
+    group is written out again as often as it was counted."""
     cols = df.columns
     return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_copies"))
-            .filter(F.col("n_copies") > 1))
-
-
-def duplicate_surplus(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row: rows, distinct rows (or keys) and the surplus removed."""
-    keys = keys or df.columns
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-                 (F.sum("n") - F.count(F.lit(1))).alias("surplus_rows"))
+            .filter(F.col("n_copies") > 1)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("_copy"))
 
 
 def negative_price(df: DataFrame) -> Column:
@@ -151,6 +145,24 @@ def drop_session_duplicates(df: DataFrame, remove_keep: str = "first") -> DataFr
                                 {"remove_from_cart": remove_keep, "cart": "first"})
 
 
+def drop_row_and_session_duplicates(df: DataFrame, remove_keep: str = "first") -> DataFrame:
+    """``drop_duplicates`` and both session de-duplications in one aggregate:
+    cart and remove_from_cart rows are grouped by their session key and keep
+    one row, all other rows are grouped by their whole content."""
+    if remove_keep not in ("first", "last"):
+        raise ValueError("remove_keep must be 'first' or 'last'")
+    cols = df.columns
+    keys = ["event_type"] + SESSION_KEY
+    packed = F.struct("event_time", *[F.col(c) for c in cols if c not in keys + ["event_time"]])
+    session = F.coalesce(F.col("event_type").isin("cart", "remove_from_cart"), F.lit(False))
+    g = df.groupBy(*keys, F.when(~session, packed).alias("_whole")).agg(
+        F.min(F.when(session, packed)).alias("_first"),
+        *([F.max(F.when(session, packed)).alias("_last")] if remove_keep == "last" else []))
+    row = F.coalesce("_whole", *([F.when(F.col("event_type") == "remove_from_cart", F.col("_last"))]
+                                 if remove_keep == "last" else []), "_first")
+    return g.withColumn("_r", row).select(*[F.col(c) if c in keys else F.col("_r." + c).alias(c) for c in cols])
+
+
 def split_datetime(df: DataFrame) -> DataFrame:
     """event_time -> date, weekday (Monday = 0), time ``HH:mm:ss``; the
     clean column order."""
@@ -163,10 +175,10 @@ def split_datetime(df: DataFrame) -> DataFrame:
 def clean_events(raw: DataFrame, remove_keep: str = "first") -> DataFrame:
     """The whole cleaning chain M1 -> M2: distinct rows, no negative prices,
     category split, canonical brand, one cart / remove_from_cart per session
-    and product, date / weekday / time."""
-    df = drop_duplicates(raw.select(*RAW_COLUMNS))
-    df = drop_neg_price(df)
-    df = split_category_code(df)
-    df = fill_brand(df)
-    df = drop_session_duplicates(df, remove_keep)
+    and product, date / weekday / time.
+
+    Repeated rows change neither the canonical brands nor which row of a
+    session is first, so the rows are de-duplicated once, at the end."""
+    df = split_category_code(drop_neg_price(raw.select(*RAW_COLUMNS)))
+    df = drop_row_and_session_duplicates(fill_brand(df), remove_keep)
     return split_datetime(df)

@@ -1,8 +1,8 @@
 """Feature engineering on clean events (M2 -> M3..M7).
 
 Global scalars (totals, minima, maxima, the last date) are 1-row aggregates
-joined back as a broadcast cross join of exactly one row; no window without
-PARTITION BY ever pulls a whole column into one task.
+attached as scalar subqueries; no window without PARTITION BY ever pulls a
+whole column into one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.columns import clamp, half_life_coef, rate_or_count, safe_div
-from shoplens.operators.clean import CLEAN_COLUMNS, EVENT_TYPES
+from shoplens.operators.clean import EVENT_TYPES
+from shoplens.operators.quantiles import exact_quantiles
 
 RATE_COLUMNS = ["cart_per_view", "purchase_per_view", "remove_per_cart", "purchase_per_cart"]
 COUNT_COLUMNS = ["views", "carts", "remove_from_carts", "purchases"]
@@ -31,13 +32,16 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
 
 def category_price_quartiles(df: DataFrame, approx: bool = False) -> DataFrame:
     """Q1, median, Q3 (linear interpolation) and IQR of price per
-    category_id. ``approx`` swaps the exact percentile (per-group value
-    counts) for a bounded-memory sketch."""
-    pcts = [0.25, 0.5, 0.75]
-    p = (F.percentile_approx("price", pcts, 10000) if approx else F.percentile("price", pcts))
-    q = df.filter(F.col("category_id").isNotNull()).groupBy("category_id").agg(p.alias("_q"))
-    return q.select("category_id", F.col("_q")[0].alias("Q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("Q3"), (F.col("_q")[2] - F.col("_q")[0]).alias("IQR"))
+    category_id; categories without a price have nulls. ``approx`` takes a
+    bounded-memory sketch instead of the exact ranks."""
+    d = df.filter(F.col("category_id").isNotNull())
+    if approx:
+        q = d.groupBy("category_id").agg(F.percentile_approx("price", [0.25, 0.5, 0.75], 10000).alias("_q")).select(
+            "category_id", *[F.col("_q")[i].alias(n) for i, n in enumerate(("Q1", "median", "Q3"))])
+    else:
+        q = d.select("category_id").distinct().join(
+            exact_quantiles(d, "category_id", "price", {"Q1": 0.25, "median": 0.5, "Q3": 0.75}), "category_id", "left")
+    return q.withColumn("IQR", F.col("Q3") - F.col("Q1"))
 
 
 def relative_price(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -78,11 +82,16 @@ def _weight_and_normalise(df: DataFrame, lead: list[str]) -> DataFrame:
              "remove_per_cart": cart_share, "purchase_per_cart": cart_share}
     w = w.select(*[F.coalesce(F.col(c) * share[c], F.lit(0.0)).alias(c) if c in RATE_COLUMNS
                    else F.col(c) for c in df.columns])
-    mm = w.agg(*[F.min(c).alias("_mn_" + c) for c in RATE_COLUMNS],
-               *[F.max(c).alias("_mx_" + c) for c in RATE_COLUMNS])
-    n = with_scalars(w, mm)
+    return min_max_normalise(w, RATE_COLUMNS)
+
+
+def min_max_normalise(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(x - min) / (max - min) of each of ``cols``; null where the column is
+    constant. The other columns pass through."""
+    mm = df.agg(*[F.min(c).alias("_mn_" + c) for c in cols], *[F.max(c).alias("_mx_" + c) for c in cols])
+    n = with_scalars(df, mm)
     return n.select(*[safe_div(F.col(c) - F.col("_mn_" + c), F.col("_mx_" + c) - F.col("_mn_" + c)).alias(c)
-                      if c in RATE_COLUMNS else F.col(c) for c in df.columns])
+                      if c in cols else F.col(c) for c in df.columns])
 
 
 def _count_if(t: str):
@@ -113,21 +122,22 @@ def product_table(df: DataFrame) -> DataFrame:
     return _weight_and_normalise(_rates(g), ["product_id"])
 
 
-def user_interaction(df: DataFrame, strict: bool = False) -> DataFrame:
+def user_interaction(df: DataFrame, strict: bool = False, dates: bool = False) -> DataFrame:
     """Per user: event counts, average (relative) price of views and carts,
     distinct products per event type.
 
     Two-level aggregation instead of distinct-count aggregates: first by
     (user, event_type, product) -- collapses repeats map-side and spreads a
     hot user over many keys -- then by user over at most one row per
-    (type, product). ``strict`` reproduces the reference quirk where users
-    without any view get zeros everywhere.
+    (type, product). ``strict`` gives users without any view zeros
+    everywhere; ``dates`` adds the first and last date.
     """
     if "relative_price" not in df.columns:
         df = relative_price(df)
     l1 = df.groupBy("user_id", "event_type", "product_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("sp"), F.count("price").alias("cp"),
-        F.sum("relative_price").alias("sr"), F.count("relative_price").alias("cr"))
+        F.sum("relative_price").alias("sr"), F.count("relative_price").alias("cr"),
+        F.min("date").alias("d0"), F.max("date").alias("d1"))
 
     def f(t):
         return F.coalesce(F.col("event_type") == t, F.lit(False))
@@ -136,6 +146,7 @@ def user_interaction(df: DataFrame, strict: bool = False) -> DataFrame:
         return safe_div(F.sum(F.when(f(t), F.col(s))), F.sum(F.when(f(t), F.col(c))))
 
     g = l1.groupBy("user_id").agg(
+        *([F.min("d0").alias("first_date"), F.max("d1").alias("last_date")] if dates else []),
         *[F.coalesce(F.sum(F.when(f(t), F.col("n"))), F.lit(0)).alias(n)
           for t, n in zip(EVENT_TYPES, COUNT_COLUMNS)],
         F.coalesce(avg_of("sp", "cp", "view"), F.lit(0.0)).alias("avg_view_price"),
@@ -147,8 +158,9 @@ def user_interaction(df: DataFrame, strict: bool = False) -> DataFrame:
                           "distinct_remove_product", "distinct_purchase_product"])])
     if strict:
         has_view = F.col("views") > 0
-        g = g.select("user_id", *[F.when(has_view, F.col(c)).otherwise(F.lit(0).cast(g.schema[c].dataType)).alias(c)
-                                  for c in g.columns if c != "user_id"])
+        g = g.select(*[F.col(c) if c in ("user_id", "first_date", "last_date") else
+                       F.when(has_view, F.col(c)).otherwise(F.lit(0).cast(g.schema[c].dataType)).alias(c)
+                       for c in g.columns])
     return g
 
 
@@ -161,12 +173,23 @@ USER_COLUMNS = (["user_id", "first_date", "last_date"] + COUNT_COLUMNS +
 def user_table(df: DataFrame, strict: bool = False) -> DataFrame:
     """One row per user (M5): dates, interaction features and the four
     weighted, min-max normalised rates."""
-    dates = df.groupBy("user_id").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    u = dates.join(user_interaction(df, strict), "user_id", "left")
-    u = _weight_and_normalise(_rates(u), ["user_id"])
+    u = _weight_and_normalise(_rates(user_interaction(df, strict, dates=True)), ["user_id"])
     return u.select(*USER_COLUMNS)
 
 
+#: Types of the stored user table.
+USER_TYPES = {"user_id": "bigint", "first_date": "date", "last_date": "date",
+              **{c: "int" for c in COUNT_COLUMNS + ["distinct_view_product", "distinct_cart_product",
+                                                    "distinct_remove_product", "distinct_purchase_product"]},
+              **{c: "double" for c in ["avg_view_price", "avg_purchase_price", "avg_view_relative_price",
+                                       "avg_purchase_relative_price"] + RATE_COLUMNS}}
+
+
+def cast_user_table(df: DataFrame) -> DataFrame:
+    """The user table with its stored types; a count beyond them is an error."""
+    return df.select(*[F.col(c).cast(USER_TYPES[c]).alias(c) if c in USER_TYPES else F.col(c) for c in df.columns])
+
+
 def recency(df: DataFrame, recency_days: float = DEFAULT_RECENCY_DAYS,
             weight_decay: float = DEFAULT_WEIGHT_DECAY) -> DataFrame:
     """Days before the last date of the data set and the half-life weight."""
@@ -192,19 +215,21 @@ def interaction_table(df: DataFrame, recency_days: float = DEFAULT_RECENCY_DAYS,
                     F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(100.0)).alias("interaction_score"))
 
 
+def left_join_chain(frames: list[DataFrame], on: list[str], suffixes: list[tuple[str, str]]) -> DataFrame:
+    """Fold of equi left joins: frame i + 1 is joined on ``on[i]``; names that
+    both sides have beside the key get ``suffixes[i]`` (left, right)."""
+    out = frames[0]
+    for right, key, (ls, rs) in zip(frames[1:], on, suffixes, strict=True):
+        clash = (set(out.columns) & set(right.columns)) - {key}
+        left = out.select(*[F.col(c).alias(c + ls) if c in clash else F.col(c) for c in out.columns])
+        right = right.select(*[F.col(c).alias(c + rs) if c in clash else F.col(c) for c in right.columns])
+        out = left.join(right, key, "left").select(*left.columns, *[c for c in right.columns if c != key])
+    return out
+
+
 def train_table(interaction: DataFrame, user: DataFrame, product: DataFrame) -> DataFrame:
     """interaction LEFT JOIN user LEFT JOIN product (M7); clashing names get
     ``_user`` / ``_product`` and the first/last dates are dropped."""
-    clash = set(user.columns) & set(product.columns) - {"user_id", "product_id"}
-    u = user.select(*[F.col(c).alias(c + "_user") if c in clash else F.col(c) for c in user.columns])
-    p = product.select(*[F.col(c).alias(c + "_product") if c in clash else F.col(c) for c in product.columns])
-    t = interaction.join(u, "user_id", "left").join(p, "product_id", "left")
-    drop = {"first_date_user", "last_date_user", "first_date_product", "last_date_product"}
-    cols = (interaction.columns + [c for c in u.columns if c != "user_id"]
-            + [c for c in p.columns if c != "product_id"])
-    return t.select(*[c for c in cols if c not in drop])
-
-
-def enrich(clean: DataFrame, approx: bool = False) -> DataFrame:
-    """M2 -> M3 (relative_price after price)."""
-    return relative_price(clean, approx)
+    dates = ["first_date", "last_date"]
+    return left_join_chain([interaction, user.drop(*dates), product.drop(*dates)], ["user_id", "product_id"],
+                           [("", "_user"), ("_user", "_product")])

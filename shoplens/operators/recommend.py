@@ -1,22 +1,17 @@
 """Recommendation: splits, metrics, Spark ML models, two-tower style
 scoring and top-n per user, routing policy.
 
-Top-n over embeddings is exact without pairing every user with every
-product: products are bucketed by random-hyperplane signs; each bucket's
-centroid and radius give per-(user, bucket) score bounds; a user only scores
-the buckets whose upper bound reaches the score that n unseen products are
-already guaranteed to beat.
+Top-n over embeddings scores candidates, not all pairs: users and products
+that agree in all sign bits of at least one of several hyperplane tables.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.operators.features import with_scalars
+from shoplens.operators.features import train_table, with_scalars
 
 # Routing policy of the recommender diagram.
 ROUTING_THRESHOLD = 100
@@ -68,21 +63,19 @@ def factorize_ids(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     a position inside each partition, and per-partition offsets from a table
     with one row per partition -- no single-partition window.
     """
+    from shoplens.session import materialize
     first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     s = first.repartitionByRange("_first", key).sortWithinPartitions("_first", key)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    # written once: positions and counts come from the same partitions
+    s = materialize(s.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+                    .select(key, "_pid", "_local"), "factorize")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return s.join(F.broadcast(offs), "_pid").select(key, (F.col("_off") + F.col("_local")).alias(f"{key}_index"))
+    return s.join(offs, "_pid").select(key, (F.col("_off") + F.col("_local")).alias(f"{key}_index"))
 
 
 # ------------------------------------------------------------ metrics / routing
-def regression_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    e = F.col(pred).cast("double") - F.col(truth).cast("double")
-    return df.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"))
-
-
 def routing_tier(n: Column, threshold: int = ROUTING_THRESHOLD) -> Column:
     return F.when(n <= 0, ROUTING_TIERS[0][0]).when(n < threshold, ROUTING_TIERS[1][0]).otherwise(ROUTING_TIERS[2][0])
 
@@ -102,37 +95,49 @@ def recommend_routing(users: DataFrame, events: DataFrame, list_size: int = 10,
                     (F.lit(list_size) - rec).alias("random_slots"), rec.alias("recommender_slots"))
 
 
+# Steps of the walk over the product index, primes beyond any
+# index they are used with; their product exceeds every 64-bit count, so at
+# least one of them does not divide it.
+WALK_STEPS = [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121]
+
+
 def route_list(routing: DataFrame, recommended: DataFrame, products: DataFrame,
-               seen: DataFrame | None = None, seed: int = 42, oversample: int = 3) -> DataFrame:
-    """Final list per user: the recommender's best ``recommender_slots`` and
-    ``random_slots`` seeded-random products the user has not seen and that
-    the recommender did not pick.
-
-    No user x product pairs: products get a dense index (``factorize_ids``);
-    each user draws ``oversample * random_slots`` hashed indices, equi-joins
-    them to the index, drops seen / recommended / repeated draws and keeps
-    the first ``random_slots`` draws. ``recommended`` has
-    (user_id, product_id, rank); ``products`` has product_id.
+               seen: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """Final list per user (user_id, product_id, source): the recommender's
+    best ``recommender_slots`` and seeded-random products for all other slots
+    of the list; the user has seen none of them, and none comes twice.
+
+    No user x product pairs: products get a dense index (``factorize_ids``)
+    and each user walks it from a hashed start by a step that is prime to the
+    number of products, so that no index comes twice. The walk is as long as
+    the random slots, the seen and the recommended products together, so the
+    list is short only when no more products exist. Slots that the recommender
+    cannot fill go to random products. ``recommended`` has (user_id,
+    product_id, rank), no seen products; ``products`` has product_id.
     """
-    r = (recommended.join(routing.select("user_id", "recommender_slots"), "user_id")
-         .filter(F.col("rank") <= F.col("recommender_slots"))
-         .select("user_id", "product_id", F.lit("recommender").alias("source")))
+    users = routing.select("user_id", "random_slots", "recommender_slots")
+    r = (recommended.join(users.select("user_id", "recommender_slots"), "user_id")
+         .filter(F.col("rank") <= F.col("recommender_slots")).select("user_id", "product_id"))
     idx = factorize_ids(products.select("product_id").distinct(), "product_id", ["product_id"])
     n = idx.agg(F.count(F.lit(1)).alias("_n"))
-    draws = (with_scalars(routing.filter(F.col("random_slots") > 0)
-                          .select("user_id", "random_slots",
-                                  F.explode(F.sequence(F.lit(1), F.col("random_slots") * oversample)).alias("draw")),
-                          n)
-             .withColumn("product_id_index", F.pmod(mix_hash("user_id", "draw", seed=seed), F.col("_n"))))
-    picked = draws.join(idx, "product_id_index")
-    if seen is not None:
-        picked = picked.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-    picked = picked.join(r.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-    first = picked.groupBy("user_id", "product_id", "random_slots").agg(F.min("draw").alias("draw"))
-    w = Window.partitionBy("user_id").orderBy("draw")
-    rnd = (first.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("random_slots"))
+    taken = r if seen is None else r.unionByName(seen.select("user_id", "product_id"))
+    taken = taken.distinct()
+    counts = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("_taken"))
+    picked = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("_picked"))
+    want = (users.join(counts, "user_id", "left").join(picked, "user_id", "left")
+            .withColumn("_want", F.col("random_slots") + F.col("recommender_slots") - F.coalesce("_picked", F.lit(0))))
+    want = with_scalars(want, n).withColumn("_len", F.least(F.col("_n"), F.col("_want") + F.coalesce("_taken", F.lit(0))))
+    steps = F.filter(F.array(*[F.lit(p).cast("bigint") for p in WALK_STEPS]), lambda p: F.col("_n") % p != 0)
+    step = F.element_at(steps, (F.pmod(mix_hash("user_id", seed=seed + 1), F.size(steps)) + 1).cast("int"))
+    walk = (want.filter("_want > 0 and _len > 0")
+            .select("user_id", "_want", "_n", F.pmod(mix_hash("user_id", seed=seed), F.col("_n")).alias("_at"),
+                    step.alias("_step"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1)).alias("_k"))
+            .withColumn("product_id_index", F.pmod(F.col("_at") + F.col("_k") * F.pmod(F.col("_step"), F.col("_n")), F.col("_n"))))
+    free = walk.join(idx, "product_id_index").join(taken, ["user_id", "product_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy("_k")
+    rnd = (free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_want"))
            .select("user_id", "product_id", F.lit("random").alias("source")))
-    return r.unionByName(rnd)
+    return r.select("user_id", "product_id", F.lit("recommender").alias("source")).unionByName(rnd)
 
 
 def ready_for_training(events: DataFrame, key: str, threshold: int = ROUTING_THRESHOLD) -> DataFrame:
@@ -140,6 +145,14 @@ def ready_for_training(events: DataFrame, key: str, threshold: int = ROUTING_THR
             .filter(F.col("interactions") >= threshold))
 
 
+def topn_per_user(scores: DataFrame, score: str, n: int) -> DataFrame:
+    """The best ``n`` products of each user with their rank; scores equal up
+    to summation noise rank by product. Spark limits each group before the
+    shuffle."""
+    w = Window.partitionBy("user_id").orderBy(F.desc(F.round(score, 10)), "product_id")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 # ------------------------------------------------------------ vectors
 def l2_normalise(v: Column) -> Column:
     vd = F.transform(v, lambda x: x.cast("double"))
@@ -164,222 +177,101 @@ def product_vectors(products: DataFrame) -> DataFrame:
     return products.select("product_id", l2_normalise(F.col("vector")).alias("vector"))
 
 
-def _hyperplanes(dim: int, bits: int, seed: int) -> list[list[float]]:
-    rng = np.random.default_rng(seed)
-    return rng.standard_normal((bits, dim)).tolist()
+def _mix(*keys: int, seed: int) -> int:
+    """``mix_hash`` of given numbers, on the driver."""
+    h = seed % _M
+    for k in keys:
+        h = (h * 48271 % _M + k % _M) * 48271 % _M * 16807 % _M
+    return h
 
 
-def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
-                   bits: int = 6, seed: int = 42, dim: int | None = None, block: int = 2048,
-                   stage: bool = True) -> DataFrame:
-    """Exact best ``n`` unseen products per user by cosine score.
-
-    1. products -> bucket by the signs of ``bits`` seeded random projections
-       (2^bits buckets at most); per bucket: centroid, radius, size.
-    2. users x bucket summaries (a broadcast of at most 2^bits rows):
-       bounds u.c - r <= u.p <= u.c + r for every product p of the bucket.
-    3. per user, buckets by lower bound: the lower bound of the bucket at
-       which n unseen products are reached is a score that n products beat;
-       only buckets whose upper bound reaches it can hold a top-n product.
-    4. exact scores for those (user, bucket) candidates. The candidate join
-       is grid-split: a bucket's candidate users and its products are cut
-       into chunks of at most ``block`` rows and joined on (bucket, user
-       chunk, product chunk), so no task scores more than block x block
-       pairs however large a bucket or its user list is.
-    5. seen products removed, per-user top-n (ties by product id) with a
-       group limit before the shuffle.
-
-    With ``stage`` the reused intermediates (bucketed products, users,
-    bucket summaries, candidates) are written once to the shared checkpoint
-    folder, so each is computed once and every later step scans files.
-    """
-    from shoplens.session import materialize
+def hyperplanes(dim: int, planes: int, seed: int = 42) -> np.ndarray:
+    """Integer hyperplanes from ``mix_hash`` (any engine computes the same)."""
+    return np.array([[_mix(b, j, seed=seed) % 2001 - 1000 for j in range(dim)] for b in range(planes)],
+                    dtype="float64").reshape(planes, dim)
 
-    def keep(df, name):
-        return materialize(df, name) if stage else df
-
-    if dim is None:
-        first = products.select(F.size("vector")).first()
-        dim = first[0] if first is not None else 0
-    planes = np.asarray(_hyperplanes(max(dim, 1), bits, seed), dtype="float64")
-    # normalise + sign code per Arrow batch (map-only, no shuffle)
-    p = keep(products.select("product_id", F.col("vector").cast("array<double>").alias("vector"))
-             .mapInPandas(_bucketize(planes), "product_id long, pv array<double>, bucket int"),
-             "topn-products")
-    # centroid = mean of member vectors, radius = max distance to it
-    cent = p.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.array(*[F.avg(F.col("pv")[i]) for i in range(dim)]).alias("c"))
-    rad = p.join(F.broadcast(cent.select("bucket", "c")), "bucket").groupBy("bucket").agg(
-        F.max(F.sqrt(F.aggregate(F.zip_with("pv", "c", lambda x, y: (x - y) * (x - y)),
-                                 F.lit(0.0), lambda s, x: s + x))).alias("r"))
-    summ = cent.join(rad, "bucket")
-    # at most 2^bits rows: a size bound fixed by ``bits``, not by the data
-    rows = summ.orderBy("bucket").collect()
-    u = users.select("user_id", l2_normalise(F.col("vector")).alias("uv"))
-    src = users.select("user_id", F.col("vector").cast("array<double>").alias("vector"))
-    if seen is not None:
-        # seen products per (user, bucket), then one row per user carrying at
-        # most 2^bits (bucket, count) entries
-        sb = (seen.select("user_id", "product_id").join(p.select("product_id", "bucket"), "product_id")
-              .groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("_seen"))
-              .groupBy("user_id").agg(F.collect_list(F.struct("bucket", "_seen")).alias("_s")))
-        src = src.join(sb, "user_id", "left").select(
-            "user_id", "vector", F.transform("_s", lambda x: x["bucket"]).alias("sb"),
-            F.transform("_s", lambda x: x["_seen"]).alias("sn"))
-    else:
-        src = src.select("user_id", "vector", F.lit(None).cast("array<int>").alias("sb"),
-                         F.lit(None).cast("array<bigint>").alias("sn"))
-    # bounds, running unseen counts and the cut per user in one map step: the
-    # users x buckets bound table is never shuffled, sorted or written
-    cand = keep(src.mapInPandas(
-        _candidates(np.array([r["bucket"] for r in rows], dtype="int32"),
-                    np.array([r["size"] for r in rows], dtype="int64"),
-                    np.array([r["c"] for r in rows], dtype="float64").reshape(len(rows), max(dim, 1)),
-                    np.array([r["r"] for r in rows], dtype="float64"), n),
-        "user_id long, bucket int"), "topn-candidates")
-    # grid split of every candidate bucket: chunk counts from bucket sizes
-    grid = F.broadcast(
-        cand.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nu"))
-            .join(summ.select("bucket", "size"), "bucket")
-            .select("bucket",
-                    F.greatest(F.ceil(F.col("_nu") / F.lit(block)), F.lit(1)).cast("int").alias("_tu"),
-                    F.greatest(F.ceil(F.col("size") / F.lit(block)), F.lit(1)).cast("int").alias("_tp")))
-    keys = ["bucket", "uchunk", "pchunk"]
-    cu = (cand.join(grid, "bucket").join(u, "user_id")
-          .withColumn("uchunk", F.pmod(mix_hash("user_id", seed=seed), F.col("_tu")))
-          .withColumn("pchunk", F.explode(F.sequence(F.lit(0), F.col("_tp") - 1)))
-          .select(*keys, "user_id", F.col("uv").alias("vec"), F.lit(None).cast("bigint").alias("seen_id")))
-    cp = (p.join(grid, "bucket")
-          .withColumn("pchunk", F.pmod(mix_hash("product_id", seed=seed), F.col("_tp")))
-          .withColumn("uchunk", F.explode(F.sequence(F.lit(0), F.col("_tu") - 1)))
-          .select(*[F.col(k).alias("p_" + k) for k in keys], "product_id", F.col("pv").alias("vec")))
-    if seen is not None:
-        # seen pairs go to the block where that user meets that product
-        sp = (seen.select("user_id", "product_id")
-              .join(p.select("product_id", "bucket"), "product_id").join(grid, "bucket")
-              .select("bucket", "user_id", "product_id",
-                      F.pmod(mix_hash("user_id", seed=seed), F.col("_tu")).alias("uchunk"),
-                      F.pmod(mix_hash("product_id", seed=seed), F.col("_tp")).alias("pchunk")))
-        cu = cu.unionByName(sp.select(*keys, "user_id", F.lit(None).cast("array<double>").alias("vec"),
-                                      F.col("product_id").alias("seen_id")))
-    # the product side carries its own key names: both sides derive from p
-    cands = (cu.groupBy(*keys).cogroup(cp.groupBy(*["p_" + k for k in keys]))
-             .applyInPandas(_block_top(n), "user_id long, product_id long, score double"))
-    rw = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 10)), "product_id")
-    return cands.withColumn("rank", F.row_number().over(rw)).filter(F.col("rank") <= n)
-
-
-def _bucketize(planes: np.ndarray):
-    """mapInPandas body: L2-normalise product vectors and code each by the
-    signs of its projections on the (bits x dim) hyperplanes."""
+
+def sign_codes(vectors: DataFrame, key: str, bits: int, tables: int, seed: int = 42) -> DataFrame:
+    """(key, vector, codes): per table the signs of ``bits`` projections as a
+    number. Vectors of length zero have no direction and are left out."""
     import pandas as pd
-    weights = (1 << np.arange(planes.shape[0])).astype("int64")
 
     def run(batches):
+        planes, weights = None, 1 << np.arange(bits)
         for b in batches:
             if b.empty:
-                yield pd.DataFrame({"product_id": pd.Series([], dtype="int64"), "pv": [],
-                                    "bucket": pd.Series([], dtype="int32")})
                 continue
             m = np.stack(b["vector"].to_numpy()).astype("float64")
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-            code = ((m @ planes.T) >= 0).astype("int64") @ weights
-            yield pd.DataFrame({"product_id": b["product_id"].to_numpy(dtype="int64"),
-                                "pv": list(m), "bucket": code.astype("int32")})
-
-    return run
+            if planes is None:
+                planes = hyperplanes(m.shape[1], bits * tables, seed)
+            keep = (m * m).sum(axis=1) > 0
+            signs = ((m[keep] @ planes.T) >= 0).reshape(-1, tables, bits)
+            yield pd.DataFrame({key: b[key].to_numpy(dtype="int64")[keep], "vector": list(m[keep]),
+                                "codes": list((signs @ weights).astype("int32"))})
+
+    return vectors.select(key, F.col("vector").cast("array<double>").alias("vector")).where(
+        F.col("vector").isNotNull()).mapInPandas(run, f"{key} long, vector array<double>, codes array<int>")
+
+
+def candidate_pairs(users: DataFrame, products: DataFrame, bits: int = 6, tables: int = 8,
+                    seed: int = 42) -> DataFrame:
+    """(user_id, product_id) that agree in all ``bits`` signs of at least one
+    of ``tables`` hyperplane tables: approximate candidate generation, a share
+    of about 1 - (1 - 2^-bits)^tables of unrelated pairs. ``bits`` is chosen
+    with the number of products (about log2 of it less the bucket size
+    wanted). The join on (table, code) is split by AQE where a bucket is hot.
+    """
+    def spread(df, key):
+        return sign_codes(df, key, bits, tables, seed).select(key, F.posexplode("codes").alias("_t", "_c"))
 
+    return (spread(users, "user_id").join(spread(products, "product_id"), ["_t", "_c"])
+            .select("user_id", "product_id").distinct())
 
-def _candidates(buckets: np.ndarray, sizes: np.ndarray, cent: np.ndarray, rad: np.ndarray, n: int,
-                eps: float = 1e-9):
-    """mapInPandas body: per user, the buckets that can hold a top-n product.
 
-    Score bounds u.c - r <= u.p <= u.c + r per bucket; buckets in order of
-    lower bound (desc, bucket id breaks ties) with their unseen counts; tau
-    is the lower bound of the bucket at which the running count reaches n --
-    n unseen products score at least tau -- and only buckets whose upper
-    bound reaches tau are kept (all of them when n is never reached)."""
-    import pandas as pd
-    k = len(buckets)
-
-    def run(batches):
-        for b in batches:
-            if b.empty or k == 0:
-                yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"),
-                                    "bucket": pd.Series([], dtype="int32")})
-                continue
-            m = np.stack(b["vector"].to_numpy()).astype("float64")
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-            uc = m @ cent.T
-            lb, ub = uc - rad - eps, uc + rad + eps
-            avail = np.tile(sizes, (len(b), 1))
-            sb = [x for x in b["sb"].to_numpy()]
-            lens = np.array([0 if x is None else len(x) for x in sb], dtype="int64")
-            if lens.sum() > 0:
-                rows = np.repeat(np.arange(len(b)), lens)
-                cols = np.searchsorted(buckets, np.concatenate([x for x in sb if x is not None and len(x)]))
-                seen = np.concatenate([x for x in b["sn"].to_numpy() if x is not None and len(x)])
-                np.subtract.at(avail, (rows, cols), seen.astype("int64"))
-            order = np.lexsort((np.tile(buckets, (len(b), 1)), -lb), axis=1)
-            cum = np.cumsum(np.take_along_axis(avail, order, axis=1), axis=1)
-            reach = cum >= n
-            first = reach.argmax(axis=1)
-            tau = np.where(reach.any(axis=1),
-                           np.take_along_axis(lb, order, axis=1)[np.arange(len(b)), first], -np.inf)
-            ii, jj = np.nonzero(ub >= tau[:, None])
-            yield pd.DataFrame({"user_id": b["user_id"].to_numpy(dtype="int64")[ii],
-                                "bucket": buckets[jj]})
-
-    return run
-
-
-def _block_top(n: int, tol: float = 1e-9):
-    """Score one (bucket, user chunk, product chunk) block as a matrix
-    product and keep, per user, every unseen product scoring within ``tol``
-    of the user's n-th best in the block (a superset of the block's top-n
-    under any tie-break); the exact ranking happens in Spark."""
-    import pandas as pd
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"user_id": pd.Series([], dtype="int64"),
-                              "product_id": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64")})
-        users = left[left["seen_id"].isna()]
-        if users.empty or right.empty:
-            return empty
-        uid = users["user_id"].to_numpy(dtype="int64")
-        pid = right["product_id"].to_numpy(dtype="int64")
-        # a zero vector normalises to nulls -> NaN scores, dropped below
-        sc = (np.asarray(np.stack(users["vec"].to_numpy()), dtype="float64")
-              @ np.asarray(np.stack(right["vec"].to_numpy()), dtype="float64").T)
-        seen_rows = left[left["seen_id"].notna()]
-        if not seen_rows.empty:
-            ui = pd.Index(uid).get_indexer(seen_rows["user_id"].to_numpy(dtype="int64"))
-            pj = pd.Index(pid).get_indexer(seen_rows["seen_id"].to_numpy(dtype="int64"))
-            ok = (ui >= 0) & (pj >= 0)
-            sc[ui[ok], pj[ok]] = -np.inf
-        k = min(n, sc.shape[1])
-        kth = -np.partition(-sc, k - 1, axis=1)[:, k - 1]
-        keep = (sc >= (kth - tol)[:, None]) & np.isfinite(sc)
-        ii, jj = np.nonzero(keep)
-        return pd.DataFrame({"user_id": uid[ii], "product_id": pid[jj], "score": sc[ii, jj]})
-
-    return run
+def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
+                   bits: int = 6, tables: int = 8, seed: int = 42) -> DataFrame:
+    """Best ``n`` unseen products per user by cosine score, among the
+    candidates of ``candidate_pairs`` (approximate: what shares no bucket with
+    the user is not scored); the ranking within them is exact. Users and
+    products (id, vector) of length zero take no part; a user with fewer
+    candidates than ``n`` has a shorter list."""
+    pairs = candidate_pairs(users, products, bits, tables, seed)
+    if seen is not None:
+        pairs = pairs.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+    return topn_per_user(tower_score(pairs, users, products), "score", n)
 
 
 # ------------------------------------------------------------ Spark ML
 def als_model(interactions: DataFrame, rank: int = 8, max_iter: int = 5, reg: float = 0.1, seed: int = 42):
-    """Collaborative filtering on (user_id, product_id, interaction_score)."""
+    """Collaborative filtering on (user_id, product_id, interaction_score):
+    (model, user index, product index). The model runs on dense indices, so
+    ids may be of any size."""
     from pyspark.ml.recommendation import ALS
 
     from shoplens.session import materialize
-    als = ALS(userCol="user_id", itemCol="product_id", ratingCol="interaction_score", rank=rank,
-              maxIter=max_iter, regParam=reg, seed=seed, coldStartStrategy="drop", nonnegative=True)
-    return als.fit(materialize(interactions.select(
-        F.col("user_id").cast("int"), F.col("product_id").cast("int"), F.col("interaction_score").cast("float"))))
+    ui = materialize(factorize_ids(interactions.select("user_id"), "user_id", ["user_id"]), "als-users")
+    pi = materialize(factorize_ids(interactions.select("product_id"), "product_id", ["product_id"]), "als-products")
+    data = materialize(interactions.join(ui, "user_id").join(pi, "product_id").select(
+        F.col("user_id_index").cast("int").alias("user"), F.col("product_id_index").cast("int").alias("item"),
+        F.col("interaction_score").cast("float").alias("rating")), "als-ratings")
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, seed=seed, coldStartStrategy="drop", nonnegative=True)
+    return als.fit(data), ui, pi
+
+
+def als_predict(model, ui: DataFrame, pi: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (user_id, product_id, ...) with ``prediction``; pairs with a
+    user or product that the model has not learned are left out."""
+    p = pairs.join(ui, "user_id").join(pi, "product_id").withColumns({
+        "user": F.col("user_id_index").cast("int"), "item": F.col("product_id_index").cast("int")})
+    return model.transform(p).drop("user", "item", "user_id_index", "product_id_index")
+
+
+def als_vectors(model, ui: DataFrame, pi: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The learned factors as (user_id, vector) and (product_id, vector)."""
+    def of(factors, index, key):
+        return (factors.join(index, factors["id"] == index[f"{key}_index"])
+                .select(key, F.col("features").cast("array<double>").alias("vector")))
+    return of(model.userFactors, ui, "user_id"), of(model.itemFactors, pi, "product_id")
 
 
 def feature_columns(train: DataFrame) -> list[str]:
@@ -387,6 +279,15 @@ def feature_columns(train: DataFrame) -> list[str]:
     return [c for c, t in train.dtypes if c not in skip and t in ("bigint", "int", "double", "float")]
 
 
+def feature_vectors(train: DataFrame) -> DataFrame:
+    """The train table with its feature columns assembled in ``features``;
+    missing values are 0."""
+    from pyspark.ml.feature import VectorAssembler
+    cols = feature_columns(train)
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    return va.transform(train.na.fill(0.0, subset=cols).na.fill(0, subset=cols))
+
+
 def content_regressor(train: DataFrame, kind: str = "linear", **params):
     """Pipeline(VectorAssembler, StandardScaler, regressor) predicting the
     interaction score from the user and product features."""
@@ -405,45 +306,58 @@ def content_regressor(train: DataFrame, kind: str = "linear", **params):
     return Pipeline(stages=[va, sc, reg]).fit(data)
 
 
-def tune_random_search(train: DataFrame, draws: int = 4, seed: int = 42):
-    """Distinct random draws from a parameter grid, each fitted and scored
-    on a seeded validation split; returns (best model, [(params, rmse)])."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    cols = feature_columns(train)
-    lr = LinearRegression(featuresCol="features", labelCol="interaction_score")
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="keep"),
-                            StandardScaler(inputCol="raw", outputCol="features"), lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1, 1.0]) \
-                             .addGrid(lr.elasticNetParam, [0.0, 0.5, 1.0]).build()
-    rng = np.random.default_rng(seed)
-    pick = sorted(rng.choice(len(grid), size=min(draws, len(grid)), replace=False).tolist())
-    sample = [grid[i] for i in pick]
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=sample, trainRatio=0.8, seed=seed,
-                               evaluator=RegressionEvaluator(labelCol="interaction_score", metricName="rmse"))
+# The grid of the random search.
+TUNE_GRID = {"recency_days": [7, 15, 30], "weight_decay": [0.3, 0.5, 0.8], "reg_param": [0.0, 0.01, 0.1, 1.0],
+             "elastic_net": [0.0, 0.5, 1.0]}
+
+
+def tune_random_search(events: DataFrame, user: DataFrame, product: DataFrame, draws: int = 4,
+                       seed: int = 42) -> list[dict]:
+    """Distinct random draws from ``TUNE_GRID``; for each, the interaction
+    scores are rebuilt with the drawn recency, a regressor is fitted on the
+    train split and scored on the dev split. One dict per draw: parameters,
+    rmse, and the rmse over that of predicting the mean (scores of different
+    recency have different scales); least of these first."""
+    from itertools import product as cross
+
+    from shoplens.operators.analytics import regression_metrics
+    from shoplens.operators.features import interaction_table
     from shoplens.session import materialize
-    model = tvs.fit(materialize(train.na.fill(0.0, subset=cols)))
-    scores = [({p.name: v for p, v in pm.items()}, m) for pm, m in zip(sample, model.validationMetrics)]
-    return model, scores
-
-
-def model_versions(base: str) -> tuple[int, int]:
-    """(latest, next) numbered model directory ``v<N>`` under ``base``
-    (a shared file system path)."""
-    try:
-        names = os.listdir(base)
-    except FileNotFoundError:
-        names = []
-    nums = sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-    latest = nums[-1] if nums else 0
+    grid = list(cross(*TUNE_GRID.values()))
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in sorted(rng.choice(len(grid), size=min(draws, len(grid)), replace=False).tolist()):
+        own = dict(zip(TUNE_GRID, grid[i]))
+        scores = interaction_table(events, own["recency_days"], own["weight_decay"])
+        data = materialize(split_random(train_table(scores, user, product), ["user_id", "product_id"]), "tune")
+        model = content_regressor(data.filter("split = 'train'").drop("split"), regParam=own["reg_param"],
+                                  elasticNetParam=own["elastic_net"])
+        dev = predict(model, data.filter("split = 'dev'"))
+        mean = data.filter("split = 'train'").agg(F.avg("interaction_score")).first()[0]
+        own["rmse"] = regression_metrics(dev, "interaction_score", "prediction").first()["rmse"]
+        base = regression_metrics(dev.withColumn("_m", F.lit(mean)), "interaction_score", "_m").first()["rmse"]
+        own["share_of_mean_rmse"] = own["rmse"] / base if base else None
+        out.append(own)
+    return sorted(out, key=lambda x: (x["share_of_mean_rmse"] is None, x["share_of_mean_rmse"]))
+
+
+def predict(model, rows: DataFrame) -> DataFrame:
+    cols = feature_columns(rows)
+    return model.transform(rows.na.fill(0.0, subset=cols).na.fill(0, subset=cols))
+
+
+def model_versions(spark, base: str) -> tuple[int, int]:
+    """(latest, next) numbered model folder ``v<N>`` under ``base``, on
+    whatever file system the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    latest = max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
     return latest, latest + 1
 
 
-def save_versioned(model, base: str) -> str:
-    _, nxt = model_versions(base)
-    path = os.path.join(base, f"v{nxt}")
-    model.write().overwrite().save(path)
+def save_versioned(spark, model, base: str) -> str:
+    """Save under the next number; an existing version is never replaced."""
+    path = f"{base.rstrip('/')}/v{model_versions(spark, base)[1]}"
+    model.write().save(path)
     return path

@@ -2,21 +2,20 @@
 
 The index is an inverted table (product_id, term, weight) -- not a matrix --
 and search takes a *table* of queries, so many queries share one join
-against the index. Spelling correction and fuzzy matching find candidates
-with an exact deletion-neighbourhood equi-join (two words within k edits
-share a string reachable by at most k deletions from each), never by pairing
-every query word with every vocabulary word.
+against the index. Spelling correction finds candidates with an exact
+deletion-neighbourhood equi-join (two words within k edits share a string
+reachable by at most k deletions from each), fuzzy matching with an exact
+equi-join on unchanged segments; neither pairs every query word with every
+vocabulary word.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.operators.features import with_scalars
-from shoplens.functions.text import index_terms, query_words, text_clean, tokens
+from shoplens.functions.text import query_words, text_clean, tokens
 
 # The search page defaults.
 DEFAULT_TOP = 50
@@ -25,8 +24,16 @@ LOW_CONFIDENCE_SHARE = 0.2
 MAX_EDITS = 2
 FUZZY_THRESHOLD = 80
 
-# Rows under which a side that a count has measured is broadcast.
-BROADCAST_ROWS = 1_000_000
+# The thesaurus of the query expansion (lemma: forms, synonyms).
+SYNONYMS = {
+    "laptop": (["laptops"], ["notebook", "computer"]),
+    "kid": (["kids"], ["child", "youngster"]),
+    "phone": (["phones"], ["telephone"]),
+    "ring": (["rings"], ["band"]),
+    "bolt": (["bolts"], ["pin"]),
+    "widget": (["widgets"], ["gadget"]),
+    "gear": (["gears"], ["cog"]),
+}
 
 # A query token: a maximal run of 2+ word characters (any script).
 _QUERY_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -81,29 +88,6 @@ def index_from_words(words: DataFrame, n_docs: DataFrame, key: str = "product_id
     return index, idf
 
 
-def tfidf_index(docs: DataFrame, key: str = "product_id", text: str = "description",
-                idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(index, idf): index rows (key, term, tf, weight) with L2-normalised
-    tf * idf weights; idf = ln((1 + n) / (1 + df)) + 1 per term.
-
-    Shuffles: (key, term) counts, term document frequencies, per-document
-    norms -- all hash aggregates with map-side combine. The idf table is one
-    row per term; AQE broadcasts it when it is measured small and splits
-    skewed term partitions otherwise.
-    """
-    n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    tf = (docs.select(key, F.explode(index_terms(text)).alias("term"))
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    if idf is None:
-        df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = with_scalars(df_, n).select(
-            "term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    w = tf.join(idf.select("term", "idf"), "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    index = w.join(norm, key).select(key, "term", "tf", (F.col("w") / F.col("_norm")).alias("weight"))
-    return index, idf
-
-
 # ------------------------------------------------------------ spelling
 def _delete_one(s: Column) -> Column:
     """All strings made by deleting one character of s."""
@@ -191,14 +175,12 @@ def correct_words(words: DataFrame, bank: DataFrame, max_edits: int = MAX_EDITS,
     unknown = w.join(bank.select("word"), "word", "left_anti")
     uv = unknown.select("word", F.explode(deletion_variants(F.col("word"), max_edits)).alias("v"))
     if index is None:
-        lens = unknown.select(F.length("word").alias("_l")).distinct()
-        band = bank.join(F.broadcast(lens), F.abs(F.length(bank["word"]) - F.col("_l")) <= max_edits, "left_semi")
+        # only bank words within max_edits of the length of some unknown word
+        # can match: an equi-join on the lengths in reach
+        reach = unknown.select(F.explode(F.sequence(F.length("word") - max_edits, F.length("word") + max_edits))
+                               .alias("_l")).distinct()
+        band = bank.withColumn("_l", F.length("word")).join(reach, "_l", "left_semi").select("word", "freq")
         index = deletion_index(band, max_edits)
-    # the unknown words' variants are usually few next to the index: counted,
-    # and broadcast only under the bound so the index side is probed in place
-    # (map-only); above it both sides shuffle on v
-    if uv.count() <= BROADCAST_ROWS:
-        uv = F.broadcast(uv)
     pairs = uv.join(index, "v").select("word", "cand", "freq").distinct()
     scored = pairs.withColumn("dist", F.levenshtein("word", "cand", max_edits)) \
                   .filter((F.col("dist") >= 0) & (F.col("dist") <= max_edits))
@@ -292,19 +274,15 @@ def search_policy(corrected: DataFrame, results: DataFrame, top: int = DEFAULT_T
         (F.col("hits") == 0).alias("no_results"))
 
 
-def search(queries: DataFrame, docs: DataFrame, top: int = DEFAULT_TOP,
-           threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """queries (query_id, text) x described products -> ranked hits."""
-    index, idf = tfidf_index(docs)
-    bank = word_bank(docs)
-    corr = correct_spelling(queries, bank)
-    return search_result(rank_queries(corr, idf, index, top), docs, threshold)
-
-
 # ------------------------------------------------------------ expansion, fuzzy
 def load_synonyms(spark: SparkSession, path: str | None = None) -> DataFrame:
-    path = path or os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "synonyms.csv")
-    return (spark.read.option("header", True).schema("token string, lemma string, synonym string").csv(path))
+    """(token, lemma, synonym): a CSV file of them, or the built-in ones."""
+    schema = "token string, lemma string, synonym string"
+    if path:
+        return spark.read.option("header", True).schema(schema).csv(path)
+    rows = [(token, lemma, syn) for lemma, (forms, syns) in SYNONYMS.items()
+            for token in [lemma, *forms] for syn in syns]
+    return spark.createDataFrame(rows, schema)
 
 
 def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -321,36 +299,68 @@ def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return per.select("query_id", F.array_join(F.transform("_p", lambda s: s["p"]), " ").alias("expanded"))
 
 
+def lcs_length(a, b) -> Column:
+    """Length of the longest common subsequence of two strings: the usual
+    table, a row per character of ``a``."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    n = F.length(b)
+
+    def row(prev, ch):
+        return F.aggregate(
+            F.sequence(F.lit(1), n), F.array(F.lit(0)),
+            lambda cur, j: F.concat(cur, F.array(
+                F.when(F.substring(b, j, F.lit(1)) == ch, F.element_at(prev, j) + 1)
+                .otherwise(F.greatest(F.element_at(cur, -1), F.element_at(prev, j + 1))))))
+
+    chars = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)))
+    table = F.aggregate(chars, F.array_repeat(F.lit(0), n + 1), row)
+    return F.when((F.length(a) == 0) | (n == 0), F.lit(0)).otherwise(F.element_at(table, -1))
+
+
 def fuzzy_match(words: DataFrame, terms: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """(word, term, ratio) with ratio = round-half-even(200 * LCS / (len a +
     len b)) >= threshold (the indel-based edit ratio).
 
-    Exact candidate generation: ratio >= t means 400 L >= (2t - 1)(la + lb)
-    for the LCS length L; since lb >= L this gives L >= la (2t - 1) /
-    (401 - 2t), i.e. the LCS is reached from each word by at most
-    c * len deletions, c = (402 - 4t) / (401 - 2t) (0.34 for t = 80). Both
-    sides emit their subsequences within that bound, an equi-join on equal
-    subsequences finds every qualifying pair, and the longest shared
-    subsequence of a qualifying pair is its LCS.
+    Exact candidate generation of polynomial size: the ratio asks for an LCS
+    of at least ``need``, so at most d = la + lb - 2 need characters are
+    inserted or deleted; a term cut into d + 1 segments then has one that
+    stands unchanged in the word, moved by at most the characters that either
+    side may lose. Terms emit their segments for each word length in reach,
+    words their substrings at the places in reach, and an equi-join on
+    (lengths, segment number, segment) finds every qualifying pair. The
+    candidates are verified by edit distance (never above d) and by the LCS.
     """
-    c = (402.0 - 4 * threshold) / (401.0 - 2 * threshold)
-
-    def subseq(df, col, name):
-        with_k = df.select(F.col(col).alias(name), F.floor(F.length(col) * F.lit(c)).cast("int").alias("_k"))
-        return with_k.select(name, F.explode(deletion_variants(F.col(name), F.col("_k"))).alias("v"))
-
-    # a qualifying pair also needs lb >= L >= la * (2t - 1) / (401 - 2t) and
-    # the same the other way round: keep only terms whose length is within
-    # that band of some query word length (a broadcast of distinct lengths)
-    f = (2.0 * threshold - 1) / (401.0 - 2 * threshold)
-    w = words.select("word").distinct()
-    wl = F.broadcast(w.select(F.length("word").alias("_l")).distinct())
-    t = terms.select("term").distinct()
-    t = t.join(wl, (F.length("term") >= F.col("_l") * F.lit(f)) & (F.col("_l") >= F.length("term") * F.lit(f)),
-               "left_semi")
-    a = subseq(w, "word", "word")
-    b = subseq(t, "term", "term")
-    j = a.join(b, "v").groupBy("word", "term").agg(F.max(F.length("v")).alias("lcs"))
-    tot = F.length("word") + F.length("term")
-    r = j.filter(F.lit(400) * F.col("lcs") >= F.lit(2 * threshold - 1) * tot)
+    low = (2.0 * threshold - 1) / (401.0 - 2 * threshold)  # least ratio of the lengths
+
+    def reach(col):
+        return F.sequence(F.ceil(F.length(col) * low).cast("int"), F.floor(F.length(col) / low).cast("int"))
+
+    def need(la, lb):
+        return F.ceil((F.col(la) + F.col(lb)) * (2.0 * threshold - 1) / 400.0).cast("int")
+
+    def cut(df):
+        df = df.withColumn("_need", need("la", "lb")).where(F.col("_need") <= F.least("la", "lb"))
+        d = F.col("la") + F.col("lb") - 2 * F.col("_need")
+        df = df.withColumn("_n", d + 1).withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        start = F.floor(F.col("seg") * F.col("lb") / F.col("_n")).cast("int")
+        end = F.floor((F.col("seg") + 1) * F.col("lb") / F.col("_n")).cast("int")
+        return df.withColumn("_s", start).withColumn("_m", end - start)
+
+    keys = ["la", "lb", "seg", "text"]
+    w = words.select("word").distinct().where(F.length("word") > 0)
+    lengths = w.select(F.length("word").alias("la")).distinct()
+    t = terms.select("term").distinct().where(F.length("term") > 0)
+    t = cut(t.select("term", F.length("term").alias("lb"), F.explode(reach("term")).alias("la")).join(lengths, "la"))
+    t = t.select("term", "la", "lb", "seg", F.substring("term", F.col("_s") + 1, F.col("_m")).alias("text"))
+    a = cut(w.select("word", F.length("word").alias("la"), F.explode(reach("word")).alias("lb")))
+    first = F.greatest(F.lit(0), F.col("_s") - (F.col("lb") - F.col("_need")))
+    last = F.least(F.col("la") - F.col("_m"), F.col("_s") + (F.col("la") - F.col("_need")))
+    a = a.withColumn("_f", first).withColumn("_l", last).where("_l >= _f")
+    a = a.withColumn("_p", F.explode(F.sequence("_f", "_l")))
+    a = a.select("word", "la", "lb", "seg", F.substring("word", F.col("_p") + 1, F.col("_m")).alias("text"))
+    pairs = a.distinct().join(t, keys).select("word", "term", "la", "lb").distinct()
+    bound = F.col("la") + F.col("lb") - 2 * need("la", "lb")
+    pairs = pairs.where(F.levenshtein("word", "term") <= bound).withColumn("lcs", lcs_length("word", "term"))
+    tot = F.col("la") + F.col("lb")
+    r = pairs.filter(F.lit(400) * F.col("lcs") >= F.lit(2 * threshold - 1) * tot)
     return r.select("word", "term", F.bround(F.lit(200.0) * F.col("lcs") / tot).cast("int").alias("ratio"))

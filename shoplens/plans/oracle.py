@@ -203,7 +203,8 @@ cte("pbb", ["clean"], """
 # ---------------------------------------------------------------- catalogue
 cte("catalog_raw", [], """
  select concat('B', lpad(cast(p.p_partkey as varchar), 9, '0')) as product_id,
-  concat(p.p_name, ' ', p.p_brand) as product_name, d.text as about_product,
+  case when p.p_partkey % 20 = 0 then concat('bundle ', p.p_partkey - p.p_partkey % 100)
+   else concat(p.p_name, ' ', p.p_brand, ' ', p.p_partkey) end as product_name, d.text as about_product,
   concat(case when p.p_size % 3 = 0 then 'Computers&Accessories' when p.p_size % 3 = 1 then 'Electronics'
    else 'HomeKitchen' end, '|', replace(p.p_type, ' ', ''), '|', p.p_name) as category,
   concat('₹', cast(p.p_partkey % 9 + 1 as varchar), ',', lpad(cast((p.p_partkey * 37) % 1000 as varchar), 3, '0')) as discounted_price,
@@ -220,7 +221,7 @@ cte("catalog_raw", [], """
    else concat('N', cast(p.p_partkey % 50 as varchar), ',N', cast((p.p_partkey * 3) % 50 as varchar)) end as user_name,
   concat('http://img.example.com/', cast(p.p_partkey as varchar)) as img_link,
   concat('http://shop.example.com/dp/', cast(p.p_partkey as varchar)) as product_link
- from part p join documents d on d.doc_id = p.p_partkey""")
+ from part p left join documents d on d.doc_id = p.p_partkey""")
 
 cte("sentiment", [], """
  select concat('B', lpad(cast(p_partkey as varchar), 9, '0')) as product_id,
@@ -286,7 +287,8 @@ cte("idx", ["tf", "idf"], """
  from (select tf.product_id, tf.term, tf.tf, tf.tf * idf.idf as w from tf join idf on tf.term = idf.term)""")
 cte("qs", [], """
  select * from (values (1, 'the worthless'), (2, 'tha ering'), (3, 'wrthless'), (4, 'zzzz')) as v(query_id, text)
- union all select 1000 + p_partkey, lower(p_name) from part where p_partkey in (select doc_id from documents)""")
+ union all select 1000 + p_partkey, concat_ws(' ', lower(p_name), nullif(regexp_extract(lower(text), '[a-z]{6,}'), ''))
+ from part left join documents on doc_id = p_partkey where p_partkey % 100 = 0""")
 cte("qwords", ["qs"], """
  select query_id, unnest(ws) as word, unnest(range(len(ws))) as pos from
  (select query_id, list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda w: length(w) > 0) as ws from qs)""")
@@ -331,11 +333,34 @@ def mix_hash_sql(*cols: str, seed: int = 42) -> str:
     return h
 
 
+cte("emb_codes", [], f"""
+ with w as (select b, list(v order by j) as w from (select b, j,
+   (({mix_hash_sql('b', 'j', seed=42)}) % 2001 - 1000)::double as v
+   from range(48) r(b), range((select max(len(embedding)) from embeddings)) d(j)) group by b)
+ select vec_id, b // 6 as tab, sum(case when list_inner_product(embedding::double[], w) >= 0 then 1 << (b % 6) else 0 end) as code
+ from embeddings, w where list_inner_product(embedding::double[], embedding::double[]) > 0 group by all""")
+cte("emb_pairs", ["emb_codes"], """
+ select distinct u.vec_id as user_id, p.vec_id as product_id from emb_codes u
+ join emb_codes p on u.tab = p.tab and u.code = p.code where u.vec_id % 10 = 0 and p.vec_id % 10 <> 0""")
 cte("emb_users", [], "select vec_id as user_id, embedding from embeddings where vec_id % 10 = 0")
 cte("emb_products", [], "select vec_id as product_id, embedding from embeddings where vec_id % 10 <> 0")
 cte("emb_seen", ["emb_users", "emb_products"], """
  select u.user_id, p.product_id from emb_products p join emb_users u on u.user_id = p.product_id - p.product_id % 10""")
 
+cte("emb_scored", ["emb_pairs", "emb_users", "emb_products"], """
+ select c.user_id, c.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
+ from emb_pairs c join emb_users u on c.user_id = u.user_id join emb_products p on c.product_id = p.product_id""")
+cte("emb_topn", ["emb_scored", "emb_seen"], """
+ select user_id, product_id, score, rank from (select *, row_number() over (partition by user_id
+   order by round(score, 10) desc, product_id) as rank from emb_scored s
+  where not exists (select 1 from emb_seen e where e.user_id = s.user_id and e.product_id = s.product_id))
+ where rank <= 10""")
+cte("routing", ["clean", "emb_users"], """
+ select u.user_id, coalesce(n.interactions, 0) as interactions,
+  case when coalesce(n.interactions, 0) <= 0 then 0 when n.interactions < 100 then 2 else 8 end as slots
+ from emb_users u left join (select user_id, count(*) as interactions from clean group by user_id) n
+ on u.user_id = n.user_id""")
+
 # ---------------------------------------------------------------- per-file cleaning
 cte("c_canon_day", ["c_split"], """
  select product_id, cast(event_time as date) as d, first(brand order by event_time, brand) as canonical_brand

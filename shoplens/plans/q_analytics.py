@@ -9,6 +9,7 @@ from shoplens.operators import analytics as A
 from shoplens.operators import clean as C
 from shoplens.operators import features as FE
 from shoplens.plans.q_clean import clean
+from shoplens.functions.columns import PRICE_BINS
 from shoplens.plans.registry import register
 from shoplens.sources.fixtures import shop
 from shoplens.sources.tables import load_table
@@ -180,7 +181,7 @@ def q_win_row_number_dedup(spark, sf):
   count(distinct category_id) as categories, count(distinct category_code) as taxonomies,
   count(distinct brand) as brands from c_dedup""")
 def q_count_distinct_entities(spark, sf):
-    return A.count_distinct_entities(C.drop_duplicates(shop(spark, sf)))
+    return A.count_distinct_entities(shop(spark, sf))
 
 
 @register("brand_nunique_per_product", ["c_split"],
@@ -332,8 +333,9 @@ def q_median_price_by_brand(spark, sf):
 
 
 def _range_sql(x):
-    return (f"case when {x} > 0 and {x} <= 10 then '0-10 USD' when {x} > 10 and {x} <= 100 then '10-100 USD'"
-            f" when {x} > 100 and {x} <= 500 then '100-500 USD' when {x} > 500 then 'Above 500 USD' end")
+    bins = (f"when {x} > {lo}" + (f" and {x} <= {hi}" if hi is not None else "") + f" then '{label}'"
+            for lo, hi, label in PRICE_BINS)
+    return f"case {' '.join(bins)} end"
 
 
 @register("price_range_products", ["dist_prod"], f"""
@@ -456,6 +458,13 @@ def q_revenue_by_brand(spark, sf):
     return A.revenue_by_brand(clean(spark, sf))
 
 
+@register("revenue_by_brand_purchases", ["purch"], """
+ select brand, sum(price) as monthly_revenue from purch where brand is not null group by brand""",
+          floats=["monthly_revenue"])
+def q_revenue_by_brand_purchases(spark, sf):
+    return A.revenue_by_brand(clean(spark, sf), purchases_only=True)
+
+
 @register("daily_revenue_top5", ["clean"], """
  with d as (select date, brand, sum(price) as daily_revenue from clean where brand is not null group by all),
  t as (select brand from d group by brand order by sum(daily_revenue) desc, brand limit 5)
@@ -497,7 +506,7 @@ def q_multi_brand_count(spark, sf):
   case when count(*) filter (where event_type = 'cart') > 0 then
    (count(*) filter (where event_type = 'purchase'))::double / (count(*) filter (where event_type = 'cart'))
    else 0.0 end as cart_conversion
- from clean where user_session in (select distinct user_session from clean) group by all""",
+ from clean where user_session is not null group by all""",
           floats=["product_avg_price", "cart_conversion"])
 def q_product_funnel(spark, sf):
     return A.product_funnel(clean(spark, sf))
@@ -516,10 +525,11 @@ def q_smartphone_event_counts(spark, sf):
     return A.level_event_counts(clean(spark, sf), "sub_category", SUB_VALUE)
 
 
-_MAXEC = f"""(select product_id, main_category, event_type, event_count from
-  (select product_id, main_category, event_type, count(event_type) as event_count,
-    rank() over (partition by main_category order by count(event_type) desc) as rk
-   from clean where main_category = '{MAIN_VALUE}' group by product_id, main_category, event_type) where rk = 1)"""
+# the (product, event type) pairs of the category whose count no other exceeds
+_PAIRS = f"""select main_category, product_id, event_type, sum(case when event_type is null then 0 else 1 end)::bigint as event_count
+  from clean where main_category = '{MAIN_VALUE}' group by all"""
+_MAXEC = f"""(select product_id, main_category, event_type, event_count from ({_PAIRS}) a
+  where event_count = (select max(event_count) from ({_PAIRS}) b))"""
 
 
 @register("win_rank_agg", ["clean"], f"select * from {_MAXEC}")
@@ -539,17 +549,15 @@ def q_inner_join_max_events(spark, sf):
 
 
 @register("popularity_score", ["clean"], f"""
- select o.product_id, o.category_id, o.main_category, o.sub_category, o.brand, m.event_count,
-  avg(o.price) as product_avg_price,
-  count(*) filter (where o.event_type = 'view') as product_total_views,
-  count(*) filter (where o.event_type = 'cart') as product_total_carts,
-  count(*) filter (where o.event_type = 'purchase') as product_total_purchases,
-  (0.2::double * count(*) filter (where o.event_type = 'view')
-   + 0.3::double * count(*) filter (where o.event_type not in ('cart', 'purchase'))
-   + 0.5::double * count(*) filter (where o.event_type = 'purchase')) / m.event_count as popularity_score
- from clean o join {_MAXEC} m on o.product_id = m.product_id and o.main_category = m.main_category
- where o.main_category = '{MAIN_VALUE}'
- group by o.product_id, o.category_id, o.main_category, o.sub_category, o.brand, m.event_count""",
+ with top as {_MAXEC},
+ e as (select c.*, top.event_count, c.event_type = 'view' as is_view, c.event_type = 'purchase' as is_purchase,
+   c.event_type not in ('cart', 'purchase') as is_other from clean c join top using (product_id, main_category)),
+ s as (select product_id, category_id, main_category, sub_category, brand, event_count,
+   avg(price) as product_avg_price, count_if(is_view) as product_total_views,
+   count_if(event_type = 'cart') as product_total_carts, count_if(is_purchase) as product_total_purchases,
+   sum(case when is_view then 2 else 0 end + case when is_other then 3 else 0 end
+       + case when is_purchase then 5 else 0 end) / 10.0 as points from e group by all)
+ select * exclude (points), points / event_count as popularity_score from s""",
           floats=["product_avg_price", "popularity_score"])
 def q_popularity_score(spark, sf):
     return A.popularity_score(clean(spark, sf), "main_category", MAIN_VALUE)
@@ -596,7 +604,7 @@ def q_topk_groups(spark, sf):
 
 @register("append_other_row", ["purch"], """
  with s as (select category_id, count(*) as count from purch group by category_id),
- t as (select * from s order by count desc, category_id limit 10)
+ t as (select * from s order by count desc, category_id::varchar limit 10)
  select cast(category_id as varchar) as category, count from t union all
  select 'Others', (select sum(count) from s) - (select sum(count) from t)
  where (select sum(count) from s) - (select sum(count) from t) > 0""")

@@ -22,7 +22,8 @@ def q_drop_duplicates(spark, sf):
 
 
 @register("find_duplicates", ["shop"], """
- select *, count(*) as n_copies from shop group by all having count(*) > 1""", floats=["price"])
+ select * from (select *, count(*) over (partition by event_time, event_type, product_id, category_id,
+   category_code, brand, price, user_id, user_session) as n_copies from shop) where n_copies > 1""", floats=["price"])
 def q_find_duplicates(spark, sf):
     return C.find_duplicates(shop(spark, sf))
 
@@ -53,10 +54,14 @@ def q_join_canonical_brand(spark, sf):
     return C.fill_brand(C.split_category_code(C.drop_neg_price(C.drop_duplicates(shop(spark, sf)))))
 
 
-@register("drop_cart_duplicates", ["c_sess"], "select * from c_sess", floats=["price"])
+@register("drop_cart_duplicates", ["c_brand"], """
+ select * exclude (rn) from (select *, case when event_type = 'cart' then row_number() over (
+   partition by event_type, product_id, user_id, user_session
+   order by event_time, category_id nulls first, main_category nulls first, sub_category nulls first,
+            brand nulls first, price nulls first) else 1 end as rn from c_brand) where rn = 1""", floats=["price"])
 def q_drop_cart_duplicates(spark, sf):
-    df = C.fill_brand(C.split_category_code(C.drop_neg_price(C.drop_duplicates(shop(spark, sf)))))
-    return C.drop_session_duplicates(df)
+    return C.drop_cart_duplicates(
+        C.fill_brand(C.split_category_code(C.drop_neg_price(C.drop_duplicates(shop(spark, sf))))))
 
 
 @register("clean_events", ["clean"], "select * from clean", floats=["price"])

@@ -85,6 +85,25 @@ def q_job_monthly_incremental(spark, sf):
     return spark.read.parquet(out).drop("batch").select(*C.CLEAN_COLUMNS)
 
 
+@register("job_monthly_features", ["clean_day"], """
+ select user_id, product_id, greatest(0::double, least(100::double, sum(
+   (case event_type when 'view' then 0.1 when 'cart' then 0.4 when 'remove_from_cart' then -0.3
+     when 'purchase' then 1.0 else 0.0 end)::double))) as interaction_score
+ from clean_day group by user_id, product_id, date""", floats=["interaction_score"])
+def q_job_monthly_features(spark, sf):
+    """The interaction scores that the incremental job builds for each file
+    (a day here, so all its events have the weight of the last day)."""
+    from shoplens.streaming.incremental import clean_new_files
+    base = files.fresh_path(spark, "incremental")
+    raw_dir = f"{base}/raw"
+    (shop(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
+     .repartition("day").write.partitionBy("day").parquet(raw_dir))
+    schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
+    clean_new_files(spark, raw_dir, schema, f"{base}/clean", f"{base}/checkpoint", files_per_batch=1,
+                    drop_cols=("day",), features_dir=f"{base}/features")
+    return spark.read.parquet(f"{base}/features/interaction").select("user_id", "product_id", "interaction_score")
+
+
 @register("recency_days_coef", ["rel"], """
  select user_id, product_id, event_type, date, date_diff('day', date, (select max(date) from rel)) as recency,
   exp(ln(0.5) * date_diff('day', date, (select max(date) from rel))::double / 15.0) as recency_coef from rel""",
@@ -212,12 +231,15 @@ def q_weighted_rates(spark, sf):
                                F.lit(0.0)).alias("purchase_per_cart"))
 
 
-@register("min_max_normalise", ["product_tbl"], """
- select product_id, cart_per_view, purchase_per_view, remove_per_cart, purchase_per_cart from product_tbl""",
-          floats=["cart_per_view", "purchase_per_view", "remove_per_cart", "purchase_per_cart"])
+@register("min_max_normalise", ["prod_base"], """
+ select product_id, (views - min(views) over ()) / nullif((max(views) over () - min(views) over ())::double, 0) as views,
+  (avg_price - min(avg_price) over ()) / nullif(max(avg_price) over () - min(avg_price) over (), 0) as avg_price
+ from prod_base""", floats=["views", "avg_price"])
 def q_min_max_normalise(spark, sf):
     from shoplens.plans.q_features import enriched
-    return FE.product_table(enriched(spark, sf)).select("product_id", *FE.RATE_COLUMNS)
+    g = enriched(spark, sf).groupBy("product_id").agg(
+        F.count_if(F.col("event_type") == "view").alias("views"), F.avg("price").alias("avg_price"))
+    return FE.min_max_normalise(g, ["views", "avg_price"])
 
 
 @register("weighted_score_clamp", ["interaction"], """
@@ -232,13 +254,27 @@ def q_weighted_score_clamp(spark, sf):
 
 
 @register("cast_user_table", ["user_tbl"], """
- select user_id, views, carts, remove_from_carts, purchases, distinct_view_product, distinct_purchase_product
- from user_tbl""")
+ select * replace (views::int as views, carts::int as carts, remove_from_carts::int as remove_from_carts,
+  purchases::int as purchases, distinct_view_product::int as distinct_view_product,
+  distinct_cart_product::int as distinct_cart_product, distinct_remove_product::int as distinct_remove_product,
+  distinct_purchase_product::int as distinct_purchase_product) from user_tbl""",
+          floats=["avg_view_price", "avg_purchase_price", "avg_view_relative_price", "avg_purchase_relative_price",
+                  "cart_per_view", "purchase_per_view", "remove_per_cart", "purchase_per_cart"])
 def q_cast_user_table(spark, sf):
     from shoplens.plans.q_features import enriched
-    return FE.user_table(enriched(spark, sf)).select(
-        "user_id", "views", "carts", "remove_from_carts", "purchases", "distinct_view_product",
-        "distinct_purchase_product")
+    return FE.cast_user_table(FE.user_table(enriched(spark, sf)))
+
+
+@register("user_table_strict", ["user_base"], """
+ select user_id, first_date, last_date, views, case when views > 0 then carts else 0 end as carts,
+  case when views > 0 then purchases else 0 end as purchases,
+  case when views > 0 then avg_purchase_price else 0 end as avg_purchase_price from user_base""",
+          floats=["avg_purchase_price"])
+def q_user_table_strict(spark, sf):
+    """Users without a view have zeros everywhere."""
+    from shoplens.plans.q_features import enriched
+    return FE.user_table(enriched(spark, sf), strict=True).select(
+        "user_id", "first_date", "last_date", "views", "carts", "purchases", "avg_purchase_price")
 
 
 @register("src_catalog_web", ["docs"], "select * from docs",

@@ -76,15 +76,15 @@ def q_train_table(spark, sf):
     return train_table(spark, sf)
 
 
-@register("left_join_chain", ["user_tbl", "interaction"], """
- select i.user_id, i.product_id, i.interaction_score, u.views, u.purchases
- from interaction i left join user_tbl u on i.user_id = u.user_id""", floats=["interaction_score"])
+@register("left_join_chain", ["user_tbl", "product_tbl", "interaction"], """
+ select i.user_id, i.product_id, i.interaction_score, u.views as views_x, u.purchases, p.views as views_y, p.avg_price
+ from interaction i left join user_tbl u on i.user_id = u.user_id
+ left join product_tbl p on i.product_id = p.product_id""", floats=["interaction_score", "avg_price"])
 def q_left_join_chain(spark, sf):
-    from functools import reduce
-    e = enriched(spark, sf)
-    parts = [FE.interaction_table(e), FE.user_table(e).select("user_id", "views", "purchases")]
-    return reduce(lambda a, b: a.join(b, "user_id", "left"), parts).select(
-        "user_id", "product_id", "interaction_score", "views", "purchases")
+    return FE.left_join_chain(
+        [interactions(spark, sf), users(spark, sf).select("user_id", "views", "purchases"),
+         products_tbl(spark, sf).select("product_id", "views", "avg_price")],
+        ["user_id", "product_id"], [("_x", "_y"), ("_x", "_y")])
 
 
 @register("factorize_ids", ["clean"], """
@@ -139,23 +139,17 @@ def q_tower_score(spark, sf):
     return R.tower_score(emb_seen(spark, sf), emb_users(spark, sf), emb_products(spark, sf))
 
 
-_TOPN = """
- select user_id, product_id, score, rank from (select *, row_number() over (partition by user_id
-   order by round(score, 10) desc, product_id) as rank from
-  (select u.user_id, p.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
-   from emb_users u, emb_products p
-   where not exists (select 1 from emb_seen s where s.user_id = u.user_id and s.product_id = p.product_id)))
- where rank <= 10"""
-
-
-@register("recommend_topn", ["emb_seen", "emb_users", "emb_products"], _TOPN, floats=["score"])
+@register("recommend_topn", ["emb_topn"], "select * from emb_topn", floats=["score"])
 def q_recommend_topn(spark, sf):
     return R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
 
 
-@register("win_topn_per_user", ["emb_seen", "emb_users", "emb_products"], _TOPN, floats=["score"])
+@register("win_topn_per_user", ["interaction"], """
+ select * from (select *, row_number() over (partition by user_id
+   order by round(interaction_score, 10) desc, product_id) as rank from interaction) where rank <= 10""",
+          floats=["interaction_score"])
 def q_win_topn_per_user(spark, sf):
-    return R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10, bits=4)
+    return R.topn_per_user(interactions(spark, sf), "interaction_score", 10)
 
 
 @register("exclude_seen", ["emb_seen", "emb_users", "emb_products"], """
@@ -170,7 +164,7 @@ def q_exclude_seen(spark, sf):
     return u.select("user_id", (F.col("_n") - F.coalesce("_s", F.lit(0))).alias("unseen"))
 
 
-@register("recommend_routing", ["clean"], """
+@register("routing_slots", ["clean"], """
  with u as (select c_custkey as user_id from customer union select user_id from clean),
  n as (select user_id, count(*) as interactions from clean group by user_id)
  select u.user_id, coalesce(n.interactions, 0) as interactions,
@@ -181,7 +175,7 @@ def q_exclude_seen(spark, sf):
   case when coalesce(n.interactions, 0) <= 0 then 0 when coalesce(n.interactions, 0) < 100 then 2 else 8 end
    as recommender_slots
  from u left join n on u.user_id = n.user_id""")
-def q_recommend_routing(spark, sf):
+def q_routing_slots(spark, sf):
     users = load_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     c = clean(spark, sf)
     users = users.unionByName(c.select("user_id"))
@@ -191,6 +185,32 @@ def q_recommend_routing(spark, sf):
         F.col("recommender_slots").cast("int").alias("recommender_slots"))
 
 
+_STEPS = "[" + ", ".join(map(str, R.WALK_STEPS)) + "]"
+
+
+@register("recommend_routing", ["routing", "emb_topn", "emb_seen", "emb_products"], f"""
+ with idx as (select product_id, row_number() over (order by product_id) - 1 as i, count(*) over () as n from emb_products),
+ r as (select t.user_id, t.product_id from emb_topn t join routing o on t.user_id = o.user_id where t.rank <= o.slots),
+ taken as (select user_id, product_id from r union select user_id, product_id from emb_seen),
+ w as (select o.user_id, 10 - (select count(*) from r where r.user_id = o.user_id) as want,
+   (select count(*) from taken where taken.user_id = o.user_id) as taken, (select max(n) from idx) as n from routing o),
+ walk as (select user_id, want, n, unnest(range(least(n, want + taken))) as k,
+   ({mix_hash_sql('user_id', seed=42)}) % n as start,
+   list_filter({_STEPS}, lambda p: n % p <> 0) as steps from w),
+ free as (select walk.user_id, idx.product_id, want, k from walk
+   join idx on idx.i = (start + k * (steps[({mix_hash_sql('user_id', seed=43)}) % len(steps) + 1] % walk.n)) % walk.n
+   where not exists (select 1 from taken where taken.user_id = walk.user_id and taken.product_id = idx.product_id))
+ select user_id, product_id, 'recommender' as source from r
+ union all select user_id, product_id, 'random' as source from (
+  select *, row_number() over (partition by user_id order by k) as rn from free) where rn <= want""")
+def q_recommend_routing(spark, sf):
+    """The routed list of ten products for every user vector."""
+    from shoplens.session import materialize
+    u, p, seen = emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf)
+    best = materialize(R.recommend_topn(u, p, seen, n=10), "topn")
+    return R.route_list(R.recommend_routing(u, clean(spark, sf)), best, p, seen)
+
+
 @register("ready_for_training", ["clean"], """
  select product_id, count(*) as interactions from clean group by product_id having count(*) >= 100""")
 def q_ready_for_training(spark, sf):
@@ -216,66 +236,130 @@ def q_user_pairs_lookup(spark, sf):
     return FE.interaction_table(FE.relative_price(c)).join(buyers, "user_id", "left_semi")
 
 
-@register("cross_score", ["emb_users", "emb_products"], """
- select u.user_id, count(*) as scored, max(list_cosine_similarity(u.embedding::double[], p.embedding::double[])) as best
- from emb_users u, emb_products p group by u.user_id""", floats=["best"])
+@register("cross_score", ["emb_scored"], """
+ select user_id, count(*) as scored, max(score) as best from emb_scored group by user_id""", floats=["best"])
 def q_cross_score(spark, sf):
-    # the all-pairs loop re-expressed: each user's best score and candidate
-    # count from the exact bucket-pruned top-1, no user x product pairs
-    top = R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), None, n=1)
-    n = emb_products(spark, sf).agg(F.count(F.lit(1)).alias("scored"))
-    return FE.with_scalars(top, n).select("user_id", "scored", F.col("score").alias("best"))
+    """Scores of users against products, of the candidate pairs alone."""
+    u, p = emb_users(spark, sf), emb_products(spark, sf)
+    scored = R.tower_score(R.candidate_pairs(u, p), u, p)
+    return scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("scored"), F.max("score").alias("best"))
 
 
 # ------------------------------------------------------------ ML (rows-only checks)
-@register("product_vectors")
+@register("product_vectors", [], """
+ with v as (select vec_id, embedding::double[] as e from embeddings),
+ n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v)
+ select vec_id as product_id, unnest(range(len(e)))::int as place,
+  unnest(list_transform(e, lambda x: case when norm = 0 then null else x / norm end)) as value from n""",
+          floats=["value"])
 def q_product_vectors(spark, sf):
-    return R.product_vectors(emb_products(spark, sf)).select(
-        "product_id", F.size("vector").alias("dim"),
-        F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
-
-
-@register("feature_vectors")
+    """Every vector, one row per component."""
+    e = load_table(spark, sf, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"))
+    return R.product_vectors(e).select("product_id", F.posexplode("vector").alias("place", "value"))
+
+
+# The feature columns of the train table in their order.
+_FEATURES = ["views_user", "carts_user", "remove_from_carts_user", "purchases_user", "avg_view_price",
+             "avg_purchase_price", "avg_view_relative_price", "avg_purchase_relative_price",
+             "distinct_view_product", "distinct_cart_product", "distinct_remove_product",
+             "distinct_purchase_product", "cart_per_view_user", "purchase_per_view_user", "remove_per_cart_user",
+             "purchase_per_cart_user", "category_id", "avg_price", "relative_price", "views_product",
+             "carts_product", "remove_from_carts_product", "purchases_product", "cart_per_view_product",
+             "purchase_per_view_product", "remove_per_cart_product", "purchase_per_cart_product"]
+
+
+def _feature_sql():
+    own = {"views_user": "u.views", "carts_user": "u.carts", "remove_from_carts_user": "u.remove_from_carts",
+           "purchases_user": "u.purchases", "views_product": "p.views", "carts_product": "p.carts",
+           "remove_from_carts_product": "p.remove_from_carts", "purchases_product": "p.purchases"}
+    sides = {c: ("p." if c in ("category_id", "avg_price", "relative_price") else "u.") + c for c in _FEATURES}
+    for side in ("user", "product"):
+        for c in FE.RATE_COLUMNS:
+            sides[f"{c}_{side}"] = f"{side[0]}.{c}"
+    return ", ".join(f"coalesce({(sides | own)[c]}, 0)::double" for c in _FEATURES)
+
+
+@register("feature_vectors", ["interaction", "user_tbl", "product_tbl"], f"""
+ select user_id, product_id, unnest(range({len(_FEATURES)}))::int as place, unnest(f) as value from (
+  select i.user_id, i.product_id, [{_feature_sql()}] as f from interaction i
+  left join user_tbl u on i.user_id = u.user_id left join product_tbl p on i.product_id = p.product_id)""",
+          floats=["value"])
 def q_feature_vectors(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
+    """The assembled vector of every pair, one row per component."""
     from pyspark.ml.functions import vector_to_array
     t = train_table(spark, sf)
-    cols = R.feature_columns(t)
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    v = va.transform(t.na.fill(0.0, subset=cols))
-    return v.select("user_id", "product_id", F.size(vector_to_array("features")).alias("n_features"))
+    v = R.feature_vectors(t)
+    return v.select("user_id", "product_id", F.posexplode(vector_to_array("features")).alias("place", "value"))
+
+
+def _split_train(spark, sf):
+    return _stage(spark, sf, "split_train", lambda: R.split_random(train_table(spark, sf), ["user_id", "product_id"]))
+
+
+def _als(spark, sf):
+    pairs = R.split_random(interactions(spark, sf), ["user_id", "product_id"])
+    return pairs, R.als_model(pairs.filter("split = 'train'"))
 
 
 @register("als_model")
 def q_als_model(spark, sf):
-    m = R.als_model(interactions(spark, sf))
-    recs = m.recommendForAllUsers(10)
-    return recs.select("user_id", F.inline("recommendations")).select(
-        "user_id", "product_id", F.col("rating").cast("double").alias("rating"))
+    """Predictions of the held-out pairs."""
+    pairs, (model, ui, pi) = _als(spark, sf)
+    held = pairs.filter("split <> 'train'")
+    return R.als_predict(model, ui, pi, held).select(
+        "user_id", "product_id", "split", "interaction_score", F.col("prediction").cast("double").alias("prediction"))
+
+
+@register("als_topn")
+def q_als_topn(spark, sf):
+    """Best unseen products by the vectors that the model has learned."""
+    pairs, (model, ui, pi) = _als(spark, sf)
+    u, p = R.als_vectors(model, ui, pi)
+    return R.recommend_topn(u, R.product_vectors(p), interactions(spark, sf), n=10)
 
 
 @register("content_regressor")
 def q_content_regressor(spark, sf):
-    t = R.split_random(train_table(spark, sf), ["user_id", "product_id"])
-    m = R.content_regressor(t.filter(F.col("split") == "train"))
-    cols = R.feature_columns(t)
-    pred = m.transform(t.filter(F.col("split") != "train").na.fill(0.0, subset=cols))
-    return pred.select("user_id", "product_id", "interaction_score", "prediction")
+    t = _split_train(spark, sf)
+    m = R.content_regressor(t.filter("split = 'train'").drop("split"))
+    return R.predict(m, t.filter("split <> 'train'")).select(
+        "user_id", "product_id", "split", "interaction_score", "prediction")
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf):
+    """The regressor and the mean of the train split, judged on dev and test."""
+    from shoplens.operators.analytics import regression_metrics
+    t = _split_train(spark, sf)
+    train = t.filter("split = 'train'").drop("split")
+    pred = R.predict(R.content_regressor(train), t.filter("split <> 'train'"))
+    pred = FE.with_scalars(pred, train.agg(F.avg("interaction_score").alias("mean")))
+    parts = [regression_metrics(pred.filter(F.col("split") == s), "interaction_score", c)
+             .select(F.lit(s).alias("split"), F.lit(name).alias("model"), "mae", "mse", "rmse")
+             for s in ("dev", "test") for name, c in (("regressor", "prediction"), ("mean", "mean"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @register("tune_random_search")
 def q_tune_random_search(spark, sf):
-    _, scores = R.tune_random_search(train_table(spark, sf), draws=4)
-    return spark.createDataFrame([(json.dumps(p, sort_keys=True), float(m)) for p, m in scores],
-                                 "params string, rmse double")
+    rows = R.tune_random_search(enriched(spark, sf), users(spark, sf), products_tbl(spark, sf), draws=4)
+    return spark.createDataFrame([(json.dumps({k: r[k] for k in R.TUNE_GRID}, sort_keys=True), float(r["rmse"]),
+                                   float(r["share_of_mean_rmse"])) for r in rows],
+                                 "params string, rmse double, share_of_mean_rmse double")
 
 
 @register("model_versions")
 def q_model_versions(spark, sf):
-    t = train_table(spark, sf)
+    """Predictions by the latest of two saved versions, loaded again."""
+    from pyspark.ml import PipelineModel
+    t = _split_train(spark, sf)
     base = files.fresh_path(spark, "models")
-    m = R.content_regressor(t)
-    p1 = R.save_versioned(m, base)
-    p2 = R.save_versioned(m, base)
-    latest, nxt = R.model_versions(base)
-    return spark.createDataFrame([(1, p1), (2, p2), (latest, "latest"), (nxt, "next")], "version int, path string")
+    for part in ("train", "dev"):
+        R.save_versioned(spark, R.content_regressor(t.filter(F.col("split") == part).drop("split")), base)
+    latest, _ = R.model_versions(spark, base)
+    m = PipelineModel.load(f"{base}/v{latest}")
+    return R.predict(m, t.filter("split = 'test'")).select(F.lit(latest).alias("version"), "user_id", "product_id",
+                                                           "prediction")

@@ -40,16 +40,13 @@ def index_tables(spark, sf):
     idf = _stage(spark, sf, "idf", lambda: S.index_from_words(words, n_docs)[1])
     index = _stage(spark, sf, "tfidf_index", lambda: S.index_from_words(words, n_docs, idf=idf)[0])
     bank = _stage(spark, sf, "word_bank", lambda: S.bank_from_words(words))
-    # consumed once (by the corrected-queries stage): not materialised
-    dels = S.deletion_index(bank)
-    return index, idf, bank, dels
+    return index, idf, bank
 
 
 def _pipeline(spark, sf):
     d = docs(spark, sf)
-    index, idf, bank, dels = index_tables(spark, sf)
-    corr = _stage(spark, sf, "corrected_queries",
-                  lambda: S.correct_spelling(all_queries(spark, sf), bank, index=dels))
+    index, idf, bank = index_tables(spark, sf)
+    corr = _stage(spark, sf, "corrected_queries", lambda: S.correct_spelling(all_queries(spark, sf), bank))
     return d, index, idf, corr
 
 
@@ -86,12 +83,17 @@ def q_explode_text(spark, sf):
 def q_sink_word_bank(spark, sf):
     path = files.fresh_path(spark, "word-bank")
     files.write_word_bank(S.word_bank(docs(spark, sf)), path)
-    return files.read_word_bank(spark, path)
+    return spark.read.text(path).select(F.col("value").alias("word"))
 
 
 @register("src_word_bank", ["bank"], "select word from bank")
 def q_src_word_bank(spark, sf):
-    return q_sink_word_bank(spark, sf)
+    """A vocabulary file with padding, blank lines and repeated words."""
+    path = files.fresh_path(spark, "word-file")
+    words = S.vocab_union(docs(spark, sf))
+    padded = words.select(F.concat(F.lit(" "), "word", F.lit("  ")).alias("word"))
+    words.unionByName(padded).unionByName(words.select(F.lit("").alias("word"))).write.text(path)
+    return files.read_word_bank(spark, path)
 
 
 @register("tfidf_index", ["idx"], "select * from idx", floats=["weight"])
@@ -162,7 +164,15 @@ def q_search_policy(spark, sf):
     return S.search_policy(corr, res, 50)
 
 
-@register("expand_query")
+def _expand_sql() -> str:
+    lemma = " ".join(f"when '{t}' then '{lem}'" for lem, (forms, _) in S.SYNONYMS.items() for t in [lem, *forms])
+    text = " ".join(f"when '{lem}' then '{' '.join([lem, *sorted(syns)])}'" for lem, (_, syns) in S.SYNONYMS.items())
+    return f"""
+ select query_id, string_agg(case lemma {text} else lemma end, ' ' order by pos) as expanded
+ from (select query_id, pos, case word {lemma} else word end as lemma from qwords) group by query_id"""
+
+
+@register("expand_query", ["qwords"], _expand_sql())
 def q_expand_query(spark, sf):
     return S.expand_query(all_queries(spark, sf), S.load_synonyms(spark))
 

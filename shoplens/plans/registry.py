@@ -2,8 +2,9 @@
 
 ``queries()`` / ``oracle_sql()`` of ``__spark_entry__`` are read from here.
 Every builder takes (spark, sf_dir) and reads the whole given tables (or
-views Spark derives from them); nothing is sampled, capped or filtered by id.
-Floating columns are rounded to 6 places on both sides for comparison.
+views Spark derives from them). For the comparison with the SQL twin alone,
+floating columns of a registered query are snapped to multiples of 2^-20 on
+both sides; the operators themselves return unrounded values.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def register(name: str, uses: list[str] | None = None, sql: str | None = None,
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round every floating column to 6 places (and fold -0.0)."""
+    """Snap every floating column to a multiple of 2^-20 (and fold -0.0)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -55,7 +56,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 def _load_all():
     # importing the query modules fills REGISTRY
-    from shoplens.plans import (q_clean, q_features, q_analytics, q_warehouse,  # noqa: F401
+    from shoplens.plans import (q_clean, q_features, q_analytics,  # noqa: F401
                                 q_catalog, q_search, q_recommend, q_jobs)
 
 

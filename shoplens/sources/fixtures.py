@@ -57,10 +57,12 @@ def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw catalogue rows (M8) from ``part`` joined to ``documents``
-    (doc_id = p_partkey); the whole document text is the product blurb."""
+    (doc_id = p_partkey); the whole document text is the product blurb, null
+    for parts without one. Names carry the part key, but each five parts
+    whose keys end in 00, 20, 40, 60, 80 share one name."""
     p = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = p.join(d, F.col("doc_id") == F.col("p_partkey"), "inner")
+    j = p.join(d, F.col("doc_id") == F.col("p_partkey"), "left")
     k = F.col("p_partkey")
     s = lambda c: c.cast("string")
     lp3 = lambda c: F.lpad(s(c), 3, "0")
@@ -77,7 +79,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.concat(F.lit("N"), s(k % 50), F.lit(",N"), s((k * 3) % 50))))
     return j.select(
         F.concat(F.lit("B"), F.lpad(s(k), 9, "0")).alias("product_id"),
-        F.concat("p_name", F.lit(" "), "p_brand").alias("product_name"),
+        F.when(k % 20 == 0, F.concat(F.lit("bundle "), s(k - k % 100)))
+        .otherwise(F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), s(k))).alias("product_name"),
         F.col("text").alias("about_product"),
         F.concat(cat1, F.lit("|"), F.replace(F.col("p_type"), F.lit(" "), F.lit("")),
                  F.lit("|"), F.col("p_name")).alias("category"),
@@ -115,9 +118,11 @@ def search_queries(spark: SparkSession) -> DataFrame:
 
 
 def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per catalogue product: its lower-cased product name. The
-    query table grows with the catalogue, so search work scales with data."""
-    p = load_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    d = load_table(spark, sf_dir, "documents").select("doc_id")
-    return (p.join(d, F.col("doc_id") == F.col("p_partkey"), "left_semi")
-            .select(F.col("p_partkey").alias("query_id"), F.lower("p_name").alias("text")))
+    """The query set of the search: for every part whose key is divisible by
+    100, its lower-cased name and the first longer word of its blurb."""
+    p = load_table(spark, sf_dir, "part").select("p_partkey", "p_name").where("p_partkey % 100 = 0")
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    word = F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0)
+    return (p.join(d, F.col("doc_id") == F.col("p_partkey"), "left")
+            .select(F.col("p_partkey").alias("query_id"),
+                    F.concat_ws(" ", F.lower("p_name"), F.nullif(word, F.lit(""))).alias("text")))

@@ -3,8 +3,8 @@
 A file-stream over the raw directory with ``trigger(availableNow=True)``
 processes exactly the files not yet recorded in the checkpoint, in
 micro-batches of ``files_per_batch`` files, and stops. Every micro-batch is
-cleaned with the same batch transforms and written to its own
-``batch=<id>`` folder with overwrite, so a batch retried after a failure
+cleaned with the same batch transforms, its features are built, and all are
+written to their own ``batch=<id>`` folders with overwrite, so a batch retried after a failure
 replaces its own output (idempotent sink); the checkpoint lives in the
 shared checkpoint folder.
 """
@@ -15,18 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from shoplens.operators import clean as C
+from shoplens.operators import features as FE
+from shoplens.session import materialize
 
 
 def clean_new_files(spark: SparkSession, raw_dir: str, schema: T.StructType, out_dir: str,
                     checkpoint: str, files_per_batch: int = 1, fmt: str = "parquet",
-                    drop_cols: tuple[str, ...] = ()) -> None:
+                    drop_cols: tuple[str, ...] = (), features_dir: str | None = None) -> None:
+    """``features_dir``: also write the product, user and interaction tables
+    of each micro-batch there."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     stream = reader.format(fmt).load(raw_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         df = batch.drop(*drop_cols) if drop_cols else batch
-        (C.clean_events(df).write.mode("overwrite").partitionBy("date")
-         .parquet(f"{out_dir}/batch={batch_id}"))
+        clean = C.clean_events(df)
+        clean.write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/batch={batch_id}")
+        if features_dir:
+            own = spark.read.parquet(f"{out_dir}/batch={batch_id}").select(*C.CLEAN_COLUMNS)
+            events = materialize(FE.relative_price(own), "batch-events")
+            for name, build in (("product", FE.product_table), ("user", FE.user_table),
+                                ("interaction", FE.interaction_table)):
+                build(events).write.mode("overwrite").parquet(f"{features_dir}/{name}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)

@@ -129,43 +129,69 @@ def test_fuzzy_match_matches_brute_force(spark):
     assert got[("notebok", "notebook")] == 93
 
 
+def _brute_candidates(uv, pv, bits, tables):
+    planes = R.hyperplanes(uv.shape[1], bits * tables)
+    cu = ((uv @ planes.T) >= 0).reshape(len(uv), tables, bits)
+    cp = ((pv @ planes.T) >= 0).reshape(len(pv), tables, bits)
+    return {(i, j) for i in range(len(uv)) for j in range(len(pv))
+            if uv[i].any() and pv[j].any() and (cu[i] == cp[j]).all(axis=1).any()}
+
+
 def test_recommend_topn_matches_brute_force(spark):
+    """Exact within the candidates; fewer than all pairs are scored, and near
+    neighbours are found."""
     rng = np.random.default_rng(1)
-    U, P, D, n = 12, 300, 16, 5
+    U, P, D, n, bits, tables = 12, 400, 16, 5, 4, 8
     uv, pv = rng.standard_normal((U, D)), rng.standard_normal((P, D))
+    for i in range(U):  # ten near neighbours of each user
+        pv[10 * i:10 * i + 10] = uv[i] + 0.4 * rng.standard_normal((10, D))
+    uv[3], pv[7] = 0.0, 0.0  # no direction: neither side takes part
     users = spark.createDataFrame([(i, uv[i].tolist()) for i in range(U)], "user_id long, vector array<double>")
     prods = spark.createDataFrame([(j, pv[j].tolist()) for j in range(P)], "product_id long, vector array<double>")
-    seen_pairs = [(i, j) for i in range(U) for j in range(P) if (i * 31 + j) % 17 == 0]
-    seen = spark.createDataFrame(seen_pairs, "user_id long, product_id long")
-    got = {}
-    for r in R.recommend_topn(users, prods, seen, n=n, bits=4).collect():
-        got.setdefault(r.user_id, []).append((r.rank, r.product_id))
-    un = uv / np.linalg.norm(uv, axis=1, keepdims=True)
-    pn = pv / np.linalg.norm(pv, axis=1, keepdims=True)
-    s = set(seen_pairs)
-    for i in range(U):
-        sc = sorted(((-round(float(un[i] @ pn[j]), 10), j) for j in range(P) if (i, j) not in s))[:n]
-        assert [j for _, j in sorted(got[i])] == [j for _, j in sc]
-
-
-def test_route_list_slots(spark):
-    routing = spark.createDataFrame([(1, 10, 2), (2, 2, 8), (3, 0, 10)],
+    s = {(i, j) for i in range(U) for j in range(P) if (i * 31 + j) % 17 == 0}
+    seen = spark.createDataFrame(sorted(s), "user_id long, product_id long")
+    cand = _brute_candidates(uv, pv, bits, tables)
+    got_pairs = {tuple(r) for r in R.candidate_pairs(users, prods, bits, tables).collect()}
+    assert got_pairs == cand and len(cand) < 0.6 * U * P
+    for left_out in (s, set()):
+        got = {}
+        top = R.recommend_topn(users, prods, seen if left_out else None, n=n, bits=bits, tables=tables)
+        for r in top.collect():
+            got.setdefault(r.user_id, []).append((r.rank, r.product_id))
+        cos = (uv / np.maximum(np.linalg.norm(uv, axis=1, keepdims=True), 1e-300)) @ \
+            (pv / np.maximum(np.linalg.norm(pv, axis=1, keepdims=True), 1e-300)).T
+        found = total = 0
+        for i in range(U):
+            best = sorted((-round(float(cos[i, j]), 10), j) for j in range(P) if (i, j) in cand - left_out)[:n]
+            assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in best]
+            if uv[i].any():
+                every = sorted((-round(float(cos[i, j]), 10), j) for j in range(P) if (i, j) not in left_out)[:n]
+                found += len({j for _, j in every} & {j for _, j in best})
+                total += len(every)
+        assert found / total > 0.9
+    assert 3 not in got
+
+
+def test_route_list_is_full(spark):
+    routing = spark.createDataFrame([(u, 10 - k, k) for u, k in ((1, 0), (2, 2), (3, 8), (4, 10), (5, 2))],
                                     "user_id long, random_slots int, recommender_slots int")
-    prods = spark.createDataFrame([(j,) for j in range(100, 160)], "product_id long")
-    rec = spark.createDataFrame([(u, 100 + k, k + 1) for u in (1, 2, 3) for k in range(12)],
+    prods = spark.createDataFrame([(j,) for j in range(100, 130)], "product_id long")
+    rec = spark.createDataFrame([(u, 100 + k, k + 1) for u in (1, 2, 3) for k in range(12)] + [(5, 100, 1)],
                                 "user_id long, product_id long, rank int")
-    seen = spark.createDataFrame([(1, 150), (2, 151)], "user_id long, product_id long")
-    out = R.route_list(routing, rec, prods, seen).collect()
+    # 30 products, 20 seen, 10 left: each list still has ten
+    seen_pairs = {(u, p) for u in (4, 5) for p in range(110, 130)}
+    seen = spark.createDataFrame(sorted(seen_pairs), "user_id long, product_id long")
     by = {}
-    for r in out:
+    for r in R.route_list(routing, rec, prods, seen).collect():
         by.setdefault(r.user_id, []).append((r.source, r.product_id))
-    assert sum(1 for s, _ in by[1] if s == "recommender") == 2
-    assert sum(1 for s, _ in by[2] if s == "recommender") == 8
-    assert sum(1 for s, _ in by[3] if s == "recommender") == 10
+    picked = {u: sum(1 for s, _ in items if s == "recommender") for u, items in by.items()}
+    assert picked == {1: 0, 2: 2, 3: 8, 4: 0, 5: 1}
     for u, items in by.items():
-        ids = [p for _, p in items]
-        assert len(ids) == len(set(ids))
-    assert (1, 150) not in {(1, p) for _, p in by[1]}
+        assert len(items) == len({p for _, p in items}) == 10
+        assert not {(u, p) for _, p in items} & seen_pairs
+    few = R.route_list(routing.filter("user_id = 4"), rec.limit(0), prods,
+                       spark.createDataFrame([(4, p) for p in range(104, 130)], "user_id long, product_id long"))
+    assert sorted(r.product_id for r in few.collect()) == [100, 101, 102, 103]  # the catalogue is exhausted
 
 
 def test_event_order_matches_struct_order(spark):
@@ -196,36 +222,95 @@ def test_deletion_rows_match_variant_sets(spark):
         assert fast == ref
 
 
-def test_recommend_topn_edges_match_brute_force(spark):
-    rng = np.random.default_rng(3)
-    U, P, D = 6, 40, 8
-    uv, pv = rng.standard_normal((U, D)), rng.standard_normal((P, D))
-    users = spark.createDataFrame([(i, uv[i].tolist()) for i in range(U)], "user_id long, vector array<double>")
-    prods = spark.createDataFrame([(j, pv[j].tolist()) for j in range(P)], "product_id long, vector array<double>")
-    un = uv / np.linalg.norm(uv, axis=1, keepdims=True)
-    pn = pv / np.linalg.norm(pv, axis=1, keepdims=True)
-    # no seen table; n below and above the product count (the cut never reached)
-    for n in (7, 55):
-        got = {}
-        for r in R.recommend_topn(users, prods, None, n=n, bits=3).collect():
-            got.setdefault(r.user_id, []).append((r.rank, r.product_id))
-        for i in range(U):
-            sc = sorted((-round(float(un[i] @ pn[j]), 10), j) for j in range(P))[:n]
-            assert [j for _, j in sorted(got[i])] == [j for _, j in sc]
+def test_fuzzy_match_long_words(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcd") for _ in range(n)) for n in (28, 30, 33, 36) for _ in range(3)]
+    terms = []
+    for w in words:
+        for k in (1, 4, 9):
+            t = list(w)
+            for _ in range(k):
+                if rnd.random() < 0.5:
+                    t.insert(rnd.randrange(len(t)), rnd.choice("abcdxyz"))
+                else:
+                    t.pop(rnd.randrange(len(t)))
+            terms.append("".join(t))
+    got = {(r.word, r.term): r.ratio for r in S.fuzzy_match(
+        spark.createDataFrame([(w,) for w in words], "word string"),
+        spark.createDataFrame([(t,) for t in terms], "term string"), 80).collect()}
+    exp = {(w, t): round(200 * _lcs(w, t) / (len(w) + len(t))) for w, t in itertools.product(words, terms)}
+    assert got == {k: v for k, v in exp.items() if v >= 80}
+
+
+def test_find_duplicates_lists_every_member(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, None), (None, None), (None, None)], "x int, y string")
+    got = sorted(map(str, C.find_duplicates(df).collect()))
+    assert len(got) == 5 and sum("n_copies=3" in r for r in got) == 3
+
+
+def test_left_join_chain_suffixes(spark):
+    a = spark.createDataFrame([(1, 10, 5)], "u int, p int, v int")
+    b = spark.createDataFrame([(1, 7)], "u int, v int")
+    c = spark.createDataFrame([(10, 8, 9)], "p int, v_b int, w int")
+    out = FE.left_join_chain([a, b, c], ["u", "p"], [("", "_b"), ("_x", "_y")])
+    assert out.columns == ["u", "p", "v", "v_b_x", "v_b_y", "w"]
+    assert tuple(out.first()) == (1, 10, 5, 7, 8, 9)
+
+
+def test_exact_quantiles(spark):
+    from shoplens.operators.quantiles import exact_quantiles
+    rnd = random.Random(2)
+    rows = [(g, rnd.choice([None, rnd.randrange(5), rnd.random() * 9])) for g in "abc" for _ in range(rnd.randrange(1, 90))]
+    rows += [("one", 4.0), ("none", None), (None, 1.0)] + [("hot", float(i % 7)) for i in range(500)]
+    rows = [(g, None if x is None else float(x)) for g, x in rows]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    qs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}
+    got = {r.g: [r[c] for c in qs] for r in exact_quantiles(df, "g", "x", qs).collect()}
+    exp = {}
+    for g in {g for g, x in rows if g is not None and x is not None}:
+        exp[g] = [float(np.percentile([x for h, x in rows if h == g and x is not None], 100 * q)) for q in qs.values()]
+    assert got.keys() == exp.keys()
+    assert all(np.allclose(got[g], exp[g]) for g in exp)
 
 
-def test_recommend_topn_zero_vector_user(spark):
-    rng = np.random.default_rng(5)
-    P, D, n = 30, 6, 4
-    pv = rng.standard_normal((P, D))
-    uv = [[0.0] * D, rng.standard_normal(D).tolist()]
-    users = spark.createDataFrame([(i, v) for i, v in enumerate(uv)], "user_id long, vector array<double>")
-    prods = spark.createDataFrame([(j, pv[j].tolist()) for j in range(P)], "product_id long, vector array<double>")
-    got = {}
-    for r in R.recommend_topn(users, prods, None, n=n, bits=3).collect():
-        got.setdefault(r.user_id, []).append((r.rank, r.product_id))
-    u1 = np.array(uv[1]) / np.linalg.norm(uv[1])
-    pn = pv / np.linalg.norm(pv, axis=1, keepdims=True)
-    sc = sorted((-round(float(u1 @ pn[j]), 10), j) for j in range(P))[:n]
-    assert [j for _, j in sorted(got[1])] == [j for _, j in sc]
-    assert 0 not in got  # no defined cosine for a zero vector
+def test_clean_events_de_duplicates_once(spark):
+    """One exchange of whole rows in the cleaning plan; repeats change nothing."""
+    raw = shop(spark, SF001)
+    once = sorted(map(str, C.clean_events(raw).collect()))
+    assert once == sorted(map(str, C.clean_events(raw.unionByName(raw)).collect()))
+    for keep in ("first", "last"):
+        steps = C.split_datetime(C.drop_session_duplicates(C.fill_brand(C.split_category_code(
+            C.drop_neg_price(C.drop_duplicates(raw.select(*C.RAW_COLUMNS))))), keep))
+        assert sorted(map(str, C.clean_events(raw, keep).collect())) == sorted(map(str, steps.collect()))
+
+
+def test_strict_user_table(spark):
+    e = FE.relative_price(C.clean_events(shop(spark, SF001))).filter("user_id % 3 <> 0 or event_type <> 'view'")
+    plain = {r.user_id: r for r in FE.user_interaction(e).collect()}
+    strict = {r.user_id: r for r in FE.user_interaction(e, strict=True).collect()}
+    assert any(r.views == 0 for r in plain.values())
+    for u, r in plain.items():
+        assert strict[u] == r if r.views else all(not v for k, v in strict[u].asDict().items() if k != "user_id")
+
+
+def test_sorting_entries_are_in_order(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    order = {"customer_journey": None, "product_journey": None, "price_history": ("product_id", "event_time", "price"),
+             "order_by_search_rank": ("query_id", "rank")}
+    for name, key in order.items():
+        rows = q[name](spark, SF001).collect()
+        cols = key or {"customer_journey": ("user_session", "date", "time"), "product_journey": ("product_id", "date", "time")}[name]
+        cols = [c for c in cols if c in rows[0].asDict()]
+        got = [tuple((r[c] is not None, r[c]) for c in cols) for r in rows]
+        assert got == sorted(got), name
+
+
+def test_no_cartesian_product_in_plans(spark):
+    import __spark_entry__ as E
+    for name in ("recommend_topn", "recommend_routing", "cross_score", "fuzzy_match", "correct_spelling", "als_model",
+                 "als_topn"):
+        df = E.queries()[name](spark, SF001)
+        df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
