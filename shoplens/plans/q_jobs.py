@@ -100,7 +100,7 @@ def q_job_monthly_features(spark, sf):
      .repartition("day").write.partitionBy("day").parquet(raw_dir))
     schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
     clean_new_files(spark, raw_dir, schema, f"{base}/clean", f"{base}/checkpoint", files_per_batch=1,
-                    drop_cols=("day",), features_dir=f"{base}/features")
+                    drop_cols=("day",), features_dir=f"{base}/features", features=("interaction",))
     return spark.read.parquet(f"{base}/features/interaction").select("user_id", "product_id", "interaction_score")
 
 

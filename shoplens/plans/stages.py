@@ -23,3 +23,8 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     if key not in _MEMO:
         _MEMO[key] = materialize(build(), name)
     return _MEMO[key]
+
+
+def forget() -> None:
+    """Build every stage anew from now on (after its inputs were rewritten)."""
+    _MEMO.clear()

@@ -21,9 +21,10 @@ from shoplens.session import materialize
 
 def clean_new_files(spark: SparkSession, raw_dir: str, schema: T.StructType, out_dir: str,
                     checkpoint: str, files_per_batch: int = 1, fmt: str = "parquet",
-                    drop_cols: tuple[str, ...] = (), features_dir: str | None = None) -> None:
-    """``features_dir``: also write the product, user and interaction tables
-    of each micro-batch there."""
+                    drop_cols: tuple[str, ...] = (), features_dir: str | None = None,
+                    features: tuple[str, ...] = ("product", "user", "interaction")) -> None:
+    """``features_dir``: also write the tables named by ``features`` of each
+    micro-batch there."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     stream = reader.format(fmt).load(raw_dir)
 
@@ -33,10 +34,11 @@ def clean_new_files(spark: SparkSession, raw_dir: str, schema: T.StructType, out
         clean.write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/batch={batch_id}")
         if features_dir:
             own = spark.read.parquet(f"{out_dir}/batch={batch_id}").select(*C.CLEAN_COLUMNS)
-            events = materialize(FE.relative_price(own), "batch-events")
-            for name, build in (("product", FE.product_table), ("user", FE.user_table),
-                                ("interaction", FE.interaction_table)):
-                build(events).write.mode("overwrite").parquet(f"{features_dir}/{name}/batch={batch_id}")
+            builds = {"product": FE.product_table, "user": FE.user_table, "interaction": FE.interaction_table}
+            # the interaction scores need no relative prices
+            events = own if features == ("interaction",) else materialize(FE.relative_price(own), "batch-events")
+            for name in features:
+                builds[name](events).write.mode("overwrite").parquet(f"{features_dir}/{name}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)
