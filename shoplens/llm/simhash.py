@@ -6,13 +6,14 @@ agree in some segment up to max_bits // segments bits, so each fingerprint
 looks up the small Hamming ball around each of its segments in the table of
 exact segment values, and what it fetches is verified on all 64 bits.
 
-A family of near copies fills single table entries with members that are all
-linked to each other. No pairs are written out for them: what one entry holds
-and what looks it up meet in tasks of bounded size (large entries are dealt in
-a grid of blocks, in which every pair still meets once), the verification is a
-walk there that compares what it has reached with what it has not, and it
-gives only links that join parts not joined by its earlier links.
-Connectivity, and so the result, is the same.
+Entries with few members are fetched and verified in one join. A family of
+near copies fills single entries with members that are all linked to each
+other; no pairs are written out for these: what such an entry holds and what
+looks it up meet in tasks of bounded size (dealt in a grid of blocks, in which
+every pair still meets once), the verification is a walk there that compares
+what it has reached with what it has not, and it gives only links that join
+parts not joined by its earlier links. Connectivity, and so the result, is the
+same.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from shoplens.llm.components import components
 
 #: Members of one table entry (or lookups of it) that one task takes at once.
 BLOCK = 2048
+#: Members up to which the lookups of a table entry are verified one by one.
+CROWD = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -140,7 +143,7 @@ def _with_end(batches):
     yield None
 
 
-def links(fps: DataFrame, max_bits: int = 4, segments: int = 3, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 4, segments: int = 3, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(a, b) such that distinct fingerprints of ``fps(fp)`` are connected by
     these pairs exactly as by all pairs within ``max_bits``; each pair given
     is within ``max_bits``."""
@@ -160,15 +163,22 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int = 3, block: int = BLO
     balls = [ball(t, v, w) for t, v, (_, w) in zip(tag, value, cuts)]
     lookups = fps.select("fp", F.explode(F.flatten(F.array(*balls))).alias("entry"))
 
-    rows = (entries.withColumn("probe", F.lit(0).cast("tinyint"))
-            .unionByName(lookups.withColumn("probe", F.lit(1).cast("tinyint"))))
-    # entries that are alone in their cell can link nothing and go before the sort
-    sizes = (rows.groupBy("entry").agg(F.sum(F.expr("int(probe = 0)")).alias("own"),
-                                       F.sum(F.expr("int(probe = 1)")).alias("looks"))
-             .where("own > 0 and looks > 1"))
-    sizes = materialize(sizes.select(
-        "entry", F.ceil(F.col("own") / block).cast("int").alias("own_blocks"),
-        F.ceil(F.col("looks") / block).cast("int").alias("look_blocks")), "simhash-entries")
+    # entries with few members: the lookups that fetch them, verified in the join
+    crowded = materialize(entries.groupBy("entry").agg(F.count("fp").alias("own")).where(F.col("own") > crowd),
+                          "simhash-crowded")
+    a, b = lookups.join(crowded, "entry", "left_anti").alias("a"), entries.alias("b")
+    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
+    found = (a.join(b, (F.col("a.entry") == F.col("b.entry")) & (F.col("a.fp") != F.col("b.fp")) & near)
+             .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
+
+    # crowded entries: members and lookups are dealt in a grid of blocks
+    rows = materialize(
+        entries.withColumn("probe", F.lit(0).cast("tinyint"))
+        .unionByName(lookups.withColumn("probe", F.lit(1).cast("tinyint")))
+        .join(crowded.select("entry"), "entry"), "simhash-crowds")
+    sizes = rows.groupBy("entry").agg(
+        F.ceil(F.count_if(F.col("probe") == 0) / block).cast("int").alias("own_blocks"),
+        F.ceil(F.count_if(F.col("probe") == 1) / block).cast("int").alias("look_blocks"))
     dealt = rows.join(sizes, "entry")
     mine = F.pmod(F.xxhash64("fp"), F.when(F.col("probe") == 0, F.col("own_blocks")).otherwise(F.col("look_blocks")))
     others = F.sequence(F.lit(0), F.when(F.col("probe") == 0, F.col("look_blocks")).otherwise(F.col("own_blocks")) - 1)
@@ -176,8 +186,9 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int = 3, block: int = BLO
     cell = F.when(F.col("probe") == 0, F.col("mine") * F.col("look_blocks") + F.col("other")).otherwise(
         F.col("other") * F.col("look_blocks") + F.col("mine"))
     dealt = dealt.select("entry", cell.cast("long").alias("cell"), "probe", "fp")
-    return (dealt.repartition("entry", "cell").sortWithinPartitions("entry", "cell")
-            .mapInArrow(lambda batches: _linked(batches, max_bits), "a long, b long").distinct())
+    walked = (dealt.repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+              .mapInArrow(lambda batches: _linked(batches, max_bits), "a long, b long"))
+    return found.unionByName(walked)
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3,

@@ -136,7 +136,8 @@ def test_simhash_links_are_complete(spark, segments):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    root = {r.node & (2 ** 64 - 1): r.root for r in components(links(df, 4, segments, block=5)).collect()}
+    crowd = {2: 0, 3: 1, 4: 8}[segments]
+    root = {r.node & (2 ** 64 - 1): r.root for r in components(links(df, 4, segments, block=5, crowd=crowd)).collect()}
     want, got = defaultdict(set), defaultdict(set)
     for f, r in zip(fps, brute_components(fps, 4)):
         want[r].add(f)
