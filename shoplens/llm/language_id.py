@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.llm.common import materialize
+
 #: Places of the hashed n-gram vectors.
 DIM = 1 << 14
 #: Longest n-gram.
 GRAMS = 3
 #: Centroids per language.
 CENTROIDS = 4
-#: Labelled texts per language that the model is fitted on at most, those with
-#: the smallest hashes. The bound of the fit; predictions read every text.
+#: Labelled texts per language that the model is fitted on at most, chosen by
+#: hash. The bound of the fit; predictions read every text.
 SAMPLE = 1000
 #: Largest cosine distance (1 - cosine) to the nearest centroid that is accepted.
 MIN_COSINE = 0.05
@@ -119,14 +121,22 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         sample: int = SAMPLE, centroids: int = CENTROIDS, min_cosine: float = MIN_COSINE) -> Model:
-    """Fit on ``sample`` texts per language at most (smallest hash of id and
-    text first). Rows without a language, or without letters, teach nothing.
-    The vectors and the clustering of a language are made in tasks; the driver
-    gets the document frequencies (DIM) and the centroids.
+    """Fit on ``sample`` texts per language at most, chosen by a hash of id and
+    text. Rows without a language, or without letters, teach nothing. The
+    vectors and the clustering of a language are made in tasks; the driver
+    gets a count per language, the document frequencies (DIM) and the
+    centroids.
     """
     rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"),
                            F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"), "id", "text")
+    # a share of each language that leaves about twice the sample, so that what is ranked is bounded
+    share = {r["lang"]: min(1.0, 2 * sample / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return Model([], np.ones(DIM), np.empty((0, DIM), np.float32), np.empty(0, np.int64), min_cosine)
+    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    rows = rows.withColumn("h", F.xxhash64("id", "text")).where(
+        F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
+    first = Window.partitionBy("lang").orderBy("h", "id", "text")
     rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "text")
 
     def vectors(batches):
@@ -140,7 +150,6 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                 [pa.array(lang, pa.string()), pa.array(place, pa.list_(pa.int64())),
                  pa.array(count, pa.list_(pa.int64()))], names=["lang", "place", "count"])
 
-    from shoplens.llm.common import materialize
     made = materialize(rows.mapInArrow(vectors, "lang string, place array<long>, count array<long>"), "lang-vectors")
     df = np.zeros(DIM)
     for r in made.select(F.explode("place").alias("p")).groupBy("p").count().toArrow().to_pylist():
