@@ -25,7 +25,7 @@ from shoplens.llm.common import keyed
 #: Ids of a full chunk.
 CHUNK = 1 << 16
 #: Segments (and pre-tokens) whose ids a Python worker remembers.
-KNOWN = 400_000
+KNOWN = 600_000
 
 
 # -- encoding ---------------------------------------------------------------
@@ -60,20 +60,26 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def piece(self, p: str) -> bytes:
+        """Ids of a pre-token as little-endian unsigned 32-bit integers."""
+        ids = self.pieces.get(p)
+        if ids is None:
+            shown = p.encode().decode("latin-1").translate(self.printable)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            if len(self.pieces) < KNOWN:
+                self.pieces[p] = ids
+        return ids
+
     def segment(self, text: str) -> bytes:
-        """Ids of a segment as little-endian unsigned 32-bit integers."""
+        """Ids of a segment, likewise."""
         if self.OTHER.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for p in self.findall(text):
-            ids = self.pieces.get(p)
-            if ids is None:
-                shown = p.encode().decode("latin-1").translate(self.printable)
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-                if len(self.pieces) < KNOWN:
-                    self.pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        word = text.removeprefix(" ")
+        if word.isalpha():  # one pre-token, with its space
+            return self.piece(text)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self.piece(text[:-1]) + self.piece(word[-1])
+        return b"".join([self.piece(p) for p in self.findall(text)])
 
     def __call__(self, text: str) -> bytes:
         if not text:
