@@ -2,7 +2,50 @@
 
 _SPACES = r"'[\x20\x09-\x0D]'"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        s AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS seq
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+        m AS (SELECT seq, min(doc_id) AS least FROM s GROUP BY seq),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+            FROM s JOIN m USING (seq) WHERE least < doc_id),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+            FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item_id, n, ws[i:i + n - 1] AS win
+            FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+                  FROM b WHERE len(ws) > 0)),
+        hit AS (
+            SELECT DISTINCT doc_id, i, s.n, item_id
+            FROM (SELECT doc_id, n, ws[i:i + n - 1] AS win, i
+                  FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i
+                        FROM d, (SELECT DISTINCT n FROM bw))) s
+            JOIN bw ON bw.win = s.win),
+        c AS (
+            SELECT doc_id, count(DISTINCT i) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS i FROM hit) GROUP BY doc_id),
+        t AS (
+            SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+               sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op3_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
