@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -76,6 +78,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="shoplens-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)  # this session's own folder
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
