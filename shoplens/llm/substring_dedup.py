@@ -14,7 +14,8 @@ windows and blocks join into maximal repeats.
 
 Nothing is compared pair by pair: each window only needs the smallest document
 that holds it, a minimum with map-side combine, so a passage shared by any
-number of documents costs what it costs to read it there. Texts move once.
+number of documents costs what it costs to read it there. Texts move twice:
+to the occurrences that are extended, and to the spans that are cut out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from shoplens.llm.common import materialize, row_key
 from shoplens.llm.winnow import gram_hashes, least_at, word_hashes
@@ -93,7 +93,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(F.col(f"`{text_col}`")).alias("key"),
                        F.col(f"`{text_col}`").alias("text"))
     id_type = rows.schema["doc_id"].dataType
-    kind, arrow_id = id_type.simpleString(), to_arrow_type(id_type)
+    kind = id_type.simpleString()
 
     def seed(batches):
         for b in batches:
@@ -137,7 +137,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                 [b.column(0).take(i), b.column(1).take(i), pa.array(at, pa.int32()), pa.array(digest, pa.binary())],
                 names=["doc_id", "key", "first", "digest"])
 
-    # the two joins with the texts below share one exchange of them
     texts = rows.repartition("doc_id", "key")
     ends = (texts.join(todo, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
             .mapInArrow(extend, f"doc_id {kind}, key long, first int, digest binary"))
