@@ -28,7 +28,7 @@ MARKER = "▁"
 #: public library.
 UNKNOWN_PENALTY = 10.0
 #: Parts that a worker remembers.
-KNOWN = 300_000
+KNOWN = 600_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -141,7 +141,8 @@ class Unigram:
         """Best segmentation; of equal sums, the one whose last piece is
         longest, and so on to the front."""
         data = marked.encode()
-        n, trie, scores, worst = len(data), self.trie, self.scores, self.worst
+        n, scores, worst = len(data), self.scores, self.worst
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
         best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         at = 0
@@ -149,10 +150,20 @@ class Unigram:
             lead = data[at]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             here, single = best[at], False
-            for p, end in trie.prefixes(data, at):
-                single = single or end == at + width
-                if here + scores[p] > best[end]:
-                    best[end], back[end], piece[end] = here + scores[p], at, p
+            state, end = 0, at
+            while end < n:  # every piece that starts here, as in DoubleArray.prefixes
+                to = base[state] + data[end]
+                if check[to] != state or to == 0:
+                    break
+                state = to
+                end += 1
+                p = value[to]
+                if p >= 0:
+                    if end == at + width:
+                        single = True
+                    total = here + scores[p]
+                    if total > best[end]:
+                        best[end], back[end], piece[end] = total, at, p
             if not single and here + worst > best[at + width]:
                 best[at + width], back[at + width], piece[at + width] = here + worst, at, -1
             at += width
