@@ -1,8 +1,10 @@
 """Recommendation: splits, metrics, Spark ML models, two-tower style
 scoring and top-n per user, routing policy.
 
-Top-n over embeddings scores candidates, not all pairs: users and products
-that agree in all sign bits of at least one of several hyperplane tables.
+Top-n over embeddings is exact: every user is scored against every product in
+blocks of bounded size (``exact_topn``). ``recommend_topn`` scores candidates
+alone, users and products that agree in all sign bits of at least one of
+several hyperplane tables; no registered query uses it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ ROUTING_THRESHOLD = 100
 ROUTING_TIERS = [("new", 1.0, 0.0), ("mixed-80/20", 0.8, 0.2), ("20/80", 0.2, 0.8)]
 TRAIN_SHARE = 0.9
 _M = 2147483647  # 2^31 - 1
+#: Users, or products, of one block on average: a task holds one block of each.
+SCORE_BLOCK = 4096
+#: Users of a block scored at once.
+SCORE_ROWS = 256
 
 
 # ------------------------------------------------------------ hashing / splits
@@ -230,8 +236,8 @@ def candidate_pairs(users: DataFrame, products: DataFrame, bits: int = 6, tables
 
 def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
                    bits: int = 6, tables: int = 8, seed: int = 42) -> DataFrame:
-    """Best ``n`` unseen products per user by cosine score, among the
-    candidates of ``candidate_pairs`` (approximate: what shares no bucket with
+    """Approximate form of ``exact_topn``: best ``n`` unseen products per user
+    by cosine score, among the candidates of ``candidate_pairs`` (approximate: what shares no bucket with
     the user is not scored); the ranking within them is exact. Users and
     products (id, vector) of length zero take no part; a user with fewer
     candidates than ``n`` has a shorter list."""
@@ -241,6 +247,102 @@ def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None
     return topn_per_user(tower_score(pairs, users, products), "score", n)
 
 
+# ------------------------------------------------------------ all products, in blocks
+def _block_scores(users: DataFrame, products: DataFrame, seen: DataFrame | None, each, schema: str,
+                  block: int) -> DataFrame:
+    """``each(user ids, product ids, cosines)`` of every block of users with
+    every block of products, as frames of ``schema``; product ids ascend, and
+    pairs of ``seen`` have the cosine -inf.
+
+    Blocks are hashes of the id, their numbers follow from the counts of both
+    sides. A user goes to as many tasks as there are product blocks and the
+    other way round; a seen pair goes to the one task that scores it.
+    """
+    import pandas as pd
+
+    def numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+        d = df.select(F.col(key).cast("bigint").alias(key), F.col("vector").cast("array<double>").alias("vector")
+                      ).where(F.col(key).isNotNull() & F.col("vector").isNotNull())
+        return d, max(1, -(-d.count() // block))
+
+    u, nu = numbered(users, "user_id")
+    p, np_ = numbered(products, "product_id")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<double>")
+    ub, pb = (F.pmod(F.xxhash64(k), F.lit(n)) for k, n in (("user_id", nu), ("product_id", np_)))
+    rows = u.select(F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("_o"), ub.alias("_b"), "user_id", "vector") \
+            .select((F.col("_b") * np_ + F.col("_o")).alias("cell"), F.lit(0).alias("side"), "user_id",
+                    zero.alias("product_id"), "vector")
+    rows = rows.unionByName(
+        p.select(F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("_o"), pb.alias("_b"), "product_id", "vector")
+        .select((F.col("_o") * np_ + F.col("_b")).alias("cell"), F.lit(1).alias("side"), zero.alias("user_id"),
+                "product_id", "vector"))
+    if seen is not None:
+        s = seen.select(F.col("user_id").cast("bigint").alias("user_id"),
+                        F.col("product_id").cast("bigint").alias("product_id")).dropna().distinct()
+        rows = rows.unionByName(s.select((ub * np_ + pb).alias("cell"), F.lit(2).alias("side"), "user_id",
+                                         "product_id", none.alias("vector")))
+
+    def unit(part, key):
+        """Ids in order and vectors of length one; those of length zero have no direction."""
+        if part.empty:
+            return np.empty(0, "int64"), np.empty((0, 0))
+        part = part.sort_values(key)
+        m = np.stack(part["vector"].to_numpy()).astype("float64")
+        norm = np.sqrt((m * m).sum(axis=1))
+        return part[key].to_numpy("int64")[norm > 0], m[norm > 0] / norm[norm > 0, None]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        uid, uv = unit(pdf[pdf["side"] == 0], "user_id")
+        pid, pv = unit(pdf[pdf["side"] == 1], "product_id")
+        if not len(uid) or not len(pid):
+            return pd.DataFrame(columns=names)
+        gone = (pdf.loc[pdf["side"] == 2, ["user_id", "product_id"]]
+                .merge(pd.DataFrame({"user_id": uid, "row": np.arange(len(uid))}), on="user_id")
+                .merge(pd.DataFrame({"product_id": pid, "col": np.arange(len(pid))}), on="product_id").sort_values("row"))
+        row, col = gone["row"].to_numpy("int64"), gone["col"].to_numpy("int64")
+        out = []
+        for at in range(0, len(uid), SCORE_ROWS):
+            cos = uv[at:at + SCORE_ROWS] @ pv.T
+            a, b = np.searchsorted(row, [at, at + SCORE_ROWS])
+            cos[row[a:b] - at, col[a:b]] = -np.inf
+            out.append(each(uid[at:at + SCORE_ROWS], pid, cos))
+        return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(names)})
+
+    return rows.groupBy("cell").applyInPandas(run, schema)
+
+
+def exact_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
+               block: int = SCORE_BLOCK) -> DataFrame:
+    """Best ``n`` unseen products per user by cosine score, of all products:
+    (user_id, product_id, score, rank). Each pair of blocks gives the best
+    ``n`` of its users, so no table of all pairs is made; the work is users x
+    products. Ids are unique; users and products (id, vector) of length zero
+    take no part; a list is short only when no more unseen products exist."""
+    def best(uid, pid, cos):
+        r = np.round(cos, 10)
+        least = -np.partition(-r, n - 1, axis=1)[:, n - 1] if n < len(pid) else np.full(len(uid), -np.inf)
+        who, what, score = [], [], []
+        for i in range(len(uid)):
+            j = np.flatnonzero((r[i] >= least[i]) & (r[i] > -np.inf))
+            j = j[np.argsort(-r[i, j], kind="stable")][:n]  # ties by product
+            who.append(np.full(len(j), uid[i])), what.append(pid[j]), score.append(cos[i, j])
+        return np.concatenate(who), np.concatenate(what), np.concatenate(score)
+
+    found = _block_scores(users, products, seen, best, "user_id long, product_id long, score double", block)
+    return topn_per_user(found, "score", n)
+
+
+def score_summary(users: DataFrame, products: DataFrame, block: int = SCORE_BLOCK) -> DataFrame:
+    """(user_id, scored, best): products that the user is scored against (all
+    that have a direction) and the highest cosine among them."""
+    def summary(uid, pid, cos):
+        return uid, np.full(len(uid), len(pid)), cos.max(axis=1)
+
+    found = _block_scores(users, products, None, summary, "user_id long, scored long, best double", block)
+    return found.groupBy("user_id").agg(F.sum("scored").alias("scored"), F.max("best").alias("best"))
+
+
 # ------------------------------------------------------------ Spark ML
 def als_model(interactions: DataFrame, rank: int = 8, max_iter: int = 5, reg: float = 0.1, seed: int = 42):
     """Collaborative filtering on (user_id, product_id, interaction_score):

@@ -141,7 +141,7 @@ def q_tower_score(spark, sf):
 
 @register("recommend_topn", ["emb_topn"], "select * from emb_topn", floats=["score"])
 def q_recommend_topn(spark, sf):
-    return R.recommend_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
+    return R.exact_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
 
 
 @register("win_topn_per_user", ["interaction"], """
@@ -207,7 +207,7 @@ def q_recommend_routing(spark, sf):
     """The routed list of ten products for every user vector."""
     from shoplens.session import materialize
     u, p, seen = emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf)
-    best = materialize(R.recommend_topn(u, p, seen, n=10), "topn")
+    best = materialize(R.exact_topn(u, p, seen, n=10), "topn")
     return R.route_list(R.recommend_routing(u, clean(spark, sf)), best, p, seen)
 
 
@@ -239,10 +239,8 @@ def q_user_pairs_lookup(spark, sf):
 @register("cross_score", ["emb_scored"], """
  select user_id, count(*) as scored, max(score) as best from emb_scored group by user_id""", floats=["best"])
 def q_cross_score(spark, sf):
-    """Scores of users against products, of the candidate pairs alone."""
-    u, p = emb_users(spark, sf), emb_products(spark, sf)
-    scored = R.tower_score(R.candidate_pairs(u, p), u, p)
-    return scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("scored"), F.max("score").alias("best"))
+    """Scores of every user against every product."""
+    return R.score_summary(emb_users(spark, sf), emb_products(spark, sf))
 
 
 # ------------------------------------------------------------ ML (rows-only checks)
@@ -315,7 +313,7 @@ def q_als_topn(spark, sf):
     """Best unseen products by the vectors that the model has learned."""
     pairs, (model, ui, pi) = _als(spark, sf)
     u, p = R.als_vectors(model, ui, pi)
-    return R.recommend_topn(u, R.product_vectors(p), interactions(spark, sf), n=10)
+    return R.exact_topn(u, R.product_vectors(p), interactions(spark, sf), n=10)
 
 
 @register("content_regressor")
