@@ -5,7 +5,9 @@ words, hashed to ``DIM`` places), damped term frequency times inverse document
 frequency, of length one. Each language has several centroids, found by
 spherical k-means over a bounded sample of its labelled texts; a text gets the
 language of the centroid with the largest cosine, and is rejected when even
-that cosine is below ``MIN_COSINE``.
+that cosine is below what the centroid's own sample reaches at the text's length
+(``_least``; the sample is also cut into pieces, so that short texts are judged
+by short ones), or below ``MIN_COSINE``.
 """
 
 from __future__ import annotations
@@ -29,8 +31,16 @@ CENTROIDS = 4
 #: Labelled texts per language that the model is fitted on at most, chosen by
 #: hash. The bound of the fit; predictions read every text.
 SAMPLE = 1000
-#: Largest cosine distance (1 - cosine) to the nearest centroid that is accepted.
+#: Least cosine that is accepted whatever a centroid has learned.
 MIN_COSINE = 0.05
+#: The learned limit: a share of this quantile of the sample's cosines.
+QUANTILE, MARGIN = 0.01, 0.5
+#: Characters of the pieces that each sample text is cut into besides itself.
+PIECES = [8 << i for i in range(9)]
+#: Classes of text length (powers of two of the number of distinct n-grams, since
+#: a repeated word makes a text no longer in this sense), and cosines
+#: in a class below which those of all centroids of the language count.
+LENGTHS, FEW = 16, 20
 UNKNOWN = "und"
 #: Code points hashed at once.
 PIECE = 1 << 20
@@ -81,15 +91,35 @@ def weights(place: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray
     return v / norm if norm else v
 
 
+def pieces(text: str) -> list[str]:
+    """Pieces of ``PIECES`` characters from the middle of a text on, those
+    that are shorter than it; to the end of a word where one ends soon."""
+    out = []
+    for n in PIECES:
+        if 2 * n > len(text):
+            break
+        at = text.find(" ", (len(text) - n) // 2) + 1
+        end = text.find(" ", at + n, at + n + 16)
+        out.append(text[at:at + n if end < 0 else end])
+    return out
+
+
+def _length(count: np.ndarray) -> int:
+    """The length class of a text with these n-gram counts."""
+    return min(LENGTHS - 1, len(count).bit_length())
+
+
 @dataclass
 class Model:
     """Languages, inverse document frequencies, and centroids (rows of length
-    one) with the language of each: at most languages x CENTROIDS x DIM."""
+    one) with the language of each: at most languages x CENTROIDS x DIM. Of
+    each centroid and length class the least cosine that is accepted."""
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
     min_cosine: float = MIN_COSINE
+    least: np.ndarray | None = None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected)."""
@@ -99,7 +129,8 @@ class Model:
         cos = self.centroids[:, place] @ weights(place, count, self.idf)
         best = int(cos.argmax())
         score = float(min(1.0, max(0.0, cos[best])))
-        return self.langs[self.owner[best]], score, score < self.min_cosine
+        learned = 0.0 if self.least is None else float(self.least[best, _length(count)])
+        return self.langs[self.owner[best]], score, score < max(self.min_cosine, learned)
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -119,6 +150,36 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _least(x: np.ndarray, c: np.ndarray, cut: list[list[tuple[np.ndarray, np.ndarray, int]]]) -> np.ndarray:
+    """The least accepted cosine per centroid of ``c`` and length class, from
+    the texts ``x`` of a language and what each of them gives (places, values,
+    length class of itself and its pieces). A text's cosine to its own
+    centroid is to the mean of the other members. Classes that the sample
+    does not have take the limit of the next shorter ones; no class has a
+    higher limit than a longer one."""
+    own = (x @ c.T).argmax(axis=1)
+    total = np.array([x[own == i].sum(axis=0, dtype=np.float64) for i in range(len(c))])
+    reached: list[tuple[int, int, float]] = []
+    for i, vectors in enumerate(cut):
+        rest = total[own[i]] - x[i]
+        norm = np.linalg.norm(rest)
+        for place, value, length in vectors:
+            cos = c[:, place] @ value
+            cos[own[i]] = rest[place] @ value / norm if norm > 1e-6 else -1
+            best = int(cos.argmax())
+            if cos[best] >= 0:
+                reached.append((best, length, float(cos[best])))
+    out = np.zeros((len(c), LENGTHS))
+    best, length, cos = (np.array(v) for v in zip(*reached)) if reached else (np.empty(0),) * 3
+    for k in range(len(c)):
+        for n in range(LENGTHS):
+            some = cos[(length == n) & (best == k)]
+            if len(some) < FEW:
+                some = cos[length == n]
+            out[k, n] = MARGIN * np.quantile(some, QUANTILE) if len(some) else out[k, n - 1] if n else 0
+    return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         sample: int = SAMPLE, centroids: int = CENTROIDS, min_cosine: float = MIN_COSINE) -> Model:
     """Fit on ``sample`` texts per language at most, chosen by a hash of id and
@@ -141,16 +202,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     def vectors(batches):
         for b in batches:
-            lang, place, count = [], [], []
+            lang, place, count, cut = [], [], [], []
             for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 p, c = grams(t)
                 if len(p):
-                    lang.append(x), place.append(p), count.append(c)
+                    lang.append(x), place.append(p), count.append(c), cut.append(pieces(t))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lang, pa.string()), pa.array(place, pa.list_(pa.int64())),
-                 pa.array(count, pa.list_(pa.int64()))], names=["lang", "place", "count"])
+                 pa.array(count, pa.list_(pa.int64())), pa.array(cut, pa.list_(pa.string()))],
+                names=["lang", "place", "count", "pieces"])
 
-    made = materialize(rows.mapInArrow(vectors, "lang string, place array<long>, count array<long>"), "lang-vectors")
+    made = materialize(rows.mapInArrow(
+        vectors, "lang string, place array<long>, count array<long>, pieces array<string>"), "lang-vectors")
     df = np.zeros(DIM)
     for r in made.select(F.explode("place").alias("p")).groupBy("p").count().toArrow().to_pylist():
         df[r["p"]] = r["count"]
@@ -161,14 +224,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         x = np.zeros((len(pdf), DIM), np.float32)
         for i, (p, c) in enumerate(zip(pdf["place"], pdf["count"])):
             x[i, p] = weights(np.asarray(p), np.asarray(c), idf)
-        x = x[np.lexsort(x[:, :64].T)]  # independent of the order of rows
+        order = np.lexsort(x[:, :64].T)  # independent of the order of rows
+        x = x[order]
         c = _k_means(x, centroids)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "c": [v.astype(np.float32).tobytes() for v in c]})
+        cut = []
+        for i in order:
+            own = [(np.asarray(pdf["place"].iloc[i]), np.asarray(pdf["count"].iloc[i]))]
+            own += [g for g in map(grams, pdf["pieces"].iloc[i]) if len(g[0])]
+            cut.append([(p, weights(p, n, idf), _length(n)) for p, n in own])
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "c": [v.astype(np.float32).tobytes() for v in c],
+                             "least": list(_least(x, c, cut))})
 
-    found = sorted(made.groupBy("lang").applyInPandas(cluster, "lang string, c binary").collect())
+    found = sorted(made.groupBy("lang").applyInPandas(cluster, "lang string, c binary, least array<double>").collect())
     langs = sorted({r["lang"] for r in found})
     return Model(langs, idf, np.array([np.frombuffer(r["c"], np.float32) for r in found]).reshape(-1, DIM),
-                 np.array([langs.index(r["lang"]) for r in found], np.int64), min_cosine)
+                 np.array([langs.index(r["lang"]) for r in found], np.int64), min_cosine,
+                 np.array([r["least"] for r in found], np.float64).reshape(-1, LENGTHS))
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
