@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from conftest import edge_rows
+from llm_rows import edge_rows
 from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_fingerprint
 from test_text import brute_contamination
