@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import oracle
+from shoplens.llm import chunk_reuse, oracle
 from shoplens.llm.chat_format import perspectives
 from shoplens.llm.common import table
 from shoplens.llm.decontaminate import contamination
@@ -81,6 +81,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path).drop("uid")
 
 
+def op13_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_reuse.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens",
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -88,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_substring_dedup, op3_exact_dedup, op4_chat_format, op5_sentencepiece,
-           op6_decontamination, op7_line_dedup, op8_simhash, op9_token_counts, op10_token_output, pipeline)
+           op6_decontamination, op7_line_dedup, op8_simhash, op9_token_counts, op10_token_output, op13_bpe_reuse, pipeline)
     return {f.__name__: f for f in own}
 
 
