@@ -333,23 +333,15 @@ def mix_hash_sql(*cols: str, seed: int = 42) -> str:
     return h
 
 
-cte("emb_codes", [], f"""
- with w as (select b, list(v order by j) as w from (select b, j,
-   (({mix_hash_sql('b', 'j', seed=42)}) % 2001 - 1000)::double as v
-   from range(48) r(b), range((select max(len(embedding)) from embeddings)) d(j)) group by b)
- select vec_id, b // 6 as tab, sum(case when list_inner_product(embedding::double[], w) >= 0 then 1 << (b % 6) else 0 end) as code
- from embeddings, w where list_inner_product(embedding::double[], embedding::double[]) > 0 group by all""")
-cte("emb_pairs", ["emb_codes"], """
- select distinct u.vec_id as user_id, p.vec_id as product_id from emb_codes u
- join emb_codes p on u.tab = p.tab and u.code = p.code where u.vec_id % 10 = 0 and p.vec_id % 10 <> 0""")
 cte("emb_users", [], "select vec_id as user_id, embedding from embeddings where vec_id % 10 = 0")
 cte("emb_products", [], "select vec_id as product_id, embedding from embeddings where vec_id % 10 <> 0")
 cte("emb_seen", ["emb_users", "emb_products"], """
  select u.user_id, p.product_id from emb_products p join emb_users u on u.user_id = p.product_id - p.product_id % 10""")
 
-cte("emb_scored", ["emb_pairs", "emb_users", "emb_products"], """
- select c.user_id, c.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
- from emb_pairs c join emb_users u on c.user_id = u.user_id join emb_products p on c.product_id = p.product_id""")
+cte("emb_scored", ["emb_users", "emb_products"], """
+ select u.user_id, p.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
+ from emb_users u join emb_products p on list_inner_product(u.embedding::double[], u.embedding::double[]) > 0
+  and list_inner_product(p.embedding::double[], p.embedding::double[]) > 0""")
 cte("emb_topn", ["emb_scored", "emb_seen"], """
  select user_id, product_id, score, rank from (select *, row_number() over (partition by user_id
    order by round(score, 10) desc, product_id) as rank from emb_scored s

@@ -6,6 +6,8 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +55,9 @@ def build_session(master: str | None = None, app: str = "shoplens",
         builder = builder.master(master)
     conf = dict(BASE_CONF)
     if master and master.startswith("local"):
-        # local mode: the driver JVM is the only executor
+        # local mode: the driver JVM is the only executor, a folder of its own is shared enough
         conf["spark.driver.memory"] = os.environ.get("SHOPLENS_DRIVER_MEMORY", "16g")
+        conf["spark.checkpoint.dir"] = _own_folder()
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -65,21 +68,27 @@ def build_session(master: str | None = None, app: str = "shoplens",
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """This process's folder for local runs; it goes with the process."""
+    d = tempfile.mkdtemp(prefix="shoplens-ckpt-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    return d
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is what ``spark.checkpoint.dir`` names (a folder that
     driver and executors share); without it nothing may be written, so an
     unset folder raises. Only a ``local`` master, where the driver is the one
-    executor, gets a folder of its own, made once per session.
+    executor, gets a folder of its own, made once per process.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="shoplens-ckpt-")
-        atexit.register(shutil.rmtree, d, ignore_errors=True)  # this session's own folder
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _own_folder()  # the setting itself cannot be changed in a running session
     return d
 
 
@@ -98,7 +107,6 @@ def materialize(df, name: str = "stage"):
     sizes. A lost executor costs a re-read of shared files, not a
     recomputation of the lineage.
     """
-    import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)

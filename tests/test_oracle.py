@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from oracle_check import run
 
 SUBSET = ["clean_events", "product_table", "user_table", "interaction_table", "train_table",

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from shoplens.operators import clean as C
 from shoplens.operators import features as FE
 from shoplens.operators import recommend as R

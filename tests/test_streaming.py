@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF001
+from paths import SF001
 from shoplens.operators import clean as C
 from shoplens.sources import files
 from shoplens.sources.fixtures import shop
