@@ -5,7 +5,43 @@ _SPACES = r"'[\x20\x09-\x0D]'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _clusters_sql(k=8, rounds=10, dim=64):
+    """Rounds of assignment and exact floors of means, one pair of tables each."""
+    near = """
+        a{r} AS MATERIALIZED (
+            SELECT rid, least % {k} AS c, least // {k} AS d FROM (
+                SELECT rid, min(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+                                ::HUGEINT * {k} + c.c) AS least
+                FROM v, c{r} c GROUP BY rid)),"""
+    move = """
+        c{s} AS MATERIALIZED (
+            WITH m AS (
+                SELECT c, list((t - ((t % n) + n) % n) // n ORDER BY i)::BIGINT[] AS q FROM (
+                    SELECT c, i, sum(q[i])::HUGEINT AS t, count(*) AS n
+                    FROM a{r} JOIN v USING (rid), range(1, {dim} + 1) x(i) GROUP BY c, i) GROUP BY c)
+            SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m ON m.c = c.c),"""
+    steps = "".join(near.format(r=r, k=k) + move.format(r=r, s=r + 1, dim=dim) for r in range(rounds))
+    return f"""
+        WITH e AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = {dim}),
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(e, lambda x: floor(1024 * x)::BIGINT) AS q
+            FROM e WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q
+            FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM v ORDER BY h, q LIMIT {k})),
+        {steps}
+        {near.format(r=rounds, k=k).strip().rstrip(',')}
+        SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance,
+               (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(list_transform(c.q, lambda x: x::VARCHAR), ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.c
+    """
+
+
 SQL = {
+    "op11_simplex_clusters": _clusters_sql(),
     "op2_substring_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm import chunk_reuse, oracle
+from shoplens.llm.bit_whitening import whiten
 from shoplens.llm.chat_format import perspectives
 from shoplens.llm.common import table
 from shoplens.llm.decontaminate import contamination
@@ -18,6 +19,7 @@ from shoplens.llm.exact_dedup import exact_dedup
 from shoplens.llm.language_id import classify, fit
 from shoplens.llm.line_dedup import line_dedup
 from shoplens.llm.simhash import simhash_groups
+from shoplens.llm.simplex_clusters import simplex_clusters
 from shoplens.llm.substring_dedup import repeats
 from shoplens.llm.token_count import token_counts
 from shoplens.llm.token_output import read_documents, write_token_files
@@ -81,6 +83,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path).drop("uid")
 
 
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = simplex_clusters(table(spark, sf_dir, "embeddings"))
+    hashed = centroids.select("cluster", "cluster_inertia", "inertia", F.sha2(
+        F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    # a row per centroid
+    return rows.join(F.broadcast(hashed), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # null where the exact deviation is beyond 64 bits
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_reuse.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens",
@@ -95,7 +111,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_substring_dedup, op3_exact_dedup, op4_chat_format, op5_sentencepiece,
-           op6_decontamination, op7_line_dedup, op8_simhash, op9_token_counts, op10_token_output, op13_bpe_reuse, pipeline)
+           op6_decontamination, op7_line_dedup, op8_simhash, op9_token_counts, op10_token_output, op11_simplex_clusters,
+           op12_bit_whitening, op13_bpe_reuse, pipeline)
     return {f.__name__: f for f in own}
 
 
