@@ -164,6 +164,7 @@ class Codec:
         self.bytes_of = [own[i] if i in own else bytes(byte[c] for c in self.library.id_to_token(i) or "")
                          for i in range(self.library.get_vocab_size())]
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.kind = "<u2" if len(self.size) <= 1 << 16 else "<u4"  # of packed ids
         self.known: dict[str, bytes] = {}
         self.room = KNOWN_BYTES
 
@@ -221,12 +222,21 @@ class Codec:
             inner.extend(at + j for j in range(1, len(words)) if words[j] != words[j - 1])
         if inner:
             past = np.union1d(past, inner)
-        return self.unpack(b"".join(found), past.astype("<u4").tobytes())
+        return self._units(np.frombuffer(b"".join(found), "<u4"), past)
 
-    def unpack(self, ids: bytes, ends: bytes) -> Units:
-        ids, ends = np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<u4").astype(np.int64)
+    def _units(self, ids: np.ndarray, ends: np.ndarray) -> Units:
         return Units(ids, ends, np.cumsum(self.size[ids])[ends - 1])
 
+    def pack(self, units: Units) -> tuple[bytes, bytes]:
+        """A piece's ids, and a bit for each that ends a unit."""
+        last = np.zeros(len(units.ids), bool)
+        last[units.ends - 1] = True
+        return units.ids.astype(self.kind).tobytes(), np.packbits(last).tobytes()
+
+    def unpack(self, ids: bytes, last: bytes) -> Units:
+        ids = np.frombuffer(ids, self.kind).astype("<u4")
+        return self._units(ids, np.flatnonzero(np.unpackbits(np.frombuffer(last, np.uint8), count=len(ids))) + 1)
+
     def raw(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -411,10 +421,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         c = codec(tokenizer)
         for b in batches:
             for first, past in _slices(bodies := b.column(1).to_pylist()):
-                found = [c.units(x) for x in bodies[first:past]]
+                ids, last = zip(*(c.pack(c.units(x)) for x in bodies[first:past]), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, past - first), pa.array([u.ids.tobytes() for u in found], pa.binary()),
-                     pa.array([u.ends.astype("<u4").tobytes() for u in found], pa.binary())],
+                    [b.column(0).slice(first, past - first), pa.array(ids, pa.binary()), pa.array(last, pa.binary())],
                     names=["chunk", "ids", "ends"])
 
     def stitch(batches):
