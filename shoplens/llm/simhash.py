@@ -195,7 +195,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segment
                    id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: uid, doc_id, key (of the text), fingerprint (16
     hex digits), component_id (smallest id reachable over links of at most
-    ``max_bits`` differing bits).
+    ``max_bits`` differing bits), kept (whether the row is the one of its
+    component that stays: by smallest id, null ids last, then key, then uid).
 
     Texts without words -- null, empty, white space -- have fingerprint zero
     and link like any other. Repeated rows share a component. A null id is
@@ -204,12 +205,14 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segment
     not read.
     """
     rows = fingerprints(docs, shingle, id_col, text_col)
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "uid")
+    classes = materialize(rows.groupBy("fp").agg(F.min(order).alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits, segments, block))
     joined = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "simhash-roots")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = joined.join(least, "root").select("fp", "component_id")
+    least = joined.groupBy("root").agg(F.min("least").alias("first"))
+    labels = joined.join(least, "root").select("fp", "first")
     return rows.join(labels, "fp").select("uid", "doc_id", "key", hex64(F.col("fp")).alias("fingerprint"),
-                                          "component_id")
+                                          F.col("first.doc_id").alias("component_id"),
+                                          (F.col("uid") == F.col("first.uid")).alias("kept"))

@@ -5,8 +5,10 @@ Spaces become the marker, one marker is put in front, and the segmentation
 with the largest sum of scores is found over a trie of the pieces' UTF-8
 bytes. A character that no piece covers becomes the byte pieces of its UTF-8
 form. Pieces carry the marker only in front of other characters, so the best
-segmentation falls apart at each marker that follows another character; these
-parts are solved once per worker while they are remembered.
+segmentation falls apart at each marker that follows another character. The
+distinct parts of a slice of documents are solved together, one step of the
+dynamic program for all of them at a time, and remembered up to a number of
+bytes.
 """
 
 from __future__ import annotations
@@ -16,19 +18,26 @@ import re
 from array import array
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import keyed
+from shoplens.llm.token_count import pretokens
 
 MARKER = "▁"
 #: Score below the worst piece for a character without a piece, as in the
 #: public library.
 UNKNOWN_PENALTY = 10.0
-#: Parts that a worker remembers.
-KNOWN = 600_000
+#: Bytes of the parts that a worker remembers; parts over ``LONG`` bytes are
+#: forgotten with their slice.
+KNOWN_BYTES, LONG = 48 << 20, 64
+#: Characters of documents that are worked on at a time, and bytes of the parts
+#: whose segmentations are found together, unless they are fewer than ``FEW``.
+SLICE, TOGETHER, FEW = 2 << 20, 1 << 18, 16
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -109,9 +118,10 @@ class Unigram:
     special: frozenset[int] = frozenset()
     unknown: int = 0
     _known: dict = field(default_factory=dict, repr=False, compare=False)
+    _held: int = field(default=0, repr=False, compare=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_starts")} | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_held": 0}
 
     @cached_property
     def bytes_of(self) -> dict[int, int]:
@@ -125,45 +135,105 @@ class Unigram:
                             if p and i not in self.special and i not in own})
 
     @cached_property
-    def parts(self) -> re.Pattern | None:
-        """Cuts a marked text at markers behind another character, if no
-        piece spans such a place."""
+    def apart(self) -> bool:
+        """Whether no piece spans a marker behind another character."""
         inner = re.compile(f"[^{MARKER}]{MARKER}")
-        if any(inner.search(self.pieces[i]) for i in self.trie.value if i >= 0):
-            return None
-        return re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+        return not any(inner.search(self.pieces[i]) for i in self.trie.value if i >= 0)
 
     @cached_property
     def worst(self) -> float:
         return min((self.scores[i] for i in self.trie.value if i >= 0), default=0.0) - UNKNOWN_PENALTY
 
-    def viterbi(self, marked: str) -> list[int]:
-        """Best segmentation; of equal sums, the one whose last piece is
-        longest, and so on to the front."""
-        data = marked.encode()
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """The trie's arrays, the score of each piece, the id of each byte."""
+        trie = self.trie
+        byte = np.full(256, self.unknown, np.int32)
+        for c, i in self.bytes_of.items():
+            byte[c] = i
+        return (*(np.array(x, np.int32) for x in (trie.base, trie.check, trie.value)),
+                np.array(self.scores, np.float64), byte)
+
+    def viterbi(self, marked: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one behind the other, number of each) of the best segmentation
+        of marked texts; of equal sums, the one whose last piece is longest,
+        and so on to the front."""
+        base, check, value, scores, byte = self._tables
+        n = np.array([len(m) for m in marked], np.int32)
+        top, every = int(n.max(initial=0)), np.arange(len(n))
+        data = np.zeros((top + 1, len(n)), np.uint8)  # a column per text
+        flat = np.frombuffer(b"".join(marked), np.uint8)
+        column = np.repeat(every, n)
+        data[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), column] = flat
+        starts = (data & 0xC0) != 0x80
+        width = 1 + (data >= 0xC0).astype(np.int32) + (data >= 0xE0) + (data >= 0xF0)
+        best = np.full((top + 1, len(n)), -np.inf)
+        back, piece = np.zeros((top + 1, len(n)), np.int32), np.full((top + 1, len(n)), -1, np.int32)
+        best[0] = 0.0
+        for i in range(top):
+            own = np.flatnonzero(starts[i] & (i < n))
+            single = np.zeros(len(n), bool)
+            rows, state, j = own, np.zeros(len(own), np.int32), i
+            while True:  # every piece that starts here
+                to = base[state] + data[j, rows]
+                j += 1
+                on = (check[to] == state) & (to != 0) & (j <= n[rows])
+                rows, state = rows[on], to[on]
+                if not len(rows):
+                    break
+                found = value[state] >= 0
+                r, p = rows[found], value[state[found]]
+                single[r[i + width[i, r] == j]] = True
+                total = best[i, r] + scores[p]
+                more = total > best[j, r]
+                r = r[more]
+                best[j, r], back[j, r], piece[j, r] = total[more], i, p[more]
+            r = own[~single[own]]
+            j, total = i + width[i, r], best[i, r] + self.worst
+            more = total > best[j, r]
+            r, j = r[more], j[more]
+            best[j, r], back[j, r], piece[j, r] = total[more], i, -1
+        # from the ends to the fronts, a piece of every text at a time
+        at, rows, steps = n.copy(), every[n > 0], []
+        while len(rows):
+            start = back[at[rows], rows]
+            steps.append((rows, start, piece[at[rows], rows]))
+            at[rows] = start
+            rows = rows[start > 0]
+        if not steps:
+            return np.empty(0, np.int32), np.zeros(len(n), np.int64)
+        rows, start, ids = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((start, rows))
+        rows, start, ids = rows[order], start[order], ids[order]
+        size = np.where(ids >= 0, 1, width[start, rows] if self.bytes_of else 1)
+        if (ids < 0).any():  # characters without a piece become bytes
+            at = np.repeat(np.arange(len(ids)), size)
+            behind = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            by = byte[data[start[at] + behind, rows[at]]] if self.bytes_of else self.unknown
+            ids = np.where(ids[at] >= 0, ids[at], by).astype(np.int32)
+        return ids, np.bincount(rows, weights=size, minlength=len(n)).astype(np.int64)
+
+    def viterbi_of(self, data: bytes) -> list[int]:
+        """The same for one text, a byte at a time: better for a long one, of
+        which there are few."""
         n, scores, worst = len(data), self.scores, self.worst
         base, check, value = self.trie.base, self.trie.check, self.trie.value
-        best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        at = 0
+        best, back, piece = array("d", [-math.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0], at = 0.0, 0
         while at < n:
             lead = data[at]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, single = best[at], False
-            state, end = 0, at
-            while end < n:  # every piece that starts here, as in DoubleArray.prefixes
+            here, single, state, end = best[at], False, 0, at
+            while end < n:  # every piece that starts here
                 to = base[state] + data[end]
                 if check[to] != state or to == 0:
                     break
-                state = to
-                end += 1
+                state, end = to, end + 1
                 p = value[to]
                 if p >= 0:
-                    if end == at + width:
-                        single = True
-                    total = here + scores[p]
-                    if total > best[end]:
-                        best[end], back[end], piece[end] = total, at, p
+                    single |= end == at + width
+                    if here + scores[p] > best[end]:
+                        best[end], back[end], piece[end] = here + scores[p], at, p
             if not single and here + worst > best[at + width]:
                 best[at + width], back[at + width], piece[at + width] = here + worst, at, -1
             at += width
@@ -171,36 +241,57 @@ class Unigram:
         at = n
         while at:
             p, start = piece[at], back[at]
-            if p >= 0:
-                out.append(p)
-            elif self.bytes_of:
-                out.extend(self.bytes_of[c] for c in reversed(data[start:at]))
-            else:
-                out.append(self.unknown)
+            out.extend([p] if p >= 0 else [self.bytes_of[c] for c in reversed(data[start:at])] if self.bytes_of
+                       else [self.unknown])
             at = start
         return out[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        marked = MARKER + text.replace(" ", MARKER)
-        if self.parts is None:
-            return self.viterbi(marked)
-        out, known = [], self._known
-        for part in self.parts.findall(marked):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.viterbi(part)
-                if len(known) < KNOWN:
-                    known[part] = ids
-            out.extend(ids)
+    def _solve(self, parts: list[str]) -> None:
+        """Remembers the ids of parts, given without the marker in front."""
+        marked = [(MARKER + p.replace(" ", MARKER)).encode() for p in parts]
+        size = np.array([len(m) for m in marked], np.int64)
+        order = np.argsort(size, kind="stable")  # alike in length, so that little is padded
+        size, past = size[order], np.cumsum(size[order])
+        first = 0
+        while first < len(order):
+            bounds = (past[first] + TOGETHER, size[first] * 2 + 16)
+            last = max(first + 1, min(int(np.searchsorted(past, bounds[0])), int(np.searchsorted(size, bounds[1]))))
+            own = order[first:last].tolist()
+            if len(own) < FEW:
+                each = [self.viterbi_of(marked[i]) for i in own]
+                ids, n = np.array([x for ids in each for x in ids], np.int32), [len(x) for x in each]
+            else:
+                ids, n = self.viterbi([marked[i] for i in own])
+            raw, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(n)).tolist()
+            self._known.update((parts[i], raw[a:z]) for i, a, z in zip(own, [0, *ends], ends))
+            self._held += len(raw)
+            first = last
+        self._held += 200 * len(parts) + int(size.sum())
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        known = self._known
+        parts = [pretokens(t) if self.apart else [t.replace(MARKER, " ")] if t else [] for t in texts]
+        new = list(set(chain.from_iterable(parts)) - known.keys())
+        self._solve(new)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts]
+        for p in [p for p in new if len(p) > LONG]:
+            self._held -= len(known.pop(p))
+        if self._held > KNOWN_BYTES:
+            known.clear()
+            self._held = 0
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_many([text or ""])[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: pieces joined, runs of byte pieces as UTF-8
         (what is not UTF-8 as U+FFFD), markers as spaces, without the marker
         in front."""
         byte = self._byte_of_id
+        if byte.keys().isdisjoint(ids) and self.special.isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids)).replace(MARKER, " ").removeprefix(" ")
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -239,9 +330,10 @@ def load(path: str) -> Unigram:
     return Unigram(pieces, scores, special, model.unk_id())
 
 
-def encode_documents(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: uid, doc_id, ids, n_tokens, n_byte_pieces,
-    decoded (the text of the ids).
+def encode_documents(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: str = "text",
+                     decode: bool = True) -> DataFrame:
+    """One row per input row: uid, doc_id, ids, n_tokens and, unless ``decode``
+    is off, n_byte_pieces and decoded (the text of the ids).
 
     ``decoded`` is the text with every U+2581 as a space; null and empty texts
     have no ids and decode to the empty text. Repeated rows are encoded alike.
@@ -251,19 +343,33 @@ def encode_documents(docs: DataFrame, model: Unigram, id_col: str = "doc_id", te
     assert model.trie  # built once, here, and sent with the model
     known = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def encoded(uid: pa.Array, doc: pa.Array, texts: list[str]) -> pa.RecordBatch:
         m = known.value
-        own = m._byte_of_id
+        ids = m.encode_many(texts)
+        past = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, "<i4"), *ids]).astype(np.int32)
+        columns = {"uid": uid, "doc_id": doc, "ids": pa.ListArray.from_arrays(pa.array(past, pa.int32()), pa.array(flat)),
+                   "n_tokens": pa.array(np.diff(past), pa.int64())}
+        if decode:
+            byte = np.zeros(len(m.pieces), bool)
+            byte[list(m._byte_of_id)] = True
+            bytes_before = np.concatenate([[0], np.cumsum(byte[flat])])
+            columns["n_byte_pieces"] = pa.array(np.diff(bytes_before[past]), pa.int64())
+            columns["decoded"] = pa.array([m.decode(x.tolist()) for x in ids], pa.string())
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def run(batches):
         for b in batches:
-            ids = [m.encode(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([sum(map(own.__contains__, x)) for x in ids], pa.int64()),
-                 pa.array([m.decode(x) for x in ids], pa.string())],
-                names=["uid", "doc_id", "ids", "n_tokens", "n_byte_pieces", "decoded"])
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            first = held = 0
+            for i, t in enumerate(texts, 1):
+                held += len(t)
+                if held >= SLICE or i == len(texts):
+                    yield encoded(b.column(0).slice(first, i - first), b.column(1).slice(first, i - first),
+                                  texts[first:i])
+                    first, held = i, 0
 
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"uid long, doc_id {kind}, ids array<int>, n_tokens long, n_byte_pieces long, "
-                                "decoded string")
+    return rows.mapInArrow(run, f"uid long, doc_id {kind}, ids array<int>, n_tokens long"
+                           + (", n_byte_pieces long, decoded string" if decode else ""))

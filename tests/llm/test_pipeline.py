@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_fingerprint
 from test_text import brute_contamination
 
+from shoplens.llm.common import row_key
 from shoplens.llm.language_id import fit
 
 
-def brute_pipeline(rows, items, model, encode):
+def brute_pipeline(rows, items, model, encode, key):
     rows = [(d, t) for d, t in rows if not model.predict(t)[2]]
     groups = defaultdict(list)
     for i, (d, t) in enumerate(rows):
         groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), d is None, d or 0, i))
     rows = [rows[min(g)[3]] for g in groups.values()]
     roots = brute_components([brute_fingerprint(t) for _, t in rows], 4)
-    least = {}
-    for (d, _), r in zip(rows, roots):
-        if d is not None:
-            least[r] = min(d, least.get(r, d))
-    rows = [(d, t) for (d, t), r in zip(rows, roots) if d is None or d == least[r]]
+    parts = defaultdict(list)
+    for (d, t), r in zip(rows, roots):
+        parts[r].append((d is None, d or 0, key[t], (d, t)))
+    rows = [min(p, key=lambda x: x[:3])[3] for p in parts.values()]
     clean = [(d, t) for d, t in rows if not brute_contamination([(d, t)], items, 10)[0][2]]
     return sorted((d, tuple(encode(t))) for d, t in clean)
 
@@ -41,10 +41,26 @@ def test_pipeline(spark, tmp_path):
     from public_tokenizers import path
     from shoplens.llm.unigram import load
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    want = brute_pipeline(rows, items, fit(docs), load(path("piece_bpe_32k.model")).encode)
+    key = {r.text: r.key for r in docs.select("text", row_key(F.col("text")).alias("key")).collect()}
+    want = brute_pipeline(rows, items, fit(docs), load(path("piece_bpe_32k.model")).encode, key)
     assert got == want and 0 < len(want) < len(rows)
 
 
+def test_one_of_each_simhash_group_stays(spark, tmp_path):
+    """Near copies without ids, near copies that share the smallest id, repeated rows."""
+    words = [f"w{i}" for i in range(300)]
+    near = [" ".join(words[:i] + ["other"] + words[i + 1:]) for i in (20, 90, 150, 220)]
+    far = " ".join(f"x{i}" for i in range(50))
+    rows = [(None, near[0]), (None, near[1]), (7, near[2]), (7, near[3]), (7, near[3]), (9, far), (None, far[:-4] + " y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash(spark, docs, str(tmp_path)).collect()]
+    roots = brute_components([brute_fingerprint(t) for _, t in rows], 4)
+    assert len(got) == len(set(roots)) and [d for d, _ in got if d is not None] in ([7, 9], [9, 7])
+    nameless = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string")
+    assert corpus_pipeline.simhash(spark, nameless, str(tmp_path)).count() == len(
+        set(brute_components([brute_fingerprint(t) for t in near], 4)))
+
+
 def test_stages_keep_columns_and_take_empty_input(spark, tmp_path):
     schema = "doc_id long, text string, lang string, key string, uid int, node string, extra double"
     docs = spark.createDataFrame([(1, "some words here", "xx", "k", 1, "n", 0.5), (2, None, None, None, None, None, None),
@@ -64,5 +80,5 @@ def test_stages_keep_columns_and_take_empty_input(spark, tmp_path):
 def test_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5

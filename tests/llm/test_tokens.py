@@ -121,6 +121,20 @@ def test_unigram_is_optimal_and_decodes(rows):
     assert model.encode("") == [] and model.encode(None) == [] and model.decode([]) == ""
 
 
+def test_unigram_together_and_alone(rows):
+    """The steps over many texts at once, and those over one."""
+    model, rnd = load(PIECE), random.Random(9)
+    texts = [t for _, t in rows if t] + ["".join(rnd.choice(["a", "the", " ", "  ", "▁", "日", "é", "🙂", "<0x41>", "tion"])
+                                               for _ in range(rnd.randrange(30))) for _ in range(500)]
+    marked = [("▁" + t.replace(" ", "▁")).encode() for t in texts if len(t) < 2000]
+    ids, n = model.viterbi(marked)
+    ends = n.cumsum().tolist()
+    assert [ids[a:z].tolist() for a, z in zip([0, *ends], ends)] == [model.viterbi_of(m) for m in marked]
+    long = "漢字かな" * 20000
+    assert [x.tolist() for x in model.encode_many([long, "b c", long])] == [model.encode(long), model.encode("b c"), model.encode(long)]
+    assert model.decode(model.encode(long)) == long and all(len(k) <= 64 for k in model._known)
+
+
 def varint(n):
     out = b""
     while n > 127:
