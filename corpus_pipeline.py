@@ -34,10 +34,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id."""
-    groups = simhash_groups(docs)
-    gone = materialize(groups.where("doc_id <> component_id").select("doc_id", "key"), "simhash-gone")
-    return anti_rows(docs, gone)
+    """One document of each component: the one with the smallest id, null ids
+    last; of rows that share it, the one with the smallest key of its text."""
+    kept = materialize(simhash_groups(docs).where("kept").select("doc_id", "key"), "simhash-kept")
+    return semi_rows(docs, kept, once=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens of every document."""
     model = load(tokenizer_path("piece_bpe_32k.model"))
-    return encode_documents(docs, model).select("doc_id", "ids", "n_tokens")
+    return encode_documents(docs, model, decode=False).select("doc_id", "ids", "n_tokens")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash_dedup", simhash),
