@@ -1,10 +1,8 @@
 """Recommendation: splits, metrics, Spark ML models, two-tower style
 scoring and top-n per user, routing policy.
 
-Top-n over embeddings is exact: every user is scored against every product in
-blocks of bounded size (``exact_topn``). ``recommend_topn`` scores candidates
-alone, users and products that agree in all sign bits of at least one of
-several hyperplane tables; no registered query uses it.
+Top-n over embeddings is exact, over a clustered inverted file
+(``operators/ivf.py``) or over all pairs of bounded blocks (``exact_topn``).
 """
 
 from __future__ import annotations
@@ -183,70 +181,6 @@ def product_vectors(products: DataFrame) -> DataFrame:
     return products.select("product_id", l2_normalise(F.col("vector")).alias("vector"))
 
 
-def _mix(*keys: int, seed: int) -> int:
-    """``mix_hash`` of given numbers, on the driver."""
-    h = seed % _M
-    for k in keys:
-        h = (h * 48271 % _M + k % _M) * 48271 % _M * 16807 % _M
-    return h
-
-
-def hyperplanes(dim: int, planes: int, seed: int = 42) -> np.ndarray:
-    """Integer hyperplanes from ``mix_hash`` (any engine computes the same)."""
-    return np.array([[_mix(b, j, seed=seed) % 2001 - 1000 for j in range(dim)] for b in range(planes)],
-                    dtype="float64").reshape(planes, dim)
-
-
-def sign_codes(vectors: DataFrame, key: str, bits: int, tables: int, seed: int = 42) -> DataFrame:
-    """(key, vector, codes): per table the signs of ``bits`` projections as a
-    number. Vectors of length zero have no direction and are left out."""
-    import pandas as pd
-
-    def run(batches):
-        planes, weights = None, 1 << np.arange(bits)
-        for b in batches:
-            if b.empty:
-                continue
-            m = np.stack(b["vector"].to_numpy()).astype("float64")
-            if planes is None:
-                planes = hyperplanes(m.shape[1], bits * tables, seed)
-            keep = (m * m).sum(axis=1) > 0
-            signs = ((m[keep] @ planes.T) >= 0).reshape(-1, tables, bits)
-            yield pd.DataFrame({key: b[key].to_numpy(dtype="int64")[keep], "vector": list(m[keep]),
-                                "codes": list((signs @ weights).astype("int32"))})
-
-    return vectors.select(key, F.col("vector").cast("array<double>").alias("vector")).where(
-        F.col("vector").isNotNull()).mapInPandas(run, f"{key} long, vector array<double>, codes array<int>")
-
-
-def candidate_pairs(users: DataFrame, products: DataFrame, bits: int = 6, tables: int = 8,
-                    seed: int = 42) -> DataFrame:
-    """(user_id, product_id) that agree in all ``bits`` signs of at least one
-    of ``tables`` hyperplane tables: approximate candidate generation, a share
-    of about 1 - (1 - 2^-bits)^tables of unrelated pairs. ``bits`` is chosen
-    with the number of products (about log2 of it less the bucket size
-    wanted). The join on (table, code) is split by AQE where a bucket is hot.
-    """
-    def spread(df, key):
-        return sign_codes(df, key, bits, tables, seed).select(key, F.posexplode("codes").alias("_t", "_c"))
-
-    return (spread(users, "user_id").join(spread(products, "product_id"), ["_t", "_c"])
-            .select("user_id", "product_id").distinct())
-
-
-def recommend_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
-                   bits: int = 6, tables: int = 8, seed: int = 42) -> DataFrame:
-    """Approximate form of ``exact_topn``: best ``n`` unseen products per user
-    by cosine score, among the candidates of ``candidate_pairs`` (approximate: what shares no bucket with
-    the user is not scored); the ranking within them is exact. Users and
-    products (id, vector) of length zero take no part; a user with fewer
-    candidates than ``n`` has a shorter list."""
-    pairs = candidate_pairs(users, products, bits, tables, seed)
-    if seen is not None:
-        pairs = pairs.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-    return topn_per_user(tower_score(pairs, users, products), "score", n)
-
-
 # ------------------------------------------------------------ all products, in blocks
 def _block_scores(users: DataFrame, products: DataFrame, seen: DataFrame | None, each, schema: str,
                   block: int) -> DataFrame:
@@ -258,8 +192,6 @@ def _block_scores(users: DataFrame, products: DataFrame, seen: DataFrame | None,
     sides. A user goes to as many tasks as there are product blocks and the
     other way round; a seen pair goes to the one task that scores it.
     """
-    import pandas as pd
-
     def numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
         d = df.select(F.col(key).cast("bigint").alias(key), F.col("vector").cast("array<double>").alias("vector")
                       ).where(F.col(key).isNotNull() & F.col("vector").isNotNull())
@@ -281,6 +213,14 @@ def _block_scores(users: DataFrame, products: DataFrame, seen: DataFrame | None,
                         F.col("product_id").cast("bigint").alias("product_id")).dropna().distinct()
         rows = rows.unionByName(s.select((ub * np_ + pb).alias("cell"), F.lit(2).alias("side"), "user_id",
                                          "product_id", none.alias("vector")))
+    return score_cells(rows, each, schema)
+
+
+def score_cells(rows: DataFrame, each, schema: str) -> DataFrame:
+    """``each(user ids, product ids, cosines)`` of every cell of ``rows`` (cell,
+    side, user_id, product_id, vector): side 0 are its users, 1 its products, 2
+    the seen pairs, whose cosine is -inf. A cell holds one block of each."""
+    import pandas as pd
 
     def unit(part, key):
         """Ids in order and vectors of length one; those of length zero have no direction."""
@@ -312,13 +252,8 @@ def _block_scores(users: DataFrame, products: DataFrame, seen: DataFrame | None,
     return rows.groupBy("cell").applyInPandas(run, schema)
 
 
-def exact_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
-               block: int = SCORE_BLOCK) -> DataFrame:
-    """Best ``n`` unseen products per user by cosine score, of all products:
-    (user_id, product_id, score, rank). Each pair of blocks gives the best
-    ``n`` of its users, so no table of all pairs is made; the work is users x
-    products. Ids are unique; users and products (id, vector) of length zero
-    take no part; a list is short only when no more unseen products exist."""
+def best_of(n: int):
+    """The best ``n`` products of each user of a cell, for ``score_cells``."""
     def best(uid, pid, cos):
         r = np.round(cos, 10)
         least = -np.partition(-r, n - 1, axis=1)[:, n - 1] if n < len(pid) else np.full(len(uid), -np.inf)
@@ -329,7 +264,17 @@ def exact_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = N
             who.append(np.full(len(j), uid[i])), what.append(pid[j]), score.append(cos[i, j])
         return np.concatenate(who), np.concatenate(what), np.concatenate(score)
 
-    found = _block_scores(users, products, seen, best, "user_id long, product_id long, score double", block)
+    return best
+
+
+def exact_topn(users: DataFrame, products: DataFrame, seen: DataFrame | None = None, n: int = 10,
+               block: int = SCORE_BLOCK) -> DataFrame:
+    """Best ``n`` unseen products per user by cosine score, of all products:
+    (user_id, product_id, score, rank). Each pair of blocks gives the best
+    ``n`` of its users, so no table of all pairs is made; the work is users x
+    products. Ids are unique; users and products (id, vector) of length zero
+    take no part; a list is short only when no more unseen products exist."""
+    found = _block_scores(users, products, seen, best_of(n), "user_id long, product_id long, score double", block)
     return topn_per_user(found, "score", n)
 
 

@@ -299,22 +299,70 @@ def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return per.select("query_id", F.array_join(F.transform("_p", lambda s: s["p"]), " ").alias("expanded"))
 
 
-def lcs_length(a, b) -> Column:
-    """Length of the longest common subsequence of two strings: the usual
-    table, a row per character of ``a``."""
+#: Bits of a word of the bit-parallel table: one below the sign bit is left for the carry of a sum.
+LCS_BITS = 62
+
+
+def lcs_masks(a) -> Column:
+    """map<character, array<long>>: at each place of ``a`` where the character
+    stands a bit, ``LCS_BITS`` places to a word. One entry per distinct
+    character; computed once per string, whatever it is compared with."""
+    a = F.col(a) if isinstance(a, str) else a
+    n = F.length(a)
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)))
+    words = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / LCS_BITS), F.lit(0)).cast("int"))
+
+    def mask(ch):
+        def word(w):
+            part = F.substring(a, w * LCS_BITS + 1, F.lit(LCS_BITS))
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), F.lit(0).cast("bigint"),
+                               lambda acc, i: F.when(F.substring(part, i, F.lit(1)) == ch, acc.bitwiseOR(
+                                   F.call_function("shiftleft", F.lit(1).cast("bigint"), i - 1))).otherwise(acc))
+        return F.transform(words, word)
+
+    each = F.array_distinct(chars)
+    return F.map_from_arrays(each, F.transform(each, mask))
+
+
+def lcs_length(a, b, masks: Column | None = None) -> Column:
+    """Length of the longest common subsequence of two strings, by the
+    bit-parallel table (Hyyro, "Bit-parallel LCS-length computation
+    revisited", 2004): the row of the table is a bit vector in words of
+    ``LCS_BITS`` bits, and a character of ``b`` moves it by one sum, whose
+    carry goes from word to word. Zeros at the end count the length. ``masks``
+    are ``lcs_masks(a)``, if they are there already."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    n = F.length(b)
-
-    def row(prev, ch):
-        return F.aggregate(
-            F.sequence(F.lit(1), n), F.array(F.lit(0)),
-            lambda cur, j: F.concat(cur, F.array(
-                F.when(F.substring(b, j, F.lit(1)) == ch, F.element_at(prev, j) + 1)
-                .otherwise(F.greatest(F.element_at(cur, -1), F.element_at(prev, j + 1))))))
-
-    chars = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)))
-    table = F.aggregate(chars, F.array_repeat(F.lit(0), n + 1), row)
-    return F.when((F.length(a) == 0) | (n == 0), F.lit(0)).otherwise(F.element_at(table, -1))
+    if masks is None:  # bound to a name, so that it is made once
+        return F.transform(F.array(lcs_masks(a)), lambda m: lcs_length(a, b, m))[0]
+    full, zero = F.lit((1 << LCS_BITS) - 1), F.lit(0).cast("bigint")
+    size = F.greatest(F.floor((F.length(a) - 1) / LCS_BITS) + 1, F.lit(1)).cast("int")
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1))), lambda i: F.substring(b, i, F.lit(1)))
+
+    def moved(v, m):
+        """One word without a carry."""
+        u = v.bitwiseAND(m)
+        return (v + u).bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(u)))
+
+    one = F.aggregate(chars, full, lambda v, ch: F.when(
+        F.map_contains_key(masks, ch), moved(v, masks[ch][0])).otherwise(v))
+
+    def row(v, ch):
+        def word(acc, w):
+            now, m = F.get(v, w), F.get(masks[ch], w)
+            u = now.bitwiseAND(m)
+            total = now + u + acc["carry"]
+            return F.struct(F.concat(acc["row"], F.array(total.bitwiseAND(full).bitwiseOR(
+                now.bitwiseAND(F.bitwise_not(u))))).alias("row"),
+                F.call_function("shiftright", total, F.lit(LCS_BITS)).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("row"), zero.alias("carry"))
+        next_ = F.aggregate(F.sequence(F.lit(0), size - 1), start, word)["row"]
+        return F.when(F.map_contains_key(masks, ch), next_).otherwise(v)
+
+    many = F.aggregate(F.aggregate(chars, F.array_repeat(full, size), row), F.lit(0),
+                       lambda n, v: n + LCS_BITS - F.bit_count(v))
+    return (F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0))
+            .when(size == 1, F.lit(LCS_BITS) - F.bit_count(one)).otherwise(many))
 
 
 def fuzzy_match(words: DataFrame, terms: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
@@ -360,7 +408,9 @@ def fuzzy_match(words: DataFrame, terms: DataFrame, threshold: int = FUZZY_THRES
     a = a.select("word", "la", "lb", "seg", F.substring("word", F.col("_p") + 1, F.col("_m")).alias("text"))
     pairs = a.distinct().join(t, keys).select("word", "term", "la", "lb").distinct()
     bound = F.col("la") + F.col("lb") - 2 * need("la", "lb")
-    pairs = pairs.where(F.levenshtein("word", "term") <= bound).withColumn("lcs", lcs_length("word", "term"))
+    pairs = pairs.where(F.levenshtein("word", "term") <= bound)
+    w = w.select("word", lcs_masks("word").alias("_masks"))  # once per word
+    pairs = pairs.join(w, "word").withColumn("lcs", lcs_length("word", "term", F.col("_masks")))
     tot = F.col("la") + F.col("lb")
     r = pairs.filter(F.lit(400) * F.col("lcs") >= F.lit(2 * threshold - 1) * tot)
     return r.select("word", "term", F.bround(F.lit(200.0) * F.col("lcs") / tot).cast("int").alias("ratio"))

@@ -340,7 +340,7 @@ cte("emb_seen", ["emb_users", "emb_products"], """
 
 cte("emb_scored", ["emb_users", "emb_products"], """
  select u.user_id, p.product_id, list_cosine_similarity(u.embedding::double[], p.embedding::double[]) as score
- from emb_users u join emb_products p on list_inner_product(u.embedding::double[], u.embedding::double[]) > 0
+ from emb_users u join emb_products p on u.user_id % 100 = 0 and list_inner_product(u.embedding::double[], u.embedding::double[]) > 0
   and list_inner_product(p.embedding::double[], p.embedding::double[]) > 0""")
 cte("emb_topn", ["emb_scored", "emb_seen"], """
  select user_id, product_id, score, rank from (select *, row_number() over (partition by user_id

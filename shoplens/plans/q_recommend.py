@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.operators import features as FE
 from shoplens.operators import recommend as R
+from shoplens.operators.ivf import ivf_topn
 from shoplens.plans.oracle import mix_hash_sql
 from shoplens.plans.q_clean import clean
 from shoplens.plans.q_features import enriched
@@ -22,6 +23,11 @@ def emb_users(spark, sf):
     return e.filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector"))
 
 
+def emb_asked(spark, sf):
+    """The query set of the top-n searches: the users whose id is divisible by 100."""
+    return emb_users(spark, sf).where("user_id % 100 = 0")
+
+
 def emb_products(spark, sf):
     e = load_table(spark, sf, "embeddings")
     return e.filter(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"))
@@ -141,7 +147,7 @@ def q_tower_score(spark, sf):
 
 @register("recommend_topn", ["emb_topn"], "select * from emb_topn", floats=["score"])
 def q_recommend_topn(spark, sf):
-    return R.exact_topn(emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
+    return ivf_topn(emb_asked(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
 
 
 @register("win_topn_per_user", ["interaction"], """
@@ -204,10 +210,11 @@ _STEPS = "[" + ", ".join(map(str, R.WALK_STEPS)) + "]"
  union all select user_id, product_id, 'random' as source from (
   select *, row_number() over (partition by user_id order by k) as rn from free) where rn <= want""")
 def q_recommend_routing(spark, sf):
-    """The routed list of ten products for every user vector."""
+    """The routed list of ten products for every user vector; the
+    recommender's own lists are those of the query set."""
     from shoplens.session import materialize
     u, p, seen = emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf)
-    best = materialize(R.exact_topn(u, p, seen, n=10), "topn")
+    best = materialize(ivf_topn(emb_asked(spark, sf), p, seen, n=10), "topn")
     return R.route_list(R.recommend_routing(u, clean(spark, sf)), best, p, seen)
 
 
@@ -239,8 +246,8 @@ def q_user_pairs_lookup(spark, sf):
 @register("cross_score", ["emb_scored"], """
  select user_id, count(*) as scored, max(score) as best from emb_scored group by user_id""", floats=["best"])
 def q_cross_score(spark, sf):
-    """Scores of every user against every product."""
-    return R.score_summary(emb_users(spark, sf), emb_products(spark, sf))
+    """Scores of the query set against every product."""
+    return R.score_summary(emb_asked(spark, sf), emb_products(spark, sf))
 
 
 # ------------------------------------------------------------ ML (rows-only checks)
@@ -313,7 +320,7 @@ def q_als_topn(spark, sf):
     """Best unseen products by the vectors that the model has learned."""
     pairs, (model, ui, pi) = _als(spark, sf)
     u, p = R.als_vectors(model, ui, pi)
-    return R.exact_topn(u, R.product_vectors(p), interactions(spark, sf), n=10)
+    return ivf_topn(u.where("user_id % 100 = 0"), R.product_vectors(p), interactions(spark, sf), n=10)
 
 
 @register("content_regressor")

@@ -129,49 +129,6 @@ def test_fuzzy_match_matches_brute_force(spark):
     assert got[("notebok", "notebook")] == 93
 
 
-def _brute_candidates(uv, pv, bits, tables):
-    planes = R.hyperplanes(uv.shape[1], bits * tables)
-    cu = ((uv @ planes.T) >= 0).reshape(len(uv), tables, bits)
-    cp = ((pv @ planes.T) >= 0).reshape(len(pv), tables, bits)
-    return {(i, j) for i in range(len(uv)) for j in range(len(pv))
-            if uv[i].any() and pv[j].any() and (cu[i] == cp[j]).all(axis=1).any()}
-
-
-def test_recommend_topn_matches_brute_force(spark):
-    """Exact within the candidates; fewer than all pairs are scored, and near
-    neighbours are found."""
-    rng = np.random.default_rng(1)
-    U, P, D, n, bits, tables = 12, 400, 16, 5, 4, 8
-    uv, pv = rng.standard_normal((U, D)), rng.standard_normal((P, D))
-    for i in range(U):  # ten near neighbours of each user
-        pv[10 * i:10 * i + 10] = uv[i] + 0.4 * rng.standard_normal((10, D))
-    uv[3], pv[7] = 0.0, 0.0  # no direction: neither side takes part
-    users = spark.createDataFrame([(i, uv[i].tolist()) for i in range(U)], "user_id long, vector array<double>")
-    prods = spark.createDataFrame([(j, pv[j].tolist()) for j in range(P)], "product_id long, vector array<double>")
-    s = {(i, j) for i in range(U) for j in range(P) if (i * 31 + j) % 17 == 0}
-    seen = spark.createDataFrame(sorted(s), "user_id long, product_id long")
-    cand = _brute_candidates(uv, pv, bits, tables)
-    got_pairs = {tuple(r) for r in R.candidate_pairs(users, prods, bits, tables).collect()}
-    assert got_pairs == cand and len(cand) < 0.6 * U * P
-    for left_out in (s, set()):
-        got = {}
-        top = R.recommend_topn(users, prods, seen if left_out else None, n=n, bits=bits, tables=tables)
-        for r in top.collect():
-            got.setdefault(r.user_id, []).append((r.rank, r.product_id))
-        cos = (uv / np.maximum(np.linalg.norm(uv, axis=1, keepdims=True), 1e-300)) @ \
-            (pv / np.maximum(np.linalg.norm(pv, axis=1, keepdims=True), 1e-300)).T
-        found = total = 0
-        for i in range(U):
-            best = sorted((-round(float(cos[i, j]), 10), j) for j in range(P) if (i, j) in cand - left_out)[:n]
-            assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in best]
-            if uv[i].any():
-                every = sorted((-round(float(cos[i, j]), 10), j) for j in range(P) if (i, j) not in left_out)[:n]
-                found += len({j for _, j in every} & {j for _, j in best})
-                total += len(every)
-        assert found / total > 0.9
-    assert 3 not in got
-
-
 def test_route_list_is_full(spark):
     routing = spark.createDataFrame([(u, 10 - k, k) for u, k in ((1, 0), (2, 2), (3, 8), (4, 10), (5, 2))],
                                     "user_id long, random_slots int, recommender_slots int")

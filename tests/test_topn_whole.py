@@ -5,6 +5,7 @@ import pytest
 
 from paths import SF01
 from shoplens.operators import recommend as R
+from shoplens.operators.ivf import build_index, ivf_topn
 
 
 def _unit(v):
@@ -61,10 +62,51 @@ def test_exact_topn(spark, block):
                                                       zip(uid, best) if u != uid[3])
 
 
+def _frames(spark, uid, uv, pid, pv, seen):
+    return (spark.createDataFrame([(u, v.tolist()) for u, v in zip(uid, uv)], "user_id long, vector array<double>"),
+            spark.createDataFrame([(p, v.tolist()) for p, v in zip(pid, pv)], "product_id long, vector array<double>"),
+            spark.createDataFrame(sorted(seen), "user_id long, product_id long"))
+
+
+@pytest.mark.parametrize("block", [4096, 9])
+def test_inverted_file_is_exact_and_scores_little(spark, block):
+    """Clustered vectors: all users are certified or settled by a few lists."""
+    rng = np.random.default_rng(7)
+    middle = rng.standard_normal((20, 24))
+    uid, pid = list(range(30)), list(range(1000, 1600))
+    uv = middle[np.arange(30) % 20] + 0.15 * rng.standard_normal((30, 24))
+    pv = middle[np.arange(600) % 20] + 0.15 * rng.standard_normal((600, 24))
+    pv[40:60] = pv[40]  # one product vector repeated
+    uv[3], pv[7] = 0.0, 0.0
+    seen = {(u, p) for u in uid for p in pid if (u * 31 + p) % 17 == 0} | {(uid[5], p) for p in pid[3:]}
+    report = {}
+    got = _lists(ivf_topn(*_frames(spark, uid, uv, pid, pv, seen), n=10, probes=2, lists=20, block=block,
+                          report=report).collect())
+    assert got == _brute(uid, uv, pid, pv, seen, 10)
+    assert report["users"] == 29 and report["certified"] >= 25 and report["scored"] < 0.25
+
+
+def test_inverted_file_without_structure(spark):
+    """Uniform vectors, few products, no products, no users, many lists."""
+    rng = np.random.default_rng(8)
+    uid, pid = list(range(8)), list(range(100, 180))
+    uv, pv = rng.standard_normal((8, 16)), rng.standard_normal((80, 16))
+    users, prods, pairs = _frames(spark, uid, uv, pid, pv, {(0, 100), (99, 101)})
+    want = _brute(uid, uv, pid, pv, {(0, 100)}, 5)
+    assert _lists(ivf_topn(users, prods, pairs, n=5).collect()) == want
+    assert _lists(ivf_topn(users, prods, pairs, n=5, lists=80, probes=1).collect()) == want
+    assert _lists(ivf_topn(users, prods, n=100).collect()) == _brute(uid, uv, pid, pv, set(), 100)
+    assert ivf_topn(users.limit(0), prods, pairs).count() == 0 == ivf_topn(users, prods.limit(0)).count()
+    index = build_index(prods, lists=6)
+    assert index.rows.count() == 80 == index.size.sum() and (index.near <= index.far).all()
+
+
 def test_registered_topn_finds_the_true_best(spark):
     import __spark_entry__ as E
     uid, uv, pid, pv = _embeddings(spark)
     seen = {(p - p % 10, p) for p in pid}
+    asked = [i for i, u in enumerate(uid) if u % 100 == 0]
+    uid, uv = [uid[i] for i in asked], uv[asked]
     want = _brute(uid, uv, pid, pv, seen, 10)
     assert _lists(E.queries()["recommend_topn"](spark, SF01).collect()) == want
     cos = _unit(uv) @ _unit(pv).T
