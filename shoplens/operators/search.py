@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.operators.features import with_scalars
+from shoplens.functions.stem import stem
 from shoplens.functions.text import query_words, text_clean, tokens
 
 # The search page defaults.
@@ -24,16 +25,10 @@ LOW_CONFIDENCE_SHARE = 0.2
 MAX_EDITS = 2
 FUZZY_THRESHOLD = 80
 
-# The thesaurus of the query expansion (lemma: forms, synonyms).
-SYNONYMS = {
-    "laptop": (["laptops"], ["notebook", "computer"]),
-    "kid": (["kids"], ["child", "youngster"]),
-    "phone": (["phones"], ["telephone"]),
-    "ring": (["rings"], ["band"]),
-    "bolt": (["bolts"], ["pin"]),
-    "widget": (["widgets"], ["gadget"]),
-    "gear": (["gears"], ["cog"]),
-}
+# Parameters of the mined synonyms: words apart at most, occurrences at least, synonyms of a word.
+SYNONYM_REACH = 2
+SYNONYM_PAIRS = 5
+SYNONYMS = 2
 
 # A query token: a maximal run of 2+ word characters (any script).
 _QUERY_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -238,18 +233,87 @@ def topk_similarity(scores: DataFrame, top: int | None = DEFAULT_TOP, key: str =
     return r if top is None else r.filter(F.col("rank") <= top)
 
 
-def rank_queries(corrected: DataFrame, idf: DataFrame, index: DataFrame, top: int | None = DEFAULT_TOP,
-                 key: str = "product_id") -> DataFrame:
+# Products of a block of postings, on average; class of a product by its largest weight.
+BLOCK = 32
+
+
+def block_postings(index: DataFrame, key: str = "product_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(postings, blocks): the index rows with the block of their product, and
+    (term, block, most, own): the largest weight and the number of postings of
+    a term in a block.
+
+    Products of a block are alike: they have about the same largest weight
+    (long texts, with low weights, are apart from short ones), and where a
+    class fills several blocks, those with the same heaviest term are in the
+    same one. A block is about ``block`` products or one term's.
+    """
+    from shoplens.session import materialize
+    top = index.groupBy(key).agg(F.max(F.struct("weight", "term")).alias("_top"))
+    kind = F.floor(F.log2(F.col("_top.weight")) * -4).cast("int")
+    top = materialize(top.select(key, kind.alias("_class"), F.col("_top.term").alias("_term")), "blocks-of")
+    # a row per class
+    counts = top.groupBy("_class").agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    own = top.join(counts, "_class").select(
+        key, (F.col("_class").cast("bigint") * (1 << 40) + F.pmod(F.xxhash64("_term"), F.col("_n"))).alias("block"))
+    postings = index.join(own, key).select(key, "term", "block", "weight")
+    postings = materialize(postings, "postings")
+    blocks = postings.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("own"))
+    return postings, materialize(blocks, "block-max")
+
+
+def block_topn(qv: DataFrame, postings: DataFrame, blocks: DataFrame, top: int, key: str = "product_id",
+               qkey: str = "query_id", report: dict | None = None) -> DataFrame:
+    """The best ``top`` products of each query by cosine, with their rank, as
+    ranking all of ``tfidf_scores`` would give them.
+
+    A product's score in a block is at most the sum over the query's terms of
+    query weight times the block's largest weight. The blocks with the largest
+    bounds that hold ``top`` products are scored first; the last of their best
+    scores is one that every product of the result has to reach, so of the
+    other blocks only those whose bound reaches it are joined. ``report``, if
+    given, takes the rows of the term join (``joined``) and of the unpruned one
+    (``all``).
+    """
+    from shoplens.session import materialize
+    bounds = qv.join(blocks, "term").groupBy(qkey, "block").agg(
+        F.sum(F.col("qweight") * F.col("most")).alias("bound"), F.max("own").alias("own"), F.sum("own").alias("rows"))
+    before = Window.partitionBy(qkey).orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = materialize(bounds.withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0)) < top), "bounds")
+
+    def scored(some):
+        terms = qv.join(some.select(qkey, "block"), qkey)
+        return (terms.join(postings, ["term", "block"]).groupBy(qkey, key)
+                .agg(F.sum(F.col("qweight") * F.col("weight")).alias("similarity")))
+
+    begun = materialize(topk_similarity(scored(bounds.where("first")), top, key, qkey), "first-blocks")
+    reach = begun.where(F.col("rank") == top).select(qkey, F.col("similarity").alias("_reach"))
+    # scores are ranked to ten places
+    more = materialize(bounds.where("not first").join(reach, qkey, "left").where(
+        F.col("_reach").isNull() | (F.col("bound") >= F.col("_reach") - 1e-9)).select(qkey, "block", "rows"), "more-blocks")
+    if report is not None:
+        report["all"] = bounds.agg(F.sum("rows")).first()[0] or 0
+        report["joined"] = sum(df.agg(F.sum("rows")).first()[0] or 0 for df in (bounds.where("first"), more))
+    return topk_similarity(begun.drop("rank").unionByName(scored(more)), top, key, qkey)
+
+
+def rank_queries(corrected: DataFrame, idf: DataFrame, index: DataFrame | tuple[DataFrame, DataFrame],
+                 top: int | None = DEFAULT_TOP, key: str = "product_id", report: dict | None = None) -> DataFrame:
     """(query_id, key, similarity, rank) for a table of corrected queries.
 
     Each distinct corrected text is vectorised, scored against the index and
     ranked once; the ranked hits are then joined back to every query id with
     that text (identical text, identical result). A text shared by a huge
     share of the queries only makes the final join skewed, which AQE splits.
+    ``index`` is the plain index, or ``block_postings`` of it, from which only
+    the blocks that can matter are joined.
     """
     texts = corrected.select(F.col("corrected").alias("qtext")).distinct()
     qv = query_vectors(texts, idf, text="qtext", qkey="qtext")
-    ranked = topk_similarity(tfidf_scores(qv, index, key, qkey="qtext"), top, key, qkey="qtext")
+    if isinstance(index, tuple):
+        from shoplens.session import materialize
+        ranked = block_topn(materialize(qv, "query-vectors"), *index, top, key, "qtext", report)
+    else:
+        ranked = topk_similarity(tfidf_scores(qv, index, key, qkey="qtext"), top, key, qkey="qtext")
     ids = corrected.select("query_id", F.col("corrected").alias("qtext"))
     return ids.join(ranked, "qtext").select("query_id", key, "similarity", "rank")
 
@@ -275,14 +339,60 @@ def search_policy(corrected: DataFrame, results: DataFrame, top: int = DEFAULT_T
 
 
 # ------------------------------------------------------------ expansion, fuzzy
-def load_synonyms(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(token, lemma, synonym): a CSV file of them, or the built-in ones."""
-    schema = "token string, lemma string, synonym string"
-    if path:
-        return spark.read.option("header", True).schema(schema).csv(path)
-    rows = [(token, lemma, syn) for lemma, (forms, syns) in SYNONYMS.items()
-            for token in [lemma, *forms] for syn in syns]
-    return spark.createDataFrame(rows, schema)
+def lemmas(bank: DataFrame) -> DataFrame:
+    """(token, stem, lemma) of every word of the bank (word, freq): the lemma is
+    the most frequent word with the same stem, of equally frequent ones the
+    first in the alphabet."""
+    w = bank.select(F.col("word").alias("token"), "freq", stem("word").alias("stem"))
+    best = w.groupBy("stem").agg(F.min_by("token", F.struct((-F.col("freq")).alias("f"), "token")).alias("lemma"))
+    return w.join(best, "stem").select("token", "stem", "lemma")
+
+
+def near_words(docs: DataFrame, reach: int = SYNONYM_REACH, text: str = "description") -> DataFrame:
+    """(a, b, n): how often two words, a before b in the alphabet or equal,
+    stand at most ``reach`` words apart. As many rows before the map-side sum
+    as words times ``reach``; no pairs of all words of a text."""
+    t = docs.select(tokens(text).alias("_t"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda d: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("_t") - d - 1, F.lit(0))),
+        lambda i: F.struct(F.get("_t", i).alias("x"), F.get("_t", i + d).alias("y")))))
+    p = t.select(F.explode(pairs).alias("p")).select("p.x", "p.y").where("x is not null and y is not null")
+    return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mine_synonyms(docs: DataFrame, bank: DataFrame, n: int = SYNONYMS, reach: int = SYNONYM_REACH,
+                  least: int = SYNONYM_PAIRS, text: str = "description") -> DataFrame:
+    """(token, lemma, synonym) of every word of the bank, mined from the
+    corpus: the ``n`` lemmas with the largest positive pointwise mutual
+    information ln(n_ab N / (n_a n_b)) with the word's lemma, over pairs of
+    words near each other (N pairs, n_a of them with a), for pairs that occur
+    ``least`` times. Ties go to the more frequent pair, then by alphabet. A
+    lemma without any has one row with a null synonym."""
+    from shoplens.session import materialize
+    words = materialize(lemmas(bank), "lemmas")
+    of = words.select("token", "lemma")
+    raw = near_words(docs, reach, text)
+    pairs = (raw.join(of.select(F.col("token").alias("a"), F.col("lemma").alias("la")), "a")
+             .join(of.select(F.col("token").alias("b"), F.col("lemma").alias("lb")), "b")
+             .groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.sum("n").alias("n")))
+    pairs = materialize(pairs, "near-lemmas")
+    both = pairs.select("x", "y", "n").unionByName(pairs.where("x <> y").select(
+        F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    alone = both.groupBy("x").agg(F.sum("n").alias("own"))
+    total = pairs.agg(F.sum("n").cast("double").alias("_total"))
+    j = both.where((F.col("x") != F.col("y")) & (F.col("n") >= least)).join(alone, "x").join(
+        alone.select(F.col("x").alias("y"), F.col("own").alias("other")), "y")
+    j = with_scalars(j, total).where(F.col("n") * F.col("_total") > F.col("own") * F.col("other").cast("double"))
+    # for one lemma the order of n_ab / n_b is that of the mutual information
+    w = Window.partitionBy("x").orderBy(F.desc(F.col("n") / F.col("other")), F.desc("n"), "y")
+    best = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(
+        F.col("x").alias("lemma"), F.col("y").alias("synonym"))
+    return of.join(best, "lemma", "left").select("token", "lemma", "synonym")
+
+
+def load_synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """(token, lemma, synonym): a CSV file of them."""
+    return spark.read.option("header", True).schema("token string, lemma string, synonym string").csv(path)
 
 
 def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:

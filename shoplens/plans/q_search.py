@@ -26,6 +26,10 @@ def all_queries(spark, sf):
     return search_queries(spark).unionByName(named)
 
 
+#: The query set of the ranked searches and of the fuzzy one: the literal queries and the parts divisible by 100.
+ASKED = "query_id < 1000 or query_id % 100 = 0"
+
+
 def _stage(spark, sf, name, build):
     from shoplens.plans.stages import shared
     return shared(spark, sf, name, build)
@@ -50,6 +54,17 @@ def _pipeline(spark, sf):
     return d, index, idf, corr
 
 
+def ranked(spark, sf):
+    """The best 50 products of every query of the query set, one stage for all entries that rank."""
+    d, index, idf, corr = _pipeline(spark, sf)
+
+    def build():
+        blocks = S.block_postings(index)
+        return S.rank_queries(corr.where(ASKED), idf, blocks, 50)
+
+    return _stage(spark, sf, "ranked", build)
+
+
 @register("text_clean", ["cat_products"], f"""
  select product_id, {__import__('shoplens.plans.oracle', fromlist=['x']).text_clean_sql('about_product')} as clean_text
  from cat_products""")
@@ -113,14 +128,12 @@ def q_correct_spelling(spark, sf):
 
 @register("tfidf_query", ["ranked"], "select * from ranked where rank <= 50", floats=["similarity"])
 def q_tfidf_query(spark, sf):
-    d, index, idf, corr = _pipeline(spark, sf)
-    return S.rank_queries(corr, idf, index, 50)
+    return ranked(spark, sf)
 
 
 @register("topk_similarity", ["ranked"], "select * from ranked where rank <= 10", floats=["similarity"])
 def q_topk_similarity(spark, sf):
-    d, index, idf, corr = _pipeline(spark, sf)
-    return S.rank_queries(corr, idf, index, 10)
+    return ranked(spark, sf).where("rank <= 10")
 
 
 @register("search_result", ["ranked", "docs"], """
@@ -128,9 +141,8 @@ def q_topk_similarity(spark, sf):
  where r.rank <= 50 and r.similarity > 0.10""",
           floats=["similarity", "discounted_price", "actual_price", "discount_percentage", "rating", "rating_count"])
 def q_search_result(spark, sf):
-    d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
-    r = S.search_result(ranked, d, 0.10)
+    d = docs(spark, sf)
+    r = S.search_result(ranked(spark, sf), d, 0.10)
     return r.select("query_id", "rank", "similarity", *d.columns)
 
 
@@ -138,48 +150,49 @@ def q_search_result(spark, sf):
  select r.query_id, r.rank, r.product_id, d.product_name from ranked r join docs d on r.product_id = d.product_id
  where r.rank <= 50 and r.similarity > 0.10""")
 def q_search_result_join(spark, sf):
-    d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
-    return S.search_result(ranked, d.select("product_id", "product_name"), 0.10).select(
+    d = docs(spark, sf)
+    return S.search_result(ranked(spark, sf), d.select("product_id", "product_name"), 0.10).select(
         "query_id", "rank", "product_id", "product_name")
 
 
 @register("order_by_search_rank", ["ranked"], """
  select query_id, rank, product_id from ranked where rank <= 50 and similarity > 0.10""")
 def q_order_by_search_rank(spark, sf):
-    d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
-    return ranked.filter(F.col("similarity") > 0.10).select("query_id", "rank", "product_id").orderBy("query_id", "rank")
+    return ranked(spark, sf).filter(F.col("similarity") > 0.10).select("query_id", "rank", "product_id").orderBy("query_id", "rank")
 
 
 @register("search_policy", ["corr", "ranked"], """
  select c.query_id, c.query, c.corrected, coalesce(h.hits, 0) as hits, c.query <> c.corrected as instead,
   coalesce(h.hits, 0) > 0 and coalesce(h.hits, 0) < 10 as less_accurate, coalesce(h.hits, 0) = 0 as no_results
  from corr c left join (select query_id, count(*) as hits from ranked where rank <= 50 and similarity > 0.10
-  group by query_id) h on c.query_id = h.query_id""")
+  group by query_id) h on c.query_id = h.query_id where c.query_id < 1000 or c.query_id % 100 = 0""")
 def q_search_policy(spark, sf):
-    d, index, idf, corr = _pipeline(spark, sf)
-    ranked = S.rank_queries(corr, idf, index, 50)
-    res = ranked.filter(F.col("similarity") > 0.10)
-    return S.search_policy(corr, res, 50)
+    corr = _pipeline(spark, sf)[3]
+    res = ranked(spark, sf).filter(F.col("similarity") > 0.10)
+    return S.search_policy(corr.where(ASKED), res, 50)
 
 
-def _expand_sql() -> str:
-    lemma = " ".join(f"when '{t}' then '{lem}'" for lem, (forms, _) in S.SYNONYMS.items() for t in [lem, *forms])
-    text = " ".join(f"when '{lem}' then '{' '.join([lem, *sorted(syns)])}'" for lem, (_, syns) in S.SYNONYMS.items())
-    return f"""
- select query_id, string_agg(case lemma {text} else lemma end, ' ' order by pos) as expanded
- from (select query_id, pos, case word {lemma} else word end as lemma from qwords) group by query_id"""
-
-
-@register("expand_query", ["qwords"], _expand_sql())
+@register("expand_query", ["qwords", "lemmas", "synonyms"], """
+ with syn as (select lemma, string_agg(synonym, ' ' order by synonym) as syns from synonyms group by lemma)
+ select query_id, string_agg(concat_ws(' ', coalesce(l.lemma, q.word), s.syns), ' ' order by pos) as expanded
+ from qwords q left join lemmas l on q.word = l.token left join syn s on s.lemma = l.lemma group by query_id""")
 def q_expand_query(spark, sf):
-    return S.expand_query(all_queries(spark, sf), S.load_synonyms(spark))
-
-
-@register("fuzzy_match")
+    return S.expand_query(all_queries(spark, sf), _stage(spark, sf, "synonyms", lambda: S.mine_synonyms(
+        docs(spark, sf), index_tables(spark, sf)[2])))
+
+
+@register("fuzzy_match", ["qwords", "bank"], """
+ with w as (select distinct word from qwords where length(word) > 0 and (query_id < 1000 or query_id % 100 = 0)),
+ p as (select w.word, b.word as term, length(w.word) as la, length(b.word) as lb from w join bank b
+  on least(length(w.word), length(b.word)) * 400 >= 159 * (length(w.word) + length(b.word))),
+ v as (select *, list_reduce(
+   list_transform(string_split(term, ''), lambda c: list_sum(list_transform(range(la),
+     lambda i: case when substr(word, (i + 1)::int, 1) = c then 1::hugeint << i::int else 0 end))::hugeint),
+   lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::hugeint << la) - 1), (1::hugeint << la) - 1) as v from p),
+ r as (select word, term, la + lb as total, la - bit_count(v) as lcs from v)
+ select word, term, round_even(200.0::double * lcs / total, 0)::int as ratio from r where 400 * lcs >= 159 * total""")
 def q_fuzzy_match(spark, sf):
     d = docs(spark, sf)
-    words = S.split_queries(all_queries(spark, sf)).select("word")
+    words = S.split_queries(all_queries(spark, sf).where(ASKED)).select("word")
     terms = S.vocab_union(d).withColumnRenamed("word", "term")
     return S.fuzzy_match(words, terms, 80)

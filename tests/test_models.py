@@ -54,10 +54,12 @@ def test_versions_are_never_replaced(spark, tmp_path):
     assert R.model_versions(spark, f"file://{tmp_path}/m") == R.model_versions(spark, str(tmp_path / "m")) == (4, 5)
 
 
-def test_expand_query(spark):
+def test_expand_query_from_a_file(spark, tmp_path):
     from shoplens.operators.search import expand_query, load_synonyms
+    (tmp_path / "words.csv").write_text("token,lemma,synonym\nkids,kid,youngster\nkids,kid,child\nlaptops,laptop,notebook\n"
+                                        "laptops,laptop,computer\n")
     q = spark.createDataFrame([(1, "Kids laptops red"), (2, "x")], "query_id long, text string")
-    got = {r.query_id: r.expanded for r in expand_query(q, load_synonyms(spark)).collect()}
+    got = {r.query_id: r.expanded for r in expand_query(q, load_synonyms(spark, str(tmp_path / 'words.csv'))).collect()}
     assert got == {1: "kid child youngster laptop computer notebook red", 2: "x"}
 
 
