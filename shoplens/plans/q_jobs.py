@@ -104,6 +104,27 @@ def q_job_monthly_features(spark, sf):
     return spark.read.parquet(f"{base}/features/interaction").select("user_id", "product_id", "interaction_score")
 
 
+@register("job_monthly_state", ["clean_day"], """
+ select user_id, product_id, greatest(0::double, least(100::double, sum(
+   (case event_type when 'view' then 0.1 when 'cart' then 0.4 when 'remove_from_cart' then -0.3
+     when 'purchase' then 1.0 else 0.0 end)::double
+   * exp(ln(0.5) * date_diff('day', date, (select max(date) from clean_day))::double / 15.0)))) as interaction_score
+ from clean_day group by user_id, product_id""", floats=["interaction_score"])
+def q_job_monthly_state(spark, sf):
+    """The interaction scores of all files together, from the state that the
+    incremental job adds each file to."""
+    from shoplens.operators.decayed import state_scores
+    from shoplens.streaming.incremental import clean_new_files
+    base = files.fresh_path(spark, "incremental")
+    raw_dir = f"{base}/raw"
+    (shop(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
+     .repartition("day").write.partitionBy("day").parquet(raw_dir))
+    schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
+    clean_new_files(spark, raw_dir, schema, f"{base}/clean", f"{base}/checkpoint", files_per_batch=1,
+                    drop_cols=("day",), state_dir=f"{base}/state", compact_every=8)
+    return state_scores(spark, f"{base}/state")
+
+
 @register("recency_days_coef", ["rel"], """
  select user_id, product_id, event_type, date, date_diff('day', date, (select max(date) from rel)) as recency,
   exp(ln(0.5) * date_diff('day', date, (select max(date) from rel))::double / 15.0) as recency_coef from rel""",

@@ -27,3 +27,30 @@ def test_incremental_equals_per_file_batch(spark):
     # a second run finds no new files and adds nothing
     clean_new_files(spark, f"{base}/raw", schema, f"{base}/out", f"{base}/ckpt", 1, drop_cols=("day",))
     assert spark.read.parquet(f"{base}/out").count() == got.count()
+
+
+def test_state_of_files_equals_the_batch_over_them(spark):
+    """Parts in any order of dates, a retried batch, merged and unmerged parts, a batch without dates."""
+    from shoplens.operators import decayed as D
+    from shoplens.operators.features import interaction_table
+    base = files.fresh_path(spark, "state-test")
+    assert D.state_scores(spark, base).count() == 0 and D.compact(spark, base) is None
+    events = C.clean_events(shop(spark, SF001))
+    days = sorted(r[0] for r in events.select("date").distinct().collect())
+    cuts = [days[4:9], days[:4], days[12:], days[9:12]]  # later files may hold earlier dates
+    seen = []
+    for i, own in enumerate(cuts):
+        if i == 2:
+            D.write_part(events, base, i)  # a failed attempt with other rows
+        D.write_part(events.where(F.col("date").isin(own)), base, i)
+        seen += own
+        if i == 1:
+            assert D.compact(spark, base) == 1 and D.compact(spark, base) is None
+        got = {(r.user_id, r.product_id): r.interaction_score for r in D.state_scores(spark, base).collect()}
+        want = {(r.user_id, r.product_id): r.interaction_score
+                for r in interaction_table(events.where(F.col("date").isin(seen))).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    D.write_part(events.withColumn("date", F.lit(None).cast("date")), base, 4)
+    assert D.compact(spark, base) == 4
+    again = {(r.user_id, r.product_id): r.interaction_score for r in D.state_scores(spark, base).collect()}
+    assert again.keys() == got.keys() and all(abs(got[k] - v) < 1e-9 for k, v in again.items())
