@@ -10,9 +10,10 @@ is the assistant and all others are named users:
 and the mask: the character spans of the participant's own texts (with the end
 mark), on which a model is trained.
 
-A rendering is given in blocks of ``BLOCK`` turn numbers, so that a very long
-conversation is neither gathered in one row nor in one task; a conversation of
-up to ``BLOCK`` turns is one row per participant. Offsets continue over blocks.
+A rendering is given in blocks of ``BLOCK`` turns, so that a very long
+conversation is neither gathered in one row nor in one task, whatever the
+numbers of its turns; a conversation of up to ``BLOCK`` turns is one row per
+participant. Offsets continue over blocks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.llm.common import materialize
+
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turn numbers of a block.
+#: Turns of a block.
 BLOCK = 256
 
 
@@ -35,6 +38,32 @@ def _name(role: Column) -> Column:
     return _plain(F.regexp_replace(role, r"\s+", "_"))
 
 
+def _in_blocks(turns: DataFrame, block: int) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text) with ``block``: the place of the
+    turn in its conversation, by number, role and text, over ``block``.
+
+    Only conversations of more than a block need places. They are cut into
+    ranges of their order, equal turns too; a place is the running number in
+    a range and the sizes of the conversation's ranges before it.
+    """
+    order = ["turn", "role", "text", "uid"]
+    size = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    size = materialize(size.select(F.col("conv_id").alias("_conv")), "long-conversations")
+    same = turns.conv_id.eqNullSafe(size["_conv"])
+    short = turns.join(size, same, "left_anti").withColumn("block", F.lit(0).cast("long"))
+    long = turns.join(size, same, "left_semi").withColumn("uid", F.monotonically_increasing_id())
+    long = long.repartitionByRange("conv_id", *order).withColumn("_part", F.spark_partition_id())
+    long = materialize(long, "long-turns")  # written once: the ranges hold for both readers
+    parts = long.groupBy("conv_id", "_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("_part")) - F.col("n")
+    parts = parts.select(F.col("conv_id").alias("_conv"), F.col("_part").alias("_at"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy(*order))
+    long = long.withColumn("_own", inside)
+    long = long.join(parts, long.conv_id.eqNullSafe(parts["_conv"]) & (long["_part"] == parts["_at"]))
+    place = F.col("_before") + F.col("_own") - 1
+    return short.unionByName(long.withColumn("block", F.floor(place / block).cast("long")).select(*short.columns))
+
+
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per (conversation, participant, block): conv_id, speaker,
@@ -44,7 +73,8 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Participants are the distinct roles of a conversation, whatever their
     spelling; a null role is a participant named ``unknown`` (and is the same
     as that role). A null text is empty. Turns are in order of their number,
-    then role, then text; turns without a number come first (block -1).
+    then role, then text; turns without a number come first. Blocks are of
+    ``block`` turns in this order, the last of what is left, numbered from 0.
     Repeated rows are turns of their own. A null conversation id is one
     conversation. An empty table gives no rows. Other columns are not read.
     """
@@ -52,10 +82,10 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)))
     who = t.select("conv_id", F.col("role").alias("speaker")).distinct()
-    # a block's turns: as many as turn numbers of a block, times their repeats
-    blocks = t.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # at most ``block`` turns in a row
+    blocks = _in_blocks(t, block).groupBy("conv_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     both = blocks.join(who, blocks.conv_id.eqNullSafe(who.conv_id)).select(blocks.conv_id, "speaker", "block", "turns")
 
     body = F.transform("turns", lambda x: F.struct(

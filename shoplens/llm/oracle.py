@@ -98,7 +98,8 @@ SQL = {
     "op4_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
-                   CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS block,
+                   CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
+                                            coalesce(text, '')) - 1) // 256 AS BIGINT) AS block,
                    replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body
             FROM conversations),
         r AS (

@@ -85,7 +85,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     A word is in a repeat if a window of ``window`` words covers it whose
     words also start in a row with a smaller id; windows are judged on the
     input. Rows that share an id, repeated rows too, are not repeats of each
-    other but all are repeats of smaller ids; rows with a null id are kept
+    other but all are repeats of smaller ids, and cost what as many short texts
+    cost; rows with a null id are kept
     whole and make no repeats. Null and empty texts have no words, texts
     shorter than a window no windows. Texts of any length are read whole; an
     empty table gives no rows. Other columns are not read.
@@ -112,19 +113,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
         seed, f"doc_id {kind}, key long, anchor long, content long, first int, count int"), "anchors")
     shared = (seeds.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
               .where("x < y").select("anchor"))
+    # written, so that both sides of the join are plain shuffles and a hot anchor's rows are split
+    shared = materialize(shared, "shared-anchors")
     hits = materialize(seeds.join(shared, "anchor", "left_semi"), "anchor-hits")
 
     same = ["anchor", "content"]
     least = materialize(hits.groupBy(*same).agg(F.min("doc_id").alias("least")), "blocks")
     several = least.groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("several"))
-    least = least.join(several, "anchor", "left")
+    least = materialize(least.join(several, "anchor", "left"), "blocks-of-several")
     judged = materialize(hits.join(least, same).where("doc_id > least or several")
                          .select("doc_id", "key", "first", "count", (F.col("doc_id") > F.col("least")).alias("match")),
                          "block-matches")
 
     # one occurrence of each block that has others beside it, window by window
     todo = (judged.where("not match").groupBy("doc_id", "key")
-            .agg(F.collect_list(F.struct("first", "count")).alias("runs")))
+            .agg(F.collect_set(F.struct("first", "count")).alias("runs")))  # repeated rows give a run once
 
     def extend(batches):
         for b in batches:
@@ -137,8 +140,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                 [b.column(0).take(i), b.column(1).take(i), pa.array(at, pa.int32()), pa.array(digest, pa.binary())],
                 names=["doc_id", "key", "first", "digest"])
 
-    texts = rows.repartition("doc_id", "key")
-    ends = (texts.join(todo, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
+    ends = (rows.join(todo, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
             .mapInArrow(extend, f"doc_id {kind}, key long, first int, digest binary"))
     ends = materialize(ends, "windows")
     twice = (ends.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -146,7 +148,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     ends = ends.join(twice, "digest").where("doc_id > least").select("doc_id", "key", "first", F.lit(1).alias("count"))
 
     runs = (judged.where("match").select("doc_id", "key", "first", "count").unionByName(ends)
-            .groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "count")).alias("runs")))
+            .groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "count")).alias("runs")))
 
     def cut(batches):
         for b in batches:
@@ -171,6 +173,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                  pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "spans", "kept_text"])
 
-    return (texts.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "runs")
+    return (rows.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "runs")
             .mapInArrow(cut, f"doc_id {kind}, n_words long, spans array<struct<first:int,past:int>>, "
                              "kept_text string"))

@@ -81,6 +81,18 @@ def test_substring_dedup_dense(spark):
     assert got == brute_substring(rows, 8)
 
 
+def test_substring_dedup_of_many_repeated_rows(spark):
+    """A third of all rows is one row, with a passage of a smaller id in it."""
+    rnd = random.Random(11)
+    def words(n):
+        return " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    passage = words(80)
+    rows = [(1, f"{words(20)} {passage} {words(20)}")] + [(7, f"{words(200)} {passage} {words(300)}")] * 1000
+    rows += [(8 + i, words(30)) for i in range(1000)] + [(9000, rows[1][1])] * 200
+    assert substring_result(repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == \
+        sorted(brute_substring(rows, 50), key=order)
+
+
 def test_substring_dedup_empty(empty):
     assert repeats(empty).count() == 0
 

@@ -122,8 +122,8 @@ def brute_chat(turns, block):
         ts.sort()
         for who in {t[1] for t in ts}:
             pieces = defaultdict(lambda: ["", [], 0, 0])
-            for (known, turn), role, text in ts:
-                p = pieces[turn // block if known else -1]
+            for place, (_, role, text) in enumerate(ts):
+                p = pieces[place // block]
                 body = text.replace("<|", "< |") + "<|im_end|>"
                 name = re.sub(r"\s+", "_", role, flags=re.ASCII).replace("<|", "< |")
                 p[0] += "<|im_start|>assistant\n" if role == who else f"<|im_start|>user name={name}\n"
@@ -154,6 +154,18 @@ def test_chat(spark, block):
     assert perspectives(df.limit(0)).count() == 0
 
 
+def test_long_chats_of_any_numbering(spark):
+    """Thousands of turns without a conversation, with few numbers or none,
+    many of them equal; a conversation numbered from 1."""
+    turns = [(None, i % 8 if i % 3 else None, f"r{i % 4}", "same" if i % 2 else f"t{i}") for i in range(3000)]
+    turns += [(1, i, "ab"[i % 2], f"t{i}") for i in range(1, 257)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    got = perspectives(df).collect()
+    assert sorted(((r.conv_id, r.speaker, r.block, r.n_turns, r.n_own, r.rendered,
+                    tuple((s.first, s.past) for s in r["mask"]), r.start) for r in got), key=order) == brute_chat(turns, 256)
+    assert {r.block for r in got if r.conv_id == 1} == {0} and max(r.n_turns for r in got) == 256
+
+
 # -- lines ------------------------------------------------------------------
 
 def line_shingles(line, size=12):
