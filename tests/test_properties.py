@@ -2,9 +2,11 @@
 the exact candidate-generation joins."""
 
 import itertools
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paths import SF001
@@ -230,6 +232,34 @@ def test_exact_quantiles(spark):
     assert all(np.allclose(got[g], exp[g]) for g in exp)
 
 
+@pytest.mark.parametrize("bins,few", [(2, 1), (4, 3), (256, 1024)])
+def test_quantiles_refine_histograms(spark, monkeypatch, bins, few):
+    """Many rounds: wide and narrow ranges, hot values, infinities, neighbours of one double."""
+    from shoplens.operators import quantiles as Q
+    monkeypatch.setattr(Q, "BINS", bins)
+    monkeypatch.setattr(Q, "FEW", few)
+    rnd = random.Random(5)
+    near = [float(np.nextafter(1.0, 2.0)), 1.0, float(np.nextafter(1.0, 0.0))]
+    groups = {
+        "wide": [rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-300, 300) for _ in range(60)],
+        "hot": [0.0] * 300 + [rnd.random() for _ in range(20)],
+        "near": near * 3 + [5.0],
+        "ends": [float("-inf"), float("inf"), -1.0, 2.0, 3.0, float("inf"), float("-inf"), 0.0, -0.5],
+        "two": [7.0, 9.0], "one": [1e-320]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs]
+    rnd.shuffle(rows)
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 1.0}
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = {r.g: [r[c] for c in qs] for r in Q.exact_quantiles(df, "g", "x", qs).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        xs = sorted(xs)
+        for v, q in zip(got[g], qs.values()):
+            at = q * (len(xs) - 1)
+            a, b = xs[math.floor(at)], xs[math.ceil(at)]
+            assert v == a if a == b else v == pytest.approx(a + (b - a) * (at - int(at)), rel=1e-12), (g, q)
+
+
 def test_clean_events_de_duplicates_once(spark):
     """One exchange of whole rows in the cleaning plan; repeats change nothing."""
     raw = shop(spark, SF001)
