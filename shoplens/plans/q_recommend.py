@@ -45,6 +45,12 @@ def _stage(spark, sf, name, build):
     return shared(spark, sf, name, build)
 
 
+def emb_topn(spark, sf):
+    """The best ten unseen products of the query set, one stage for the entries that list them."""
+    return _stage(spark, sf, "emb_topn", lambda: ivf_topn(
+        emb_asked(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10))
+
+
 def interactions(spark, sf):
     return _stage(spark, sf, "interactions", lambda: FE.interaction_table(enriched(spark, sf)))
 
@@ -147,7 +153,7 @@ def q_tower_score(spark, sf):
 
 @register("recommend_topn", ["emb_topn"], "select * from emb_topn", floats=["score"])
 def q_recommend_topn(spark, sf):
-    return ivf_topn(emb_asked(spark, sf), emb_products(spark, sf), emb_seen(spark, sf), n=10)
+    return emb_topn(spark, sf)
 
 
 @register("win_topn_per_user", ["interaction"], """
@@ -212,10 +218,8 @@ _STEPS = "[" + ", ".join(map(str, R.WALK_STEPS)) + "]"
 def q_recommend_routing(spark, sf):
     """The routed list of ten products for every user vector; the
     recommender's own lists are those of the query set."""
-    from shoplens.session import materialize
     u, p, seen = emb_users(spark, sf), emb_products(spark, sf), emb_seen(spark, sf)
-    best = materialize(ivf_topn(emb_asked(spark, sf), p, seen, n=10), "topn")
-    return R.route_list(R.recommend_routing(u, clean(spark, sf)), best, p, seen)
+    return R.route_list(R.recommend_routing(u, clean(spark, sf)), emb_topn(spark, sf), p, seen)
 
 
 @register("ready_for_training", ["clean"], """

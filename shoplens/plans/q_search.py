@@ -65,6 +65,11 @@ def ranked(spark, sf):
     return _stage(spark, sf, "ranked", build)
 
 
+def synonyms(spark, sf):
+    """The lemma and the mined synonyms of every word, an index-time stage."""
+    return _stage(spark, sf, "synonyms", lambda: S.mine_synonyms(docs(spark, sf), index_tables(spark, sf)[2]))
+
+
 @register("text_clean", ["cat_products"], f"""
  select product_id, {__import__('shoplens.plans.oracle', fromlist=['x']).text_clean_sql('about_product')} as clean_text
  from cat_products""")
@@ -177,8 +182,7 @@ def q_search_policy(spark, sf):
  select query_id, string_agg(concat_ws(' ', coalesce(l.lemma, q.word), s.syns), ' ' order by pos) as expanded
  from qwords q left join lemmas l on q.word = l.token left join syn s on s.lemma = l.lemma group by query_id""")
 def q_expand_query(spark, sf):
-    return S.expand_query(all_queries(spark, sf), _stage(spark, sf, "synonyms", lambda: S.mine_synonyms(
-        docs(spark, sf), index_tables(spark, sf)[2])))
+    return S.expand_query(all_queries(spark, sf), synonyms(spark, sf))
 
 
 @register("fuzzy_match", ["qwords", "bank"], """

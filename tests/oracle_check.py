@@ -52,6 +52,8 @@ def _kind(v):
 
 
 def _norm(v):
+    if isinstance(v, dict):  # a struct
+        return tuple(_norm(x) for x in v.values())
     if isinstance(v, float) and v != v:
         return "NaN"
     if isinstance(v, (list, tuple)):
