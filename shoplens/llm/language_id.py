@@ -47,7 +47,8 @@ PIECE = 1 << 20
 
 
 def _letter_table() -> np.ndarray:
-    """1 for code points that are letters or marks of letters, else 0."""
+    """1 for code points that are letters, else 0; combining marks are none, so
+    that words of scripts that write vowels as marks fall apart at them."""
     table = np.zeros(0x110000, bool)
     for c in range(0x110000):
         if chr(c).isalpha():
