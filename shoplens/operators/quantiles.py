@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of a histogram, and distinct values of a bin that are ranked at once.
-BINS, FEW = 256, 1024
+BINS, FEW = 1024, 1 << 16
 
 
 def _spread(x: Column) -> Column:

@@ -353,10 +353,10 @@ def near_words(docs: DataFrame, reach: int = SYNONYM_REACH, text: str = "descrip
     stand at most ``reach`` words apart. As many rows before the map-side sum
     as words times ``reach``; no pairs of all words of a text."""
     t = docs.select(tokens(text).alias("_t"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda d: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_t") - d - 1, F.lit(0))),
-        lambda i: F.struct(F.get("_t", i).alias("x"), F.get("_t", i + d).alias("y")))))
-    p = t.select(F.explode(pairs).alias("p")).select("p.x", "p.y").where("x is not null and y is not null")
+    behind = [F.slice("_t", d + 1, F.greatest(F.size("_t") - d, F.lit(0))) for d in range(1, reach + 1)]
+    rows = t.select(F.explode(F.arrays_zip(F.col("_t").alias("x"), *[c.alias(f"y{d}") for d, c in enumerate(behind, 1)]))
+                    .alias("p")).select("p.*")
+    p = rows.select("x", F.explode(F.array(*[f"y{d}" for d in range(1, reach + 1)])).alias("y")).where("y is not null")
     return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
