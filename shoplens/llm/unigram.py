@@ -23,7 +23,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shoplens.llm.common import keyed
 from shoplens.llm.token_count import pretokens
