@@ -117,3 +117,13 @@ def test_pruned_ranking_is_the_full_ranking(spark, block):
         assert report["joined"] <= report["all"]
         if top == 5:
             assert report["joined"] < 0.5 * report["all"]
+
+
+def test_spelling_never_broadcasts_the_deletion_variants(spark):
+    """The optimizer sizes the variants as the words they are made of."""
+    words = spark.createDataFrame([("wrthless",), ("zzzz",), ("ering",)], "word string")
+    bank = spark.createDataFrame([("worthless", 3), ("erring", 2), ("bring", 5)], "word string, freq long")
+    found = S.correct_words(words, bank)
+    assert {r.word: r.corrected for r in found.collect()} == {"wrthless": "worthless", "zzzz": None, "ering": "bring"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join [v#" in plan and "BroadcastHashJoin [v#" not in plan
