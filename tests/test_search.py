@@ -127,3 +127,12 @@ def test_spelling_never_broadcasts_the_deletion_variants(spark):
     assert {r.word: r.corrected for r in found.collect()} == {"wrthless": "worthless", "zzzz": None, "ering": "bring"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join [v#" in plan and "BroadcastHashJoin [v#" not in plan
+
+
+def test_fuzzy_candidates_are_verified_by_all_cores(spark):
+    words = spark.createDataFrame([("worthless",), ("bring",)], "word string")
+    terms = spark.createDataFrame([("wrthless",), ("ring",), ("zebra",)], "term string")
+    found = S.fuzzy_match(words, terms)
+    assert {(r.word, r.term, r.ratio) for r in found.collect()} == {("worthless", "wrthless", 94), ("bring", "ring", 89)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
