@@ -84,3 +84,13 @@ def test_tower_score_is_the_cosine(spark):
     pairs = u.select("user_id", F.lit(7).cast("long").alias("product_id"))
     got = {r.user_id: r.score for r in R.tower_score(pairs, u, p).collect()}
     assert got[1] == pytest.approx(0.96) and got[2] is None
+
+
+def test_regressor_writes_no_second_copy_of_its_rows(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the train rows are stored already")
+
+    monkeypatch.setattr(session, "materialize", refused)
+    train = spark.createDataFrame([(i, i, float(2 * i), float(i) if i % 3 else None) for i in range(30)],
+                                  "user_id long, product_id long, interaction_score double, views double")
+    assert R.predict(R.content_regressor(train), train).where("prediction is not null").count() == 30
