@@ -136,3 +136,17 @@ def test_fuzzy_candidates_are_verified_by_all_cores(spark):
     assert {(r.word, r.term, r.ratio) for r in found.collect()} == {("worthless", "wrthless", 94), ("bring", "ring", 89)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_ranked_search_broadcasts_nothing_as_long_as_the_corpus(spark):
+    bank = spark.createDataFrame([("red", 3), ("hat", 2)], "word string, freq long")
+    words = spark.createDataFrame([("p1", "red", 2), ("p1", "hat", 1), ("p2", "red", 1)], "product_id string, word string, n long")
+    queries = spark.createDataFrame([(1, "red hat"), (2, "rod")], "query_id long, text string")
+    index, idf = S.index_from_words(words, words.agg(F.count_distinct("product_id").alias("_n")))
+    corr = S.correct_spelling(queries, bank)
+    ranked = S.rank_queries(corr, idf, S.block_postings(index), 5)
+    plain = S.rank_queries(corr, idf, index, 5)
+    for df in (index, ranked, plain, S.search_policy(corr, ranked), S.search_result(ranked, words.select("product_id"))):
+        assert "BroadcastHashJoin [word" not in (plan := df._jdf.queryExecution().executedPlan().toString())
+        assert not any(f"BroadcastHashJoin [{k}" in plan for k in ("term", "qtext", "query_id", "product_id"))
+    assert {(r.query_id, r.product_id, r.rank) for r in ranked.collect()} == {(1, "p1", 1), (1, "p2", 2), (2, "p1", 2), (2, "p2", 1)}
