@@ -113,3 +113,14 @@ def test_registered_topn_finds_the_true_best(spark):
     routed = {(r.user_id, r.product_id) for r in E.queries()["recommend_routing"](spark, SF01).collect()
               if r.source == "recommender"}
     assert routed and all(p in want[u] for u, p in routed)
+
+
+def test_routing_lists_products_for_every_user(spark):
+    """Customers, event users and user vectors, not the user vectors alone."""
+    import __spark_entry__ as E
+    from shoplens.plans.q_clean import clean
+    want = {r[0] for r in spark.read.parquet(f"{SF01}/customer.parquet").select("c_custkey").collect()}
+    want |= {r[0] for r in clean(spark, SF01).select("user_id").distinct().collect()}
+    want |= {r[0] for r in spark.read.parquet(f"{SF01}/embeddings.parquet").where("vec_id % 10 = 0").select("vec_id").collect()}
+    got = E.queries()["recommend_routing"](spark, SF01).groupBy("user_id").count().collect()
+    assert {r["user_id"]: r["count"] for r in got} == dict.fromkeys(want - {None}, 10)
