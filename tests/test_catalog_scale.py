@@ -69,3 +69,22 @@ def test_clean_texts_and_words(spark):
         (i, w) for i, t in enumerate(texts) for w in _clean(t).split(" ") if w)
     assert spark.createDataFrame([("He's here, WON'T they'd",)], "t string").select(
         text_clean(F.col("t"))).first()[0] == "he is here will not they would"
+
+
+def test_reviewers_without_moving_texts(shuffled, tmp_path):
+    from shoplens.plans import q_catalog as Q
+    sf = str(tmp_path)
+    part = [(k, f"name {k}", "Brand#1", "LARGE TIN", k % 50 + 1) for k in (1, 2, 3, 15, 20, 20, 40)] + [(None, "x", "b", "t", 1)]
+    docs = [(1, "one"), (1, "other"), (1, "one"), (2, None), (2, None), (20, ""), (20, "late"), (None, "lost")]
+    shuffled.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+                             ).write.parquet(f"{sf}/part.parquet")
+    shuffled.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    cols = [c for c in Q.rows(shuffled, sf).columns if c != "about_product"]
+    slim = Q.reviews(shuffled, sf)
+    assert "about_product" not in slim.columns
+    assert sorted(map(str, slim.select(cols).collect())) == sorted(map(str, Q.rows(shuffled, sf).select(cols).collect()))
+    # the texts end below the first exchange
+    plan = K.clean_offers(catalog(shuffled, sf, digest=True))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "sha2" in line]
+    assert moved and all("Project" in line for line in moved)
+    assert plan.rindex("sha2") > plan.rindex("Exchange hashpartitioning(_pid")
