@@ -150,3 +150,16 @@ def test_ranked_search_broadcasts_nothing_as_long_as_the_corpus(spark):
         assert "BroadcastHashJoin [word" not in (plan := df._jdf.queryExecution().executedPlan().toString())
         assert not any(f"BroadcastHashJoin [{k}" in plan for k in ("term", "qtext", "query_id", "product_id"))
     assert {(r.query_id, r.product_id, r.rank) for r in ranked.collect()} == {(1, "p1", 1), (1, "p2", 2), (2, "p1", 2), (2, "p2", 1)}
+
+
+def test_expansion_builds_no_index(spark, tmp_path):
+    import __spark_entry__ as E
+    from shoplens.plans import stages
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "Red Hat", "B", "LARGE TIN", 3), (2, "Hat", "B", "LARGE TIN", 4)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{sf}/part.parquet")
+    spark.createDataFrame([(1, "red hats for redder heads"), (2, "hat")], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    got = {r.query_id: r.expanded for r in E.queries()["expand_query"](spark, sf).collect()}
+    assert got[1001] == "red hat redder" and set(got) == {1, 2, 3, 4, 1001, 1002}
+    built = {name for _, folder, name in stages._MEMO if folder == sf}
+    assert "word_bank" in built and not built & {"doc_words", "idf", "tfidf_index"}
