@@ -10,7 +10,7 @@ from paths import SF001
 from shoplens.functions.text import text_clean
 from shoplens.operators import catalog as K
 from shoplens.operators import search as S
-from shoplens.sources.fixtures import catalog
+from shoplens.sources.fixtures import catalog, name_queries
 
 
 def _exchanges(df):
@@ -88,3 +88,23 @@ def test_reviewers_without_moving_texts(shuffled, tmp_path):
     moved = [line for line in plan.split("\n") if "sha2" in line]
     assert moved and all("Project" in line for line in moved)
     assert plan.rindex("sha2") > plan.rindex("Exchange hashpartitioning(_pid")
+
+
+def test_texts_are_not_broadcast(spark, tmp_path):
+    """However small the files of the documents look to the optimizer."""
+    sf = str(tmp_path)
+    part = [(1, "Red Hat"), (2, "Hat"), (2, "Hat"), (3, None), (4, "Cap"), (None, "Lost")]
+    docs = [(1, "A Scarlet thing, worn outside"), (1, "no"), (2, None), (4, ""), (9, "elsewhere"), (None, "nowhere")]
+    spark.createDataFrame([(k, n, "Brand#1", "LARGE TIN", 3) for k, n in part],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{sf}/part.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    asked, raw = name_queries(spark, sf), catalog(spark, sf)
+    for df in (asked, raw, catalog(spark, sf, digest=True)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    # the words of the texts are taken below the exchange
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("regexp_extract") > plan.rindex("Exchange hashpartitioning(doc_id")
+    assert sorted(map(tuple, asked.collect()), key=str) == sorted(
+        [(1, "red hat scarlet"), (1, "red hat"), (2, "hat"), (2, "hat"), (3, ""), (4, "cap"), (None, "lost")], key=str)
+    assert sorted((r.product_id, r.about_product) for r in raw.where("product_id is not null").collect() if r.about_product) == [
+        ("B000000001", "A Scarlet thing, worn outside"), ("B000000001", "no")]
