@@ -69,6 +69,16 @@ def q_sink_eda_checkpoint(spark, sf):
     return spark.read.parquet(path)
 
 
+#: Bytes of a row group of the raw files: a task reads row groups, so the file of a large day is read by several.
+ROW_GROUP = 4 << 20
+
+
+def write_days(events, raw_dir):
+    """Raw events as one file per day."""
+    (events.withColumn("day", F.to_date("event_time").cast("string"))
+     .repartition("day").write.option("parquet.block.size", ROW_GROUP).partitionBy("day").parquet(raw_dir))
+
+
 @register("job_monthly_incremental", ["clean_day"], "select * from clean_day", floats=["price"])
 def q_job_monthly_incremental(spark, sf):
     """Raw events written one file per day, then cleaned file by file by an
@@ -77,8 +87,7 @@ def q_job_monthly_incremental(spark, sf):
     from shoplens.streaming.incremental import clean_new_files
     base = files.fresh_path(spark, "incremental")
     raw_dir = f"{base}/raw"
-    (shop(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
-     .repartition("day").write.partitionBy("day").parquet(raw_dir))
+    write_days(shop(spark, sf), raw_dir)
     schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
     out = f"{base}/clean"
     clean_new_files(spark, raw_dir, schema, out, f"{base}/checkpoint", files_per_batch=1, drop_cols=("day",))
@@ -96,8 +105,7 @@ def q_job_monthly_features(spark, sf):
     from shoplens.streaming.incremental import clean_new_files
     base = files.fresh_path(spark, "incremental")
     raw_dir = f"{base}/raw"
-    (shop(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
-     .repartition("day").write.partitionBy("day").parquet(raw_dir))
+    write_days(shop(spark, sf), raw_dir)
     schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
     clean_new_files(spark, raw_dir, schema, f"{base}/clean", f"{base}/checkpoint", files_per_batch=1,
                     drop_cols=("day",), features_dir=f"{base}/features", features=("interaction",))
@@ -117,8 +125,7 @@ def q_job_monthly_state(spark, sf):
     from shoplens.streaming.incremental import clean_new_files
     base = files.fresh_path(spark, "incremental")
     raw_dir = f"{base}/raw"
-    (shop(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
-     .repartition("day").write.partitionBy("day").parquet(raw_dir))
+    write_days(shop(spark, sf), raw_dir)
     schema = T.StructType(RAW_EVENT.fields + [T.StructField("day", T.StringType())])
     clean_new_files(spark, raw_dir, schema, f"{base}/clean", f"{base}/checkpoint", files_per_batch=1,
                     drop_cols=("day",), state_dir=f"{base}/state", compact_every=8)

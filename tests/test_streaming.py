@@ -54,3 +54,17 @@ def test_state_of_files_equals_the_batch_over_them(spark):
     assert D.compact(spark, base) == 4
     again = {(r.user_id, r.product_id): r.interaction_score for r in D.state_scores(spark, base).collect()}
     assert again.keys() == got.keys() and all(abs(got[k] - v) < 1e-9 for k, v in again.items())
+
+
+def test_the_file_of_a_large_day_is_read_by_several_tasks(spark, tmp_path):
+    """One file per day, whose rows are in several row groups where they are many."""
+    from shoplens.plans.q_jobs import write_days
+    day = F.when(F.col("id") == 7, F.lit(None)).when(F.col("id") % 1000 == 0, F.lit("2024-01-02 01:00:00")).otherwise(F.lit("2024-01-01 23:59:59"))
+    events = spark.range(0, 300_000, 1, 3).select(day.cast("timestamp_ntz").alias("event_time"), "id",
+                                                  F.sha2(F.col("id").cast("string"), 256).alias("user_session"))
+    write_days(events, f"{tmp_path}/raw")
+    got = spark.read.parquet(f"{tmp_path}/raw")
+    assert got.select("day", F.input_file_name()).distinct().count() == 3
+    large = spark.read.parquet(f"{tmp_path}/raw/day=2024-01-01")
+    assert large.groupBy(F.spark_partition_id()).count().count() > 1
+    assert got.drop("day").exceptAll(events).isEmpty() and got.count() == 300_000
