@@ -14,7 +14,9 @@ joined; only members that are in different components after that are compared
 with each other. So families of near copies do not give all their pairs, and
 every two lines that share a bucket are either compared, already joined, or
 left out for agreeing on fewer than 11 of the 24 minima (four standard
-deviations below what a pair at the threshold agrees on).
+deviations below what a pair at the threshold agrees on) or for the sizes of
+their sets. The join of members compares them itself, in the first band that
+they share, and gives similar pairs alone.
 """
 
 from __future__ import annotations
@@ -40,13 +42,17 @@ SLOTS = 1 << 20
 UNSPACED = "".join(rf"\p{{Is{s}}}" for s in (
     "Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Tai_Le",
     "New_Tai_Lue", "Tai_Tham", "Tai_Viet", "Balinese", "Javanese"))
+#: Printing characters before the first script of UNSPACED (Thai, from U+0E01).
+PLAIN = r"!-\u0DFF"
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """The ``size`` characters from each start, in order: a word of at most
     ``size`` characters starts one, and each character of a longer word, or
     of one with a letter of ``UNSPACED``, starts one."""
-    starts = rf"(?s)(?=(\S.{{0,{size - 1}}}))(?:(?<!\S)[^\s{UNSPACED}]{{1,{size}}}+(?!\S)|\S)"
+    # scripts are looked up only for words with a character beyond PLAIN
+    starts = (rf"(?s)(?=(\S.{{0,{size - 1}}}))(?:(?<!\S)(?:[{PLAIN}]{{1,{size}}}+(?!\S)"
+              rf"|(?=[{PLAIN}]{{0,{size - 1}}}+[^\s{PLAIN}])[^\s{UNSPACED}]{{1,{size}}}+(?!\S))|\S)")
     return F.regexp_extract_all(line, F.lit(starts), F.lit(1))
 
 
@@ -81,22 +87,63 @@ def _lane(word: Column, t: int) -> Column:
     return F.shiftright(word, 16 * t).bitwiseAND(F.lit(65535))
 
 
+def _lanes(value: int) -> Column:
+    """A word with ``value`` (below 2^15) in each lane."""
+    return F.lit(sum(value << 16 * t for t in range(4))).cast("long")
+
+
+def _differing(left: str, right: str, k: int) -> Column:
+    return F.col(f"{left}.w{k}").bitwiseXOR(F.col(f"{right}.w{k}"))
+
+
 def _agreeing(left: str, right: str, count: int) -> Column:
-    """Minima on which two rows of words agree."""
-    out = F.lit(0)
+    """Minima on which two rows of words agree. A sum carries into bit 14 of
+    each lane whose upper 14 or lower 2 bits differ."""
+    out = F.lit(count)
+    full = _lanes(0x3FFF)
     for k in range(count // 4):
-        x = F.col(f"{left}.w{k}").bitwiseXOR(F.col(f"{right}.w{k}"))
-        for t in range(4):
-            out = out + (_lane(x, t) == 0).cast("int")
+        x = _differing(left, right, k)
+        upper = F.shiftrightunsigned(x, 2).bitwiseAND(full) + full
+        lower = x.bitwiseAND(_lanes(3)) + full
+        out = out - F.bit_count(upper.bitwiseOR(lower).bitwiseAND(_lanes(0x4000)))
     return out
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _met_before(left: str, right: str, bands: int, rows: int) -> Column:
+    """Whether two rows of words agree in a band before ``band`` of the left."""
+    out = F.lit(False)
+    for b in range(bands - 1):
+        lanes = range(b * rows, (b + 1) * rows)
+        same = F.col(f"{left}.band") > b
+        for k in sorted({i // 4 for i in lanes}):
+            own = [i % 4 for i in lanes if i // 4 == k]
+            x = _differing(left, right, k)
+            # lanes own[0] to own[-1], without the ones above and below
+            x = F.shiftrightunsigned(F.shiftleft(x, 16 * (3 - own[-1])), 16 * (3 - own[-1] + own[0]))
+            same = same & (x == 0)
+        out = out | same
+    return out
+
+
+def _similar(left: str, right: str, count: int, similarity: float) -> Column:
+    """Whether two rows of words and sets are similar; the cheap tests come
+    first, and the bounds leave room for rounding."""
+    x, y = F.col(f"{left}.set"), F.col(f"{right}.set")
+    # four standard deviations below the agreement of a pair at the threshold
+    seldom = math.floor(count * similarity - 4 * math.sqrt(count * similarity * (1 - similarity)))
+    both = F.size(x) + F.size(y)
+    return ((_agreeing(left, right, count) >= seldom)
+            & (F.least(F.size(x), F.size(y)) * (1 + similarity) >= similarity * both - 1e-9)
+            & (F.size(F.array_intersect(x, y)) * (1 + similarity) >= similarity * both - 1e-9))
+
+
+def _links(members: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
+    """Similar pairs (a, b) of members of a bucket in different components,
+    each once: from the first band in which both agree."""
+    l, r = members.alias("l"), members.alias("r")
+    pairs = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root"))
+                   & ~_met_before("l", "r", bands, rows) & _similar("l", "r", bands * rows, similarity))
+    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS,
@@ -132,39 +179,33 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHIN
     keys = [F.xxhash64(F.lit(b), *[_lane(F.col(f"w{i // 4}"), i % 4) for i in range(b * rows, (b + 1) * rows)])
             for b in range(bands)]
     # the aggregate and the join read one exchange
-    members = nodes.select("node", F.explode(F.array(*keys)).alias("bucket")).repartition("bucket")
+    members = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "bucket")).repartition("bucket")
     buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("node").alias("n")).where("n > 1")
-    members = materialize(members.join(buckets, "bucket").select("bucket", "node", "hub"), "line-buckets")
+    members = materialize(members.join(buckets, "bucket").select("bucket", "band", "node", "hub"), "line-buckets")
 
-    # shingle sets of the lines in buckets; lines in none of their slots do not move
+    # minima and shingle sets of the lines in buckets; lines in none of their slots do not move
     wanted = materialize(members.select("node").distinct().join(nodes.select("node", "h1", "h2", *words), "node"),
                          "line-candidates")
     slot = F.col("h1").bitwiseAND(F.lit(SLOTS - 1))
     slots = F.broadcast(wanted.select(slot.alias("slot")).distinct())
     sets = materialize(
         lines.select("h1", "h2", "line", slot.alias("slot")).join(slots, "slot", "left_semi")
-        .join(wanted.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "line").distinct()
-        .select("node", F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s))).alias("set")),
-        "line-sets")
+        .dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"])
+        .select("node", *words, F.array_distinct(F.transform(
+            shingles(F.col("line"), size), lambda s: F.xxhash64(s))).alias("set")), "line-sets")
 
-    # four standard deviations below the agreement of a pair at the threshold
-    seldom = math.floor(count * similarity - 4 * math.sqrt(count * similarity * (1 - similarity)))
-    signs = wanted.select("node", *words)
     first = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = (first.alias("p").join(signs.alias("l"), F.col("p.a") == F.col("l.node"))
-             .join(signs.alias("r"), F.col("p.b") == F.col("r.node")).where(_agreeing("l", "r", count) >= seldom)
-             .select("a", "b"))
-    edges = materialize(_similar(first, sets, similarity), "line-links")
+    first = (first.alias("p").join(sets.alias("l"), F.col("p.a") == F.col("l.node"))
+             .join(sets.alias("r"), F.col("p.b") == F.col("r.node")))
+    edges = materialize(first.where(_similar("l", "r", count, similarity)).select("a", "b"), "line-links")
     roots = components(edges)
-    named = members.join(roots, "node", "left").select("bucket", "node", "hub", F.coalesce("root", "node").alias("root"))
+    named = members.join(roots, "node", "left").select(
+        "bucket", "band", "node", "hub", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    named = materialize(named.where("node <> hub").join(mixed.select("bucket"), "bucket", "left_semi")
-                        .join(signs, "node"), "line-parts")
-    l, r = named.alias("l"), named.alias("r")
-    others = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root"))
-                    & (_agreeing("l", "r", count) >= seldom)).select(
-        F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    edges = materialize(edges.unionByName(_similar(others, sets, similarity)), "line-links")
+    # both sides of the join read one exchange
+    named = (named.where("node <> hub").join(mixed.select("bucket"), "bucket", "left_semi")
+             .join(sets, "node").repartition("bucket"))
+    edges = materialize(edges.unionByName(_links(named, bands, rows, similarity)), "line-links")
 
     label = nodes.join(components(edges), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     own = materialize(places.where("not blank").join(label, ["h1", "h2"])
