@@ -207,12 +207,16 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHIN
              .join(sets, "node").repartition("bucket"))
     edges = materialize(edges.unionByName(_links(named, bands, rows, similarity)), "line-links")
 
-    label = nodes.join(components(edges), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    own = materialize(places.where("not blank").join(label, ["h1", "h2"])
-                      .select("uid", "doc_id", "line_no", "root"), "line-groups")
+    # a line that is linked to none is a group by its own content; linked lines are few beside all
+    named = wanted.select("node", "h1", "h2")
+    label = (components(edges).join(named, "node")
+             .join(named.select(F.col("node").alias("root"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "root")
+             .select("h1", "h2", "g1", "g2"))
+    own = materialize(places.where("not blank").join(label, ["h1", "h2"], "left").select(
+        "uid", "doc_id", "line_no", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2")), "line-groups")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "line_no")
-    groups = own.groupBy("root").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    judged = own.join(groups, "root").select(
+    groups = own.groupBy("g1", "g2").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    judged = own.join(groups, ["g1", "g2"]).select(
         "uid", "doc_id", "line_no", F.col("keep.doc_id").alias("keep_id"), F.col("keep.line_no").alias("keep_line"),
         "group_size", ((F.col("uid") == F.col("keep.uid")) & (F.col("line_no") == F.col("keep.line_no"))).alias("kept"))
     blank = places.where("blank").select(
